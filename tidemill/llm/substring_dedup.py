@@ -29,6 +29,7 @@ from tidemill.llm.text_arrays import Words, mix, window_hashes, window_starts
 
 _LOW = np.uint64((1 << 24) - 1)
 _NONE = np.int64(-1)
+_PLACE = np.int64((1 << 28) - 1)  # of a long: the first word of a span; the bits above are a hash of the text
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -84,14 +85,14 @@ def _pack(window: int, seed: int, hot: dict[int, int]):
                 joined, at = words.spaced()
                 lo, hi = at[start], at[start + n + window - 1] - 1
                 packed = [joined[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                salt = np.full(len(row), -1, np.int32)
+                dealt = bucket.copy()  # 40 bits; above them, for hot buckets, 1 and the salt
                 if len(hot_keys):
                     j = np.minimum(np.searchsorted(hot_keys, bucket), len(hot_keys) - 1)
                     for i in np.flatnonzero(hot_keys[j] == bucket):
-                        salt[i] = int.from_bytes(hashlib.blake2b(packed[i], digest_size=4).digest(), "little") % int(hot_salts[j[i]])
+                        dealt[i] |= (1 + int.from_bytes(hashlib.blake2b(packed[i], digest_size=4).digest(), "little") % int(hot_salts[j[i]])) << 40
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), part.column("text_key").take(pa.array(row)), pa.array((start - words.lo[row]).astype(np.int32)), pa.array(bucket), pa.array(salt), pa.array(packed, pa.binary())],
-                    ["doc_id", "text_key", "start", "bucket", "salt", "packed"],
+                    [part.column("doc_id").take(pa.array(row)), pa.array((part.column("text_key").to_numpy()[row] & ~_PLACE) | ((start - words.lo[row]) & _PLACE)), pa.array(dealt), pa.array(packed, pa.binary())],
+                    ["doc_id", "place", "bucket", "packed"],
                 )
 
     return run
@@ -106,7 +107,7 @@ def _count(window: int):
         at, counts = window_starts(words.lo, words.hi, window)
         hashes = window_hashes(words.hashes(), window)[at]
         row = np.repeat(np.arange(len(counts)), counts)
-        group = np.repeat(np.arange(len(b) - 1), np.diff(b)) if len(b := group_bounds(t.column("bucket").to_numpy(), t.column("salt").to_numpy())) > 1 else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(b) - 1), np.diff(b)) if len(b := group_bounds(t.column("bucket").to_numpy())) > 1 else np.zeros(0, np.int64)
         keyed = mix(hashes ^ (group[row].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
         order = np.argsort(keyed, kind="stable")
         begin = group_bounds(keyed[order])
@@ -128,11 +129,11 @@ def _count(window: int):
             for same in by_text.values():
                 repeated[same] = len(same) > 1
                 heads[same[1:]] = False
-        offset = at - words.lo[row] + t.column("start").to_numpy()[row]
+        offset = at - words.lo[row] + (t.column("place").to_numpy() & _PLACE)[row]
         found = np.flatnonzero(repeated)
         cut = group_bounds(row[found], found - np.arange(len(found)))
         first, last = found[cut[:-1]], found[cut[1:] - 1] if len(found) else found
-        salted = t.column("salt").to_numpy()[row] >= 0
+        salted = t.column("bucket").to_numpy()[row] >> 40 > 0
         opened = np.flatnonzero(salted & heads)
         digests = [hashlib.blake2b(text(w), digest_size=16).digest() for w in opened.tolist()]
         rows = np.concatenate([row[first], row[opened]])
@@ -143,12 +144,12 @@ def _count(window: int):
         take = lambda c: t.column(c).combine_chunks().take(at_rows)
         flat = lambda a: a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
         return pa.RecordBatch.from_arrays(
-            [flat(take("doc_id")), flat(take("text_key")), pa.array(lo), pa.array(hi), pa.array([None] * len(first) + digests, pa.binary()), pa.array(n.astype(np.int32))],
+            [flat(take("doc_id")), pa.array(t.column("place").to_numpy()[rows.astype(np.int64)] & ~_PLACE), pa.array(lo), pa.array(hi), pa.array([None] * len(first) + digests, pa.binary()), pa.array(n.astype(np.int32))],
             ["doc_id", "text_key", "lo", "hi", "digest", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["bucket", "salt"]):
+        for t in whole_groups(batches, ["bucket"]):
             yield settle(t)
 
     return run
@@ -189,17 +190,22 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, seed: int = 6, hot_share: float = 1 / 20_000, hot_rows: int = 2_000) -> DataFrame:
+def _text_key():
+    """A hash of the text, with the bits of _PLACE clear."""
+    return F.xxhash64("text").bitwiseAND(F.lit(~int(_PLACE))).alias("text_key")
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, seed: int = 4, hot_share: float = 1 / 20_000, hot_rows: int = 2_000) -> DataFrame:
     """Word spans [lo, hi) of repeated windows: doc_id, text_key (a hash of the text), lo, hi."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    docs = docs.select("doc_id", _text_key(), "text")
     counts = store(docs.select("text").mapInArrow(_census(window, seed), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "census")
     total = counts.filter(F.col("bucket") == int(_NONE)).select("n").first()
     limit = max(hot_rows, int((total.n if total else 0) * hot_share))
     hot = {r.bucket: -(-r.n * 2 // limit) for r in counts.filter((F.col("n") > limit) & (F.col("bucket") != int(_NONE))).collect()}
-    packed = docs.mapInArrow(_pack(window, seed, hot), "doc_id long, text_key long, start int, bucket long, salt int, packed binary")
-    dealt = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    packed = docs.mapInArrow(_pack(window, seed, hot), "doc_id long, place long, bucket long, packed binary")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     marks = store(dealt.mapInArrow(_count(window), "doc_id long, text_key long, lo int, hi int, digest binary, n int"), "windows")
     spans = marks.filter("digest is null").select("doc_id", "text_key", "lo", "hi")
     if hot:
@@ -212,7 +218,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, seed: int = 6, hot_share:
 def remove_repeated(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     spans = repeated_spans(docs, window, **options).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = docs.select("doc_id", _text_key(), "text")
     s = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
     joined = keyed.join(s, keyed.doc_id.eqNullSafe(s._d) & (keyed.text_key == s._k), "left")
     none = F.array().cast("array<struct<lo:int,hi:int>>")
