@@ -36,7 +36,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark context."""
+    """Send this package to the executors, once per Spark context, and keep Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
     sc = spark.sparkContext
     if getattr(sc, "_tidemill_shipped", False):
         return
@@ -52,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces whose text has about max_bytes; a longer row travels alone."""
     if batch.num_rows == 0:
         return
@@ -67,7 +69,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2_000_000) -> It
         lo = hi
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000, max_bytes: int = 24_000_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 5_000, max_bytes: int = 2_000_000) -> Iterator[pa.Table]:
     """From batches sorted by keys: tables of whole groups, cut as soon as they reach `rows` rows or max_bytes."""
     kept: list[pa.RecordBatch] = []
     n = size = 0

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import ngram_join, substring_dedup
+from tidemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, pseudonyms, quotation, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quotation_linking": quotation.op1,
+        "op2_feistel_pseudonyms": pseudonyms.op2,
+        "op3_greedy_string_tiling": decontaminate.op3,
+        "op4_virtual_slots": sharding.op4,
+        "op5_language_spans": language_id.op5,
         "op6_super_kmer_dedup": substring_dedup.op6,
         "op7_ngram_jaccard_join": ngram_join.op7,
+        "op8_compression_toxicity": toxicity.op8,
+        "op9_subspace_pigeonhole": embedding_dedup.op9,
+        "op10_nnls_packing": packing.op10,
     }
 
 
