@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strip(c: Column) -> Column:
@@ -72,7 +73,7 @@ def company_key(company_id: Column, feed_id: Column) -> Column:
     return F.when(company_id > 0, F.concat(F.lit("company:"), company_id.cast("string"))).otherwise(F.concat(F.lit("feed:"), feed_id.cast("string")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
