@@ -141,6 +141,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no benchmark item contaminates; rows with a null doc_id are checked as well."""
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = contaminated(marked.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    row = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name that docs has
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = contaminated(marked.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)

@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0, with_spans: bo
                     scores += (share[np.arange(len(top)), top] / np.maximum(total, 1)).tolist()
                     if with_spans:
                         new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (labels[1:] != labels[:-1]))) if len(row) else np.zeros(0, np.int64)
-                        ends = np.append(new[1:], len(row))
+                        ends = np.append(new[1:], len(row)) if len(new) else new
                         run_letters = np.add.reduceat(size, new) if len(new) else size
                         own: list[list] = [[] for _ in letters.lo]
                         for a, b, r, j, n in zip(new.tolist(), ends.tolist(), row[new].tolist(), labels[new].tolist(), run_letters.tolist(), strict=True):

@@ -119,8 +119,9 @@ def fit(labelled: list[tuple[str, int]], size: int = 65_536, least_ratio: float
     labelled = sorted(set(labelled))
     share = float(np.mean([y for _, y in labelled])) if labelled else 0.0
     parts: list[list[tuple[list[str], int]]] = [[], []]
+    same: dict[str, str] = {}  # one object for each word
     for i, (text, y) in enumerate(sorted(labelled, key=lambda x: hash_of(x[0]))):
-        parts[i % 3 == 2].append((windows(text), y))
+        parts[i % 3 == 2].append(([same.setdefault(w, w) for w in windows(text)], y))
     texts = {y: [set(w) for w, label in parts[0] if label == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return Model(b"", b"", float("inf"), (share,) * (MOST_COUNTED + 1))
