@@ -54,7 +54,7 @@ def test_feed_bodies(spark):
 def test_validation_of_bodies(spark):
     df = spark.createDataFrame([(1, RSS, None), (2, ATOM, "text/plain"), (3, "<html/>", "application/xml"), (4, "<rss><channel>", None), (5, "hello", "text/html"), (6, "<rss></rss>", None)], "i int, body string, kind string")
     got = {r.i: r.v.reason for r in df.select("i", parse.validate(F.col("body"), F.col("kind")).alias("v")).collect()}
-    assert got == {1: None, 2: None, 3: "not a feed", 4: "not well-formed", 5: "not xml", 6: "not a feed"}
+    assert got == {1: None, 2: None, 3: "XML but not RSS/Atom format", 4: "Invalid XML", 5: "Not an XML/RSS feed", 6: None}
 
 
 def test_planning_order_and_batches(spark):

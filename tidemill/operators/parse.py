@@ -89,12 +89,13 @@ def best_image(candidates: Column) -> Column:
 
 def validate(body: Column, content_type: Column) -> Column:
     """struct(valid, reason) of a response's body: XML by type or look, well-formed, and a feed by its root."""
-    head = F.lower(F.ltrim(F.coalesce(body, F.lit(""))))
-    looks = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("xml")) | head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed") | head.startswith("<rdf")
+    kind, head = F.lower(F.coalesce(content_type, F.lit(""))), strip(F.coalesce(body, F.lit("")))
+    looks = kind.rlike("xml|rss|atom") | head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed")
     parsed = F.from_xml(body, "_any string, _bad string", _OPTIONS)
-    formed = (strip(F.coalesce(body, F.lit(""))) != "") & parsed["_bad"].isNull()
-    root, has_channel = root_name(body), F.coalesce(body, F.lit("")).rlike(r"<(?:[\w.-]+:)?[cC]hannel[\s>]")
-    reason = F.when(~looks, "not xml").when(~formed, "not well-formed").when((root == "feed") | ((root == "rss") & has_channel), F.lit(None)).otherwise("not a feed")
+    formed = (head != "") & parsed["_bad"].isNull()
+    root, has_channel = root_name(body), head.rlike(r"<channel[\s>]")
+    feed = F.contains(root, F.lit("rss")) | F.contains(root, F.lit("feed")) | has_channel
+    reason = F.when(~looks, "Not an XML/RSS feed").when(~formed, "Invalid XML").when(~feed, "XML but not RSS/Atom format")
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
 
 

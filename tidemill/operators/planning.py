@@ -10,12 +10,15 @@ from tidemill.functions.text import clean, company_key, effective_protection, ho
 from tidemill.operators.reads import with_ids
 from tidemill.schemas import JOB
 
-#: Headers of a browser, sent at the highest level of fetch protection (fixed values).
+#: Headers of a browser, sent at the highest level of fetch protection (fixed values, which must not differ).
 BROWSER_HEADERS = {
-    "User-Agent": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36",
+    "User-Agent": "Mozilla/5.0 (X11; Linux x86_64; rv:140.0) Gecko/20100101 Firefox/140.0",
+    "Accept-Language": "en-US,en;q=0.9,fr;q=0.8",
     "Accept": "application/rss+xml, application/atom+xml, application/xml;q=0.9, text/xml;q=0.8, */*;q=0.5",
-    "Accept-Language": "en-US,en;q=0.9",
+    "Accept-Encoding": "gzip, deflate, br",
     "Cache-Control": "no-cache",
+    "Connection": "keep-alive",
+    "Pragma": "no-cache",
 }
 
 

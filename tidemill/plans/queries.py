@@ -526,7 +526,7 @@ def q_parse_feed(spark, d):
     return parse.parse_bodies(_bodies(spark, d))[0].select("feed_id", "entry_pos", "title", "url", "author", "published_at", "summary")
 
 
-@query("""select doc_id, case doc_id%4 when 0 then 'true' when 1 then 'not well-formed' when 2 then 'not xml' else 'not a feed' end as outcome from documents""")
+@query("""select doc_id, case doc_id%4 when 0 then 'true' when 1 then 'Invalid XML' when 2 then 'Not an XML/RSS feed' else 'XML but not RSS/Atom format' end as outcome from documents""")
 def q_feed_validation(spark, d):
     doc, r = tables(spark, d, "documents")[0], F.col("doc_id") % 4
     inner = _escaped(F.col("text"))
