@@ -18,7 +18,9 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,42 +32,70 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import ship, slices, store
 
-#: Texts of these characters only: white space separates tokens of the tokenizer, and so words can be encoded apart.
-_PLAIN = re.compile(r"[\t-\r -~¡-ʯ]*", re.ASCII)
+#: Texts of these characters are cut into words here as the tokenizer would; others go to the tokenizer whole. Left
+#: out: numbers other than digits, white space that only one of the two knows, and what may combine or be special.
+_OTHER = re.compile(r"[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]")
+#: The tokenizer's own rule for words (a fixed value), in lower case.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts, word by word where that gives the same, with the ids of recent words kept."""
+    """Ids of texts, word by word where that gives the same, with the ids of recent words and of recent stretches
+    between white space kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000, most_stretches: int | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.most_stretches, self.known, self.stretches = Tokenizer.from_file(path), most, most_stretches or 5 * most // 2, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
         new = list(words)
         for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    @staticmethod
+    def words(stretch: str) -> list[str] | tuple[str, ...]:
+        """The tokenizer's words of lower-case text without white space; most are a word with or without a mark."""
+        if stretch.isalpha():
+            return (stretch,)
+        if stretch[:-1].isalpha() and not stretch[-1].isalnum():
+            return (stretch[:-1], stretch[-1])
+        return _WORDS.findall(stretch)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
-        split = [t.split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
+        out: list[bytes] = [b""] * len(texts)
+        split = {i: t.lower().split() for i, t in enumerate(texts) if "<|" not in t and not _OTHER.search(t)}
+        whole = [i for i in range(len(texts)) if i not in split]
+        later = []
+        for i, stretches in split.items():
+            try:
+                out[i] = b"".join(map(self.stretches.__getitem__, stretches))
+            except KeyError:
+                later.append(i)
+        needed = {c for i in later for c in split[i]}
+        pieces = {c: self.words(c) for c in needed if c not in self.stretches}
+        if len(self.stretches) + len(pieces) > self.most_stretches:
+            self.stretches.clear()
+            pieces = {c: self.words(c) for c in needed}
+        words = {w for ws in pieces.values() for w in ws}
+        if len(needed) > self.most_stretches or len(words) > self.most:
+            whole, later = whole + later, []
+        elif later:
+            missing = {w for w in words if w not in self.known}
+            if len(self.known) + len(missing) > self.most:
+                self.known.clear()
+                missing = words
             self.learn(missing)
-            known = self.known
-            if any(w not in known for words in split for w in words):  # the store was emptied
-                self.learn({w for words in split for w in words if w not in known})
-        out = [b"".join([known[w] for w in words]) for words in split]
-        rest = [i for i, p in enumerate(plain) if not p]
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+            for c, ws in pieces.items():
+                self.stretches[c] = b"".join([self.known[w] for w in ws])
+        for i in later:
+            out[i] = b"".join(map(self.stretches.__getitem__, split[i]))
+        if whole:
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return out
 
 
@@ -98,35 +128,38 @@ def _pieces(path: str, end_id: int, window: int):
     return run
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
-    """Least squares a x = b with x >= 0: active set on the normal equations (a is small and holds small counts)."""
-    gram, goal = a.T @ a, a.T @ b
-    x = np.zeros(a.shape[1])
-    active = np.zeros(a.shape[1], bool)
-    tiny = 1e-9 * max(1.0, float(np.abs(goal).max(initial=0)))
+def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int = 2000) -> np.ndarray:
+    """Least squares a x = goal with x >= 0, by active sets: columns enter one at a time by the steepest slope, and leave
+    where the unconstrained solution of the active ones would turn them negative. The matrix is given by its few
+    entries: column j has weight[r] for each r in columns[j] (rows may repeat; row 0 stands for none, weight 0)."""
+    n = len(columns)
+    x, active = np.zeros(n), np.zeros(n, bool)
+    slope_of = lambda v: (weight * v)[columns].sum(1)
+    tiny = 1e-9 * max(1.0, float(np.abs(slope_of(goal)).max(initial=0)))
     for _ in range(most):
-        slope = np.where(active, -np.inf, goal - gram @ x)
-        j = int(np.argmax(slope))
-        if slope[j] <= tiny:
+        residual = goal - weight * np.bincount(columns.ravel(), np.repeat(x, columns.shape[1]), len(weight))
+        slope = np.where(active, -np.inf, slope_of(residual))
+        j = int(np.argmax(slope)) if n else 0
+        if not n or slope[j] <= tiny:
             break
         active[j] = True
-        while True:
+        while active.any():
             on = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(on, on)], goal[on], rcond=None)[0]
+            part = np.zeros((len(weight), len(on)))
+            np.add.at(part, (columns[on].ravel(), np.repeat(np.arange(len(on)), columns.shape[1])), weight[columns[on]].ravel())
+            gram = part.T @ part
+            gram[np.diag_indices(len(on))] += 1e-12 * (1 + gram.diagonal())  # active columns may depend on each other
+            z = np.linalg.solve(gram, part.T @ goal)
             if (z > tiny).all():
                 x[:] = 0
                 x[on] = z
                 break
-            low = on[z <= tiny]
-            zl = z[z <= tiny]
-            step = min(x[low] / np.maximum(x[low] - zl, 1e-300))
+            low = z <= tiny
+            step = (x[on][low] / np.maximum(x[on][low] - z[low], 1e-300)).min()
             x[on] += step * (z - x[on])
-            gone = on[x[on] <= tiny]
-            gone = gone if len(gone) else low
+            gone = on[x[on] <= tiny] if (x[on] <= tiny).any() else on[low]
             x[gone] = 0
             active[gone] = False
-            if not active.any():
-                break
     return x
 
 
@@ -147,11 +180,10 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         present = left > 0
         combos = [c for c in combinations(bins)[1:] if present[list(c)].all()]
         if combos:
-            a = np.zeros((bins + 1, len(combos)))
-            for j, c in enumerate(combos):
-                np.add.at(a[:, j], list(c), 1)
-            weight = 1 / np.sqrt(np.maximum(left, 1))  # a piece missed in a rare bin weighs as one in a common bin
-            x = nnls(a * weight[:, None], left * weight)
+            columns = np.array([(*c, 0, 0)[:3] for c in combos])
+            weight = 1 / np.sqrt(np.maximum(left, 1))  # a piece missed in a rare bin weighs more than in a common one
+            weight[0] = 0
+            x = nnls(columns, weight, left * weight)
             for j in np.argsort(-x):
                 need = np.bincount(combos[j], minlength=bins + 1)
                 n = min(int(x[j] + 1e-6), *(int(left[b] // need[b]) for b in combos[j]))
