@@ -162,12 +162,12 @@ def hash_of(text: str) -> int:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> list[tuple[str, int]]:
     """At most about `sample` texts of each label; all where there are fewer."""
-    pairs = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)"), "doc_id").filter("text is not null")
-    counts = {r.y: r["count"] for r in labels.select(F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").groupBy("y").count().collect()}
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)")
     rule = F.lit(False)
-    for y, n in counts.items():
-        rule |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
-    return [(r.text, r.y) for r in pairs.filter(rule).select("text", "y").collect()]
+    for r in known.groupBy("y").count().collect():
+        rule |= (F.col("y") == r.y) & (F.pmod(F.xxhash64("doc_id"), F.lit(r["count"])) < sample)
+    few = known.filter(rule)  # before the join, so that texts need not be shuffled
+    return [(r.text, r.y) for r in docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("text", "y").collect()]
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
