@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,8 +55,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+_lean: list[bool] = []
+
+
+def lean_memory() -> None:
+    """In a Python worker: give freed arrays back to the system at once. Workers live as long as their executor, and
+    the C library would keep what the largest batch took."""
+    if _lean:
+        return
+    _lean.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 300_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces whose text has about max_bytes; a longer row travels alone."""
+    lean_memory()
     if batch.num_rows == 0:
         return
     col = batch.column(column)
@@ -69,8 +90,9 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1_000_000) -> It
         lo = hi
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 5_000, max_bytes: int = 2_000_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1_500, max_bytes: int = 600_000) -> Iterator[pa.Table]:
     """From batches sorted by keys: tables of whole groups, cut as soon as they reach `rows` rows or max_bytes."""
+    lean_memory()
     kept: list[pa.RecordBatch] = []
     n = size = 0
     for b in batches:

@@ -6,9 +6,9 @@ string to the minimiser's bucket. There the windows of all strings are sorted an
 hashes are followed by a comparison of the words).
 
 A first pass counts super-k-mers per minimiser. A minimiser that more than `hot_share` of all (and more than
-`hot_rows`) use is hot: its strings are dealt by their own hash to several tasks, each settles the windows that it has
-twice, and passes on one digest of each distinct window; digests that several tasks pass on are repeated as well. So
-no task gets a whole hot bucket. The list of hot minimisers has at most 1 / hot_share entries.
+`hot_rows`) use is hot: its strings are dealt to several tasks by where they stand (equal strings as well), each settles
+the windows that it has twice, and passes on one digest of each distinct window; digests that several tasks pass on are
+repeated as well. So no task gets a whole hot bucket. The list of hot minimisers has at most 1 / hot_share entries.
 
 Null text counts as empty: no words. Rows that share doc_id and text are copies of each other like any other rows;
 rows that share only doc_id are kept apart by a hash of the text. Extra columns are ignored.
@@ -86,12 +86,15 @@ def _pack(window: int, seed: int, hot: dict[int, int]):
                 lo, hi = at[start], at[start + n + window - 1] - 1
                 packed = [joined[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 dealt = bucket.copy()  # 40 bits; above them, for hot buckets, 1 and the salt
+                place = (part.column("text_key").to_numpy()[row] & ~_PLACE) | ((start - words.lo[row]) & _PLACE)
                 if len(hot_keys):
                     j = np.minimum(np.searchsorted(hot_keys, bucket), len(hot_keys) - 1)
-                    for i in np.flatnonzero(hot_keys[j] == bucket):
-                        dealt[i] |= (1 + int.from_bytes(hashlib.blake2b(packed[i], digest_size=4).digest(), "little") % int(hot_salts[j[i]])) << 40
+                    i = np.flatnonzero(hot_keys[j] == bucket)
+                    ids = part.column("doc_id").fill_null(-1).to_numpy()[row[i]].astype(np.uint64)
+                    spread = mix(mix(ids) ^ place[i].astype(np.uint64))
+                    dealt[i] |= (1 + (spread % hot_salts[j[i]].astype(np.uint64)).astype(np.int64)) << 40
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array((part.column("text_key").to_numpy()[row] & ~_PLACE) | ((start - words.lo[row]) & _PLACE)), pa.array(dealt), pa.array(packed, pa.binary())],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(dealt), pa.array(packed, pa.binary())],
                     ["doc_id", "place", "bucket", "packed"],
                 )
 
