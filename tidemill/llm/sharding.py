@@ -43,38 +43,40 @@ def slot_bytes(sizes: DataFrame, slots: int) -> np.ndarray:
 
 
 def rebalanced(shards_of: np.ndarray, weights: np.ndarray, shards: int) -> np.ndarray:
-    """The next map: moves of slots from the fullest to the emptiest shard while that brings the two closer, then swaps."""
+    """The next map: moves of slots from the fullest to the emptiest shard, or swaps between the two, while that brings
+    them closer. A shard that cannot give (one heavy slot, say) is left alone and the next fullest gives."""
     to = shards_of.copy()
     load = np.bincount(to, weights, shards).astype(np.int64)
+    gives = np.ones(shards, bool)
     for _ in range(20 * len(to)):
-        high, low = int(load.argmax()), int(load.argmin())
+        high, low = int(np.where(gives, load, -1).argmax()), int(load.argmin())
         gap = int(load[high] - load[low])
-        own = np.flatnonzero((to == high) & (weights > 0))
-        fits = own[weights[own] < gap]
-        if gap <= 1 or not len(own):
+        if gap <= 1 or not gives.any():
             break
-        if len(fits):
-            best = fits[np.abs(2 * weights[fits] - gap).argmin()]  # leaves the two as close as one move can
-        if len(fits) and abs(gap - 2 * int(weights[best])) <= gap // 2:
-            to[best] = low
-            load[high] -= weights[best]
-            load[low] += weights[best]
-            continue
+        own = np.flatnonzero((to == high) & (weights > 0))
         other = np.flatnonzero(to == low)
-        if not len(other):
-            break
-        other = other[np.argsort(weights[other])]
-        want = weights[own] - gap // 2  # a swap of own[i] for one of this weight halves the gap
-        j = np.clip(np.searchsorted(weights[other], want), 0, len(other) - 1)
-        moved = weights[own] - weights[other[j]]
-        moved = np.where((moved > 0) & (moved < gap), np.abs(2 * moved - gap), gap)
-        i = int(moved.argmin())
-        if moved[i] >= gap:
-            break
-        a, b = own[i], other[j[i]]
-        to[a], to[b] = low, high
-        load[high] += weights[b] - weights[a]
-        load[low] += weights[a] - weights[b]
+        other = other[np.argsort(weights[other], kind="stable")]
+        left = np.abs(gap - 2 * weights[own])  # the gap that moving each would leave
+        i = int(left.argmin()) if len(own) else -1
+        move = int(left[i]) if len(own) else gap
+        swap = gap
+        if move > gap // 2 and len(own) and len(other):
+            j = np.clip(np.searchsorted(weights[other], weights[own] - gap // 2), 0, len(other) - 1)
+            after = np.abs(gap - 2 * (weights[own] - weights[other[j]]))
+            k = int(after.argmin())
+            swap = int(after[k])
+        if min(move, swap) >= gap:
+            gives[high] = False
+            continue
+        if swap < move:
+            x, y = own[k], other[j[k]]
+            to[x], to[y] = low, high
+            moved = weights[x] - weights[y]
+        else:
+            to[own[i]] = low
+            moved = weights[own[i]]
+        load[high] -= moved
+        load[low] += moved
     return to
 
 
