@@ -9,7 +9,8 @@ from tidemill.llm.pseudonyms import ROUNDS, op2, pseudonymise, stage
 
 def permuted(symbols, radices, kind, key):
     """The network in plain Python."""
-    s, h = list(symbols), len(symbols) // 2
+    s = list(symbols)
+    h = len(s) // 2
     for k in range(ROUNDS):
         other = s[h:] if k % 2 == 0 else s[:h]
         d = hashlib.sha512(f"{key}|{kind}|{len(s)}|{k}|{','.join(map(str, other))}".encode()).hexdigest()
