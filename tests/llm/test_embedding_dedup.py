@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
-from tidemill.llm.embedding_dedup import link_vectors, op9
+from tidemill.llm.embedding_dedup import Space, _deal, link_vectors, op9
 
 
 def brute(rows, cosine=0.9):
@@ -46,3 +49,16 @@ def test_unsound_vectors_and_shared_ids(spark):
     assert got == {1: (2, 1), 2: (2, 1), 10: (1, 1), None: (0, None)} | {i: (0, i) for i in (3, 4, 5, 6, 7, 8, 9)}
     assert {r.component_id for r in out if r.vec_id == 11} == {1}
     assert link_vectors(df.limit(0)).collect() == []
+
+
+def test_groups_are_bounded_by_the_chunk():
+    rng = np.random.default_rng(3)
+    n, chunk, space = 4_000, 100, {16: Space(16, 0.9, 4, 8)}
+    v = pa.array(rng.normal(size=(n, 16)).tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int64()), v, pa.array([16] * n, pa.int32())], ["node", "copies", "v", "length"])
+    counts = pa.Table.from_batches(_deal(space, None)([batch])).to_pylist()
+    chunks = {tuple(r[k] for k in r if k != "n"): -(-r["n"] // chunk) for r in counts}
+    sizes = Counter()
+    for b in _deal(space, chunks)([batch]):
+        sizes.update(zip(*(b.column(c).to_pylist() for c in b.schema.names if c not in ("home", "node", "copies", "v")), strict=True))
+    assert max(sizes.values()) < 3 * chunk

@@ -7,10 +7,11 @@ dealt to slabs along the block's first coordinate, and a vector also visits the
 only, so each pair meets once). In a slab the distances within the block pick the candidates, of which the first block
 that accepts a pair keeps it, and the cosine of the vectors themselves is verified in double precision.
 
-Slabs are cut into chunks of at most about `chunk` vectors, from counts of the slabs, so no task holds an unbounded
-group; equal vectors are joined once. Tasks return link counts and the edges of a spanning forest, not pairs. At a
-cosine of 0.9 no exact partition of such vectors is selective, so the pairs compared still grow with the square of the
-number of distinct vectors; slabs and budgets only lower the factor.
+The vectors at home in a slab and its visitors are both cut into chunks of about `chunk` vectors, from counts of both,
+and every pair of chunks is a group of its own: a task holds about 2 * `chunk` vectors at a time, whatever the table's
+size. Equal vectors are joined once. Tasks return link counts and the edges of a spanning forest, not pairs. At a cosine
+of 0.9 no exact partition of such vectors is selective, so the pairs compared still grow with the square of the number
+of distinct vectors; slabs and budgets only lower the factor. The rows shuffled grow with that square / `chunk`.
 
 Vectors that are null, zero or have null or non-finite components, and vectors of different lengths, link with
 nothing. Rows with equal vec_id are one node. A null vec_id gets no links and a null component. Extra columns are
@@ -31,6 +32,8 @@ from tidemill.llm.common import group_bounds, ship, store, whole_groups
 from tidemill.llm.components import components
 from tidemill.llm.ngram_join import forest
 
+GROUP = ["length", "block", "slab", "chunk", "partner"]
+
 
 class Space:
     """Rotation, blocks, budgets and slabs for vectors of one length."""
@@ -55,51 +58,68 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _deal(spaces: dict[int, Space], chunks: dict[tuple[int, int, int], int] | None):
-    """Rows of (length, block, slab, chunk, home, ...): where each vector goes; without chunks, only its home slabs."""
+def _deal(spaces: dict[int, Space], chunks: dict[tuple[int, int, int, int], int] | None, max_bytes: int = 10_000_000):
+    """Rows of (length, block, slab, chunk, partner, home, ...): where each vector goes. Partners under the number of home
+    chunks are home chunks (the later one, or the chunk itself), the others are chunks of visitors; home is 0 for the
+    partner's vectors. Without chunks, only counts by (length, block, slab, home)."""
+
+    def places(space: Space, length: int, y: np.ndarray, spread: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        for b, cut in enumerate(space.cuts):
+            first = y[:, cut[0]]
+            home = np.searchsorted(space.edges, first, "right")
+            top = np.searchsorted(space.edges, first + np.sqrt(space.budgets[b]), "right")
+            for s in range(len(space.edges) + 1):
+                own, above = np.flatnonzero(home == s), np.flatnonzero((home < s) & (top >= s))
+                if chunks is None:
+                    yield from ((x, b, s, np.zeros(len(x), int), np.zeros(len(x), int), np.full(len(x), h)) for h, x in ((1, own), (0, above)))
+                    continue
+                n, visiting = chunks.get((length, b, s, 1), 0), chunks.get((length, b, s, 0), 0)
+                if not n:
+                    continue
+                mine = (spread[own] % np.uint64(n)).astype(np.int64)
+                for p in range(n + visiting):
+                    yield own, b, s, np.minimum(mine, p), np.maximum(mine, p), (mine <= p).astype(int)
+                if visiting:
+                    theirs = n + (spread[above] % np.uint64(visiting)).astype(np.int64)
+                    for c in range(n):
+                        yield above, b, s, np.full(len(above), c), theirs, np.zeros(len(above), int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("length").to_numpy()
             for length in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == length))
-                space = spaces[length]
-                y = space.turned(matrix(part.column("v")))
-                node = part.column("node").to_numpy()
-                out: list[np.ndarray] = []
-                for b, cut in enumerate(space.cuts):
-                    first = y[:, cut[0]]
-                    home = np.searchsorted(space.edges, first, "right")
+                most = max(1, max_bytes // (8 * length))
+
+                def rows(out: list[np.ndarray], length=length, part=part, most=most) -> Iterator[pa.RecordBatch]:
+                    row, *keys = np.concatenate(out, axis=1)
+                    for at in range(0, len(row), most):
+                        take = pa.array(row[at : at + most])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), length, np.int32)), *(pa.array(x[at : at + most].astype(np.int32)) for x in keys), *(part.column(c).take(take) for c in ("node", "copies", "v"))], ["length", *GROUP[1:], "home", "node", "copies", "v"])
+
+                y = spaces[length].turned(matrix(part.column("v")))
+                spread = part.column("node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                found, waiting, n = [], [], 0
+                for row, b, s, chunk, partner, home in places(spaces[length], length, y, spread):
                     if chunks is None:
-                        out.append(np.stack([np.arange(len(y)), np.full(len(y), b), home, np.zeros(len(y), int), np.ones(len(y), int)]))
+                        found.append((length, b, s, int(home[0]) if len(home) else 0, len(row)))
                         continue
-                    top = np.searchsorted(space.edges, first + np.sqrt(space.budgets[b]), "right")
-                    spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-                    for s in range(len(space.edges) + 1):
-                        n = chunks.get((length, b, s), 1)
-                        own = np.flatnonzero(home == s)
-                        mine = (spread[own] % np.uint64(n)).astype(np.int64)
-                        out.append(np.stack([own, np.full(len(own), b), home[own], mine, np.ones(len(own), int)]))
-                        above = np.flatnonzero((home < s) & (top >= s))
-                        for c in range(n):
-                            lower = own[mine > c]
-                            visit = np.concatenate([lower, above])
-                            out.append(np.stack([visit, np.full(len(visit), b), np.full(len(visit), s), np.full(len(visit), c), np.zeros(len(visit), int)]))
-                row, block, slab, chunk, own = np.concatenate(out, axis=1)
-                if chunks is None:
-                    key, n = np.unique(np.stack([block, slab]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), length, np.int32)), pa.array(key[0].astype(np.int32)), pa.array(key[1].astype(np.int32)), pa.array(n)], ["length", "block", "slab", "n"])
-                    continue
-                for at in range(0, len(row), 20_000):
-                    s = slice(at, at + 20_000)
-                    take = pa.array(row[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), length, np.int32)), *(pa.array(x[s].astype(np.int32)) for x in (block, slab, chunk, own)), *(part.column(c).take(take) for c in ("node", "copies", "v"))], ["length", "block", "slab", "chunk", "home", "node", "copies", "v"])
+                    waiting.append(np.stack([row, np.full(len(row), b), np.full(len(row), s), chunk, partner, home]))
+                    n += len(row)
+                    if n >= most:
+                        yield from rows(waiting)
+                        waiting, n = [], 0
+                if n:
+                    yield from rows(waiting)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64() if k == 4 else pa.int32()) for k in range(5)], ["length", "block", "slab", "home", "n"])
 
     return run
 
 
 def _join(spaces: dict[int, Space], cosine: float, tile: int = 256):
-    def group(space: Space, b: int, home: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def group(space: Space, b: int, same: bool, home: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs: all pairs of one chunk (same), else only those of a home vector and one of the partner's."""
         order = np.argsort(~home, kind="stable")
         x = x[order]
         n_home = int(home.sum())
@@ -110,9 +130,10 @@ def _join(spaces: dict[int, Space], cosine: float, tile: int = 256):
         left, right = [], []
         for at in range(0, n_home, tile):
             end = min(at + tile, n_home)
-            near = square[at:end, None] + square[None, at:] - 2 * (z[at:end] @ z[at:].T) <= np.float32(space.budgets[b] + 1e-4)
+            after = at if same else n_home
+            near = square[at:end, None] + square[None, after:] - 2 * (z[at:end] @ z[after:].T) <= np.float32(space.budgets[b] + 1e-4)
             i, j = np.nonzero(near)
-            i, j = i + at, j + at
+            i, j = i + at, j + after
             ok = j > i
             i, j = i[ok], j[ok]
             for part in np.array_split(np.arange(len(i)), len(i) // 200_000 + 1):
@@ -128,8 +149,8 @@ def _join(spaces: dict[int, Space], cosine: float, tile: int = 256):
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["length", "block", "slab", "chunk"]):
-            keys = [t.column(c).to_numpy() for c in ("length", "block", "slab", "chunk")]
+        for t in whole_groups(batches, GROUP):
+            keys = [t.column(c).to_numpy() for c in GROUP]
             home, node, copies = t.column("home").to_numpy() == 1, t.column("node").to_numpy(), t.column("copies").to_numpy()
             bounds = group_bounds(*keys)
             for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -137,7 +158,7 @@ def _join(spaces: dict[int, Space], cosine: float, tile: int = 256):
                     continue
                 v = t.column("v").slice(a, e - a).combine_chunks()
                 x = matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)
-                left, right = group(spaces[int(keys[0][a])], int(keys[1][a]), home[a:e], x)
+                left, right = group(spaces[int(keys[0][a])], int(keys[1][a]), bool(keys[3][a] == keys[4][a]), home[a:e], x)
                 links = np.zeros(e - a, np.int64)
                 np.add.at(links, left, copies[a:e][right])
                 np.add.at(links, right, copies[a:e][left])
@@ -159,11 +180,10 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, slabs
     nodes = store(texts.select("key", "node", "copies", "v", F.size("v").alias("length")), "nodes")
     spaces = {r.length: Space(r.length, cosine, blocks, slabs) for r in nodes.select("length").distinct().collect()}
     plain = nodes.select("node", "copies", "v", "length")
-    counts = plain.mapInArrow(_deal(spaces, None), "length int, block int, slab int, n long").groupBy("length", "block", "slab").agg(F.sum("n").alias("n"))
-    chunks = {(r.length, r.block, r.slab): -(-r.n // chunk) for r in counts.collect()}  # at most blocks * slabs rows a length
-    keys = ["length", "block", "slab", "chunk"]
-    dealt = plain.mapInArrow(_deal(spaces, chunks), "length int, block int, slab int, chunk int, home int, node long, copies long, v array<double>")
-    found = store(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_join(spaces, cosine), "a long, b long, links long"), "links")
+    counts = plain.mapInArrow(_deal(spaces, None), "length int, block int, slab int, home int, n long").groupBy("length", "block", "slab", "home").agg(F.sum("n").alias("n"))
+    chunks = {(r.length, r.block, r.slab, r.home): -(-r.n // chunk) for r in counts.collect()}  # at most 2 * blocks * slabs rows a length
+    dealt = plain.mapInArrow(_deal(spaces, chunks), f"{', '.join(f'{c} int' for c in GROUP)}, home int, node long, copies long, v array<double>")
+    found = store(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_join(spaces, cosine), "a long, b long, links long"), "links")
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     owners = keyed.join(nodes.select("key", "node"), "key").select("vec_id", "key", "node")
     several = owners.groupBy("vec_id").agg(F.min("key").alias("k"), F.max("key").alias("l")).filter("k <> l").select("vec_id")
