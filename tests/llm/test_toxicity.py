@@ -23,6 +23,12 @@ def test_windows_of_toxic_texts_are_told_apart(model):
     assert model.scores[0] < 0.5 <= model.scores[1]
 
 
+def test_words_much_rarer_than_the_strongest_are_learned():
+    common, rare = ((lambda i, w=w: f"{text(i)} {w} c{i}") for w in ("scumbag", "vermin"))
+    d = Distance(fit([(text(i) + f" a{i}", 0) for i in range(800)] + [(common(i), 1) for i in range(360)] + [(rare(i), 1) for i in range(360, 400)]))
+    assert d.over(common(999)) and d.over(rare(999)) and not d.over(text(999))
+
+
 def test_scores_of_messy_rows(spark, messy, empty, model):
     docs = messy.select("doc_id", "text", "node")
     out = score(docs, model).collect()

@@ -8,9 +8,10 @@ that trained no dictionary, is the score.
 A window is one word (lower case, letters only), each character spelled as three fixed bytes: zstandard matches no
 fewer than four bytes or so and stores what saves too little as it is, so a short word in plain letters costs the same
 with any dictionary; spelled out, its length follows the number of dictionary pieces that make it up. Toxic texts
-are mostly ordinary words, and a dictionary that learns those as well tells nothing apart. So the toxic dictionary is
+are mostly ordinary words, and a dictionary that learns those as well tells less apart. So the toxic dictionary is
 trained on the windows of toxic texts that are over-represented there: their log-likelihood ratio over the distinct
-texts of both labels is `least_ratio` at least, and at least `of_best` of the highest such ratio.
+texts of both labels is `least_ratio` at least, however much stronger other words are. So words are preselected: what is
+toxic only as a phrase of ordinary words, or too rare in the sample for that ratio, is not recognised.
 
 The sample has at most about `sample` texts per label (chosen by a hash of doc_id), the one documented bound; scores
 cover whole texts of all rows. Null and empty texts, and texts without letters, have no windows and get the score of
@@ -114,7 +115,7 @@ class Distance:
         return sum(n for w, n in Counter(windows(text)).items() if self.of(w) >= self.threshold)
 
 
-def fit(labelled: list[tuple[str, int]], size: int = 65_536, least_ratio: float = 12.0, of_best: float = 0.2) -> Model:
+def fit(labelled: list[tuple[str, int]], size: int = 65_536, least_ratio: float = 12.0) -> Model:
     """labelled: (text, 0 or 1); equal texts with equal labels count once."""
     labelled = sorted(set(labelled))
     share = float(np.mean([y for _, y in labelled])) if labelled else 0.0
@@ -127,8 +128,7 @@ def fit(labelled: list[tuple[str, int]], size: int = 65_536, least_ratio: float
         return Model(b"", b"", float("inf"), (share,) * (MOST_COUNTED + 1))
     inside = {y: Counter(w for t in texts[y] for w in t) for y in (0, 1)}
     ratios = {w: ratio(n, len(texts[1]), inside[0][w], len(texts[0])) for w, n in inside[1].items()}
-    least = max(least_ratio, of_best * max(ratios.values(), default=0.0))
-    chosen = {w for w, r in ratios.items() if r >= least}
+    chosen = {w for w, r in ratios.items() if r >= least_ratio}
     toxic = train_dictionary([w for t, y in parts[0] if y for w in t if w in chosen], size)
     ordinary = train_dictionary([w for t, y in parts[0] if not y for w in t], size)
     distance = Distance(Model(toxic, ordinary, 0.0, ()))
