@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from tests.conftest import DATA
+from tidemill.plans.testbed import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
@@ -42,3 +43,16 @@ def test_entry(spark):
 
 def test_all_have_sql():
     assert all(q in __spark_entry__.oracle_sql() for q in __spark_entry__.queries() if q.startswith("q_"))
+
+
+def test_persist_digests_all_tables(spark, small):
+    article, link = tables(spark, small, "article", "link")
+    rows = {r.table_name: r.n_rows for r in __spark_entry__.queries()["q_persist_tables"](spark, small).collect()}
+    assert set(rows) == {"job_results", "scraping", "jobs", "articles", "links"}
+    assert rows["articles"] > article.count() and rows["links"] > link.count()
+
+
+def test_upsert_takes_all_lines(spark, small):
+    last = spark.read.parquet(f"{small}/lineitem.parquet").filter("l_linenumber > 2 and l_orderkey % 7 <> 0").selectExpr("concat('t', l_partkey) as title", "concat('https://n.example.com/', l_orderkey % 7001) as url")
+    out = __spark_entry__.queries()["q_article_upsert_all"](spark, small)
+    assert out.join(last, ["title", "url"], "left_semi").count() > __spark_entry__.queries()["q_article_upsert"](spark, small).join(last, ["title", "url"], "left_semi").count()

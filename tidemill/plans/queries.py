@@ -174,6 +174,14 @@ def q_week_starts(spark, d):
     return partitions.week_starts(article, later)
 
 
+@query(f"""select distinct cast(w as timestamp) as week_start from (select {_WEEK} as w from article union all
+    select {_WEEK} as w from (select coalesce(published_at + interval '700' day, timestamp '1970-01-01 00:00:00') as published_at from article) b) x where w is not null""")
+def q_week_starts_all(spark, d):
+    """As q_week_starts, with the whole table as the buffer."""
+    article = tables(spark, d, "article")[0]
+    return partitions.week_starts(article, article.withColumn("published_at", F.col("published_at") + F.expr("interval 700 days")))
+
+
 @query(f"""select (select count(*) from article where id%4=0) as articles_in_default, (select count(*) from link where source_id%4=0) as links_in_default,
     (select count(*) from (select distinct {_WEEK} as w from article) x where w is not null and w not in (select {_WEEK} from article where id%4<>0 and id%20=1 and published_at > timestamp '1970-01-01 00:00:00')) as weeks_made,
     (select count(distinct {_WEEK}) from article) as weeks_covered""")
@@ -252,10 +260,10 @@ def q_scrape_state(spark, d):
     return results.update_scraping(*tables(spark, d, "scraping", "result_msg"))
 
 
-def _article_messages(spark, d):
+def _article_messages(spark, d, lines: str = "true"):
     """Ingest results whose entries are line items' articles, some known and some new."""
     lineitem, article = tables(spark, d, "lineitem", "article")
-    l = lineitem.filter("l_linenumber <= 2").join(article.select("id", F.col("url").alias("u"), "published_at"), F.col("id") == F.col("l_orderkey") + 1)  # noqa: E741
+    l = lineitem.filter(lines).join(article.select("id", F.col("url").alias("u"), "published_at"), F.col("id") == F.col("l_orderkey") + 1)  # noqa: E741
     new = F.col("l_orderkey") % 5 == 0
     source = F.struct(
         F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("title"), F.when(new, F.concat(F.col("u"), F.lit("?new"))).otherwise(F.col("u")).alias("url"),
@@ -269,11 +277,22 @@ _BATCH = """(select l_orderkey*10+l_linenumber as seq, concat('t',l_partkey) as
     case when l_suppkey%2=0 then concat('s',l_partkey) end as summary, a.published_at from lineitem join article a on a.id=l_orderkey+1 where l_linenumber<=2 and l_orderkey%7<>0)"""
 
 
-@query(f"""with b as (select url, published_at, arg_max(title, seq) as title, arg_max(summary, seq) filter (where summary is not null) as summary from {_BATCH} x group by url, published_at),
+_UPSERT = f"""with b as (select url, published_at, arg_max(title, seq) as title, arg_max(summary, seq) filter (where summary is not null) as summary from {_BATCH} x group by url, published_at),
     n as (select url, published_at, row_number() over (order by published_at, url) + (select max(id) from article) as id from b where not exists (select 1 from article a where a.url=b.url and a.published_at=b.published_at))
     select coalesce(a.id, n.id) as id, coalesce(a.url, b.url) as url, coalesce(a.published_at, b.published_at) as published_at, coalesce(b.title, a.title) as title, coalesce(b.summary, a.summary) as summary, a.author
-    from article a full join b on a.url=b.url and a.published_at=b.published_at left join n on n.url=b.url and n.published_at=b.published_at""".replace("with b as", "select * from (with b as", 1) + ") y")
+    from article a full join b on a.url=b.url and a.published_at=b.published_at left join n on n.url=b.url and n.published_at=b.published_at""".replace("with b as", "select * from (with b as", 1) + ") y"
+
+
+@query(_UPSERT)
 def q_article_upsert(spark, d):
+    article, link = tables(spark, d, "article", "link")
+    out, _ = results.update_articles(article, link, results.fold_articles(_article_messages(spark, d, "l_linenumber <= 2")))
+    return out.select("id", "url", "published_at", "title", "summary", "author")
+
+
+@query(_UPSERT.replace("l_linenumber<=2 and ", ""))
+def q_article_upsert_all(spark, d):
+    """As q_article_upsert, with messages of all line items."""
     article, link = tables(spark, d, "article", "link")
     out, _ = results.update_articles(article, link, results.fold_articles(_article_messages(spark, d)))
     return out.select("id", "url", "published_at", "title", "summary", "author")
@@ -289,6 +308,56 @@ def q_persist_results(spark, d):
     return out["jobs"].filter("feeds_processed > 0").select("job_id", "feeds_processed", "feeds_error", "status")
 
 
+#: Columns of each table that persist gives; times end in :t.
+_PERSISTED = {
+    "job_results": "job_id feed_id status queue_kind error_message",
+    "scraping": "feed_id fetchprotection last_update:t etag error_nbr error_msg",
+    "jobs": "job_id feed_count feeds_processed feeds_error status",
+    "articles": "id url published_at:t title summary author image_url",
+    "links": "source_id feed_id published_at:t",
+}
+
+
+def _digest_sql(name: str, columns: str) -> str:
+    parts = (f"coalesce(strftime({c[:-2]}, '%Y-%m-%d %H:%M:%S'),'~')" if c.endswith(":t") else f"coalesce(cast({c} as varchar),'~')" for c in columns.split())
+    return f"select '{name}' as table_name, count(*) as n_rows, cast(sum(cast('0x'||substr(md5(concat_ws('|', {', '.join(parts)})),1,8) as bigint)) as bigint) as digest from n_{name}"
+
+
+@query(f"""select * from (with m as (select * from (select r.*, row_number() over (partition by r.job_id, r.feed_id order by seq) as rn from result_msg r join job j on j.job_id=r.job_id) x where rn=1 and feed_id%4<>0),
+    e as (select m.seq, m.feed_id, concat('t',m.seq) as title, case when m.seq%2=0 then concat('s',m.seq) end as summary, concat(coalesce(a.url,'https://n.example.com/none'), case when m.seq%5=0 then '?new' else '' end) as url,
+      coalesce(a.published_at, timestamp '1970-01-01 00:00:00') as published_at from m left join article a on a.id=m.seq+1 where m.status='success' and m.stream_name='rss_ingest_results'),
+    b as (select url, published_at, arg_max(title, seq) as title, arg_max(summary, seq) filter (where summary is not null) as summary from e group by url, published_at),
+    n as (select url, published_at, row_number() over (order by published_at, url) + (select max(id) from article) as id from b where not exists (select 1 from article a where a.url=b.url and a.published_at=b.published_at)),
+    f as ({_FOLD.replace("from result_msg", "from m")}),
+    n_job_results as (select job_id, feed_id, status, case stream_name when 'rss_check_results' then 'check' when 'rss_ingest_results' then 'ingest' else 'error' end as queue_kind, error_message from job_result),
+    n_scraping as (select coalesce(s.feed_id, f.feed_id) as feed_id, coalesce(f.fetchprotection, s.fetchprotection) as fetchprotection, coalesce(f.last_update, s.last_update) as last_update, coalesce(f.etag, s.etag) as etag,
+      coalesce(s.error_nbr,0) + coalesce(f.errors,0) as error_nbr, case when f.feed_id is null then s.error_msg else f.error_msg end as error_msg from scraping s full join f on f.feed_id=s.feed_id),
+    n_jobs as (select j.job_id, j.feed_count, coalesce(feeds_processed,0) as feeds_processed, coalesce(feeds_error,0) as feeds_error, case when j.feed_count=0 then 'completed' when coalesce(feeds_processed,0)=0 then 'queued'
+      when feeds_processed<j.feed_count then 'processing' when feeds_error>0 then 'completed_with_errors' else 'completed' end as status from job j left join (select job_id, {_COUNTS} from job_result group by job_id) r on r.job_id=j.job_id),
+    n_articles as (select coalesce(a.id, n.id) as id, coalesce(a.url, b.url) as url, coalesce(a.published_at, b.published_at) as published_at, coalesce(b.title, a.title) as title, coalesce(b.summary, a.summary) as summary, a.author, a.image_url
+      from article a full join b on a.url=b.url and a.published_at=b.published_at left join n on n.url=b.url and n.published_at=b.published_at),
+    n_links as (select source_id, feed_id, published_at from link union select a.id, e.feed_id, e.published_at from e join n_articles a on a.url=e.url and a.published_at=e.published_at)
+    {" union all ".join(_digest_sql(*x) for x in _PERSISTED.items())}) y""")
+def q_persist_tables(spark, d):
+    """Row counts and digests of all tables that a batch of results, with sources, leaves behind."""
+    m, job, scraping, known, article, link = tables(spark, d, "result_msg", "job", "scraping", "job_result", "article", "link")
+    old = known.filter("feed_id % 4 = 0").select("job_id", "feed_id", "status", results.queue_kind(F.col("stream_name")).alias("queue_kind"), "error_message")
+    none = F.lit(None).cast("string")
+    source = F.struct(
+        F.concat(F.lit("t"), F.col("seq").cast("string")).alias("title"), F.concat(F.coalesce("u", F.lit("https://n.example.com/none")), F.when(F.col("seq") % 5 == 0, "?new").otherwise("")).alias("url"),
+        F.when(F.col("seq") % 2 == 0, F.concat(F.lit("s"), F.col("seq").cast("string"))).alias("summary"), none.alias("author"), F.col("p").alias("published_at"), none.alias("image_url"),
+    )
+    m = m.join(article.select((F.col("id") - 1).alias("seq"), F.col("url").alias("u"), F.col("published_at").alias("p")), "seq", "left").withColumn("sources", F.array(source)).drop("u", "p")
+    out = results.persist(m, {"jobs": job, "job_results": old, "scraping": scraping, "articles": article, "links": link})
+    digests = None
+    for name, columns in _PERSISTED.items():
+        parts = [F.coalesce(F.date_format(c[:-2], "yyyy-MM-dd HH:mm:ss") if c.endswith(":t") else F.col(c).cast("string"), F.lit("~")) for c in columns.split()]
+        hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+        one = out[name].agg(F.count("*").alias("n_rows"), F.sum(hashed).alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", "digest")
+        digests = one if digests is None else digests.unionByName(one)
+    return digests
+
+
 @query("""select feed_id, case when level=0 then 'error' when error is not null then 'error' when unchanged then 'not_modified' when parse_error is not null then 'error' else 'success' end as status,
     case when level=0 then 'Blocked by fetch protection' when error is not null then error when unchanged then null when parse_error is not null then concat('Feed parse error: ',parse_error) end as error_message,
     case when level=0 or error is not null then null when unchanged or parse_error is not null then last_modified else coalesce(last_modified, parsed_last_modified) end as new_last_update
