@@ -76,3 +76,10 @@ def test_least_squares_and_plan():
         for c in combo:
             used[c] += n
     assert (used == histogram).all()
+
+
+def test_short_texts_fill_their_windows(spark):
+    rows = [(i, " ".join(["one"] * (16 if i % 3 else 19))) for i in range(2_000)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string"), default_tokenizer(), window=512).collect()
+    n = check([(d, ids_of(t)) for d, t in rows], out, 512)
+    assert n <= 1.05 * sum(len(ids_of(t)) for _, t in rows) / 512 + 1

@@ -1,15 +1,17 @@
 """Packing of token pieces into fixed windows by non-negative least squares over length combinations.
 
 1. Each text is tokenised, the closing id is added, and the ids are cut into pieces of `window` ids and one rest.
-2. Rests are put into length bins of `grain` ids (rounded up) and counted: a histogram of window / grain bins.
-3. All combinations of up to three bins that fill a window exactly are enumerated. Non-negative least squares finds
-   repeat counts whose bins match the histogram; they are rounded down and cut back to what there is.
+2. Rests are put into bins by length and counted: exact ones up to `fine` ids, above that of `grain` ids (rounded up). A
+   bin's number is the room that its pieces take.
+3. Combinations of bins that fill a window exactly are enumerated: all of up to three bins, and for bins of up to a
+   quarter of the window those of nearly as many of their pieces as fit and up to two others. Non-negative least squares
+   finds repeat counts whose bins match the histogram; they are rounded down and cut back to what there is.
 4. Pieces that this leaves over are packed greedily (longest first, then the longest that still fits), on the
    histogram, which adds a few combinations with repeat counts.
 5. Pieces are numbered within their bin (count per bin and hash part, offsets, then numbers within a part: no task
    gets a whole bin), and the number says to which repeat of which combination a piece goes.
 
-Only the histogram (window / grain counts) and the bin-part counts (times `parts`) reach the driver. The plan depends
+Only the histogram (fine + window / grain counts) and the bin-part counts (times `parts`) reach the driver. The plan depends
 on counts alone, so a lost executor's rows come out the same again.
 
 A null text counts as empty: its only id is the closing one. Rows with equal doc_id are separate documents here.
@@ -128,16 +130,18 @@ def _pieces(path: str, end_id: int, window: int):
     return run
 
 
-def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int = 2000) -> np.ndarray:
+def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int = 2000, times: np.ndarray | None = None) -> np.ndarray:
     """Least squares a x = goal with x >= 0, by active sets: columns enter one at a time by the steepest slope, and leave
     where the unconstrained solution of the active ones would turn them negative. The matrix is given by its few
-    entries: column j has weight[r] for each r in columns[j] (rows may repeat; row 0 stands for none, weight 0)."""
+    entries: column j has weight[r] for each r in columns[j] (rows may repeat; row 0 stands for none, weight 0), times
+    as often as `times` says."""
     n = len(columns)
+    times = np.ones(columns.shape) if times is None else times
     x, active = np.zeros(n), np.zeros(n, bool)
-    slope_of = lambda v: (weight * v)[columns].sum(1)
+    slope_of = lambda v: ((weight * v)[columns] * times).sum(1)
     tiny = 1e-9 * max(1.0, float(np.abs(slope_of(goal)).max(initial=0)))
     for _ in range(most):
-        residual = goal - weight * np.bincount(columns.ravel(), np.repeat(x, columns.shape[1]), len(weight))
+        residual = goal - weight * np.bincount(columns.ravel(), (x[:, None] * times).ravel(), len(weight))
         slope = np.where(active, -np.inf, slope_of(residual))
         j = int(np.argmax(slope)) if n else 0
         if not n or slope[j] <= tiny:
@@ -146,7 +150,7 @@ def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int =
         while active.any():
             on = np.flatnonzero(active)
             part = np.zeros((len(weight), len(on)))
-            np.add.at(part, (columns[on].ravel(), np.repeat(np.arange(len(on)), columns.shape[1])), weight[columns[on]].ravel())
+            np.add.at(part, (columns[on].ravel(), np.repeat(np.arange(len(on)), columns.shape[1])), (weight[columns[on]] * times[on]).ravel())
             gram = part.T @ part
             gram[np.diag_indices(len(on))] += 1e-12 * (1 + gram.diagonal())  # active columns may depend on each other
             z = np.linalg.solve(gram, part.T @ goal)
@@ -163,9 +167,48 @@ def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int =
     return x
 
 
-def combinations(bins: int) -> list[tuple[int, ...]]:
-    """Up to three bin numbers (1 to bins), rising, that sum to bins."""
-    return [(bins,)] + [(a, bins - a) for a in range(1, bins // 2 + 1)] + [(a, b, bins - a - b) for a in range(1, bins // 3 + 1) for b in range(a, (bins - a) // 2 + 1)]
+def combinations(has: np.ndarray, pairs: int = 8) -> list[tuple[tuple[int, int], ...]]:
+    """(bin, times) of combinations that sum to the window, of bins b with has[b] (1 .. window): all of two or three
+    pieces, and those of many pieces of one bin with at most two others (up to `pairs` choices of two)."""
+    window = len(has) - 1
+    sizes = np.flatnonzero(has[:window])
+    out: list[tuple[tuple[int, int], ...]] = []
+    for a in sizes.tolist():
+        if 2 * a <= window and has[window - a]:
+            out.append(((a, 1), (window - a, 1)))
+        b = sizes[(sizes >= a) & (2 * sizes <= window - a)]
+        out += [((a, 1), (m, 1), (window - a - m, 1)) for m in b[has[window - a - b]].tolist()]
+    for a in sizes[4 * sizes <= window].tolist():
+        for k in range(max(4, window // a - 3), window // a + 1):
+            rest = window - k * a
+            if rest == 0 or has[rest]:
+                out.append(((a, k), (rest, 1)) if rest else ((a, k),))
+            b = sizes[2 * sizes <= rest]
+            out += [((a, k), (m, 1), (rest - m, 1)) for m in b[has[rest - b]][-pairs:].tolist()]
+    return out
+
+
+def least_squares(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations with repeat counts that fill windows exactly; what they use is taken off left."""
+    combos = combinations(left > 0)
+    if not combos:
+        return []
+    out = []
+    rows = np.flatnonzero(left)
+    at = np.zeros(len(left), np.int64)
+    at[rows] = np.arange(1, len(rows) + 1)
+    padded = np.array([(*c, (0, 0), (0, 0))[:3] for c in combos])
+    columns, times = at[padded[:, :, 0]], padded[:, :, 1].astype(np.float64)
+    weight = np.append(0, 1 / np.sqrt(left[rows]))  # a piece missed in a rare bin weighs more than in a common one
+    x = nnls(columns, weight, np.append(0, left[rows]) * weight, times=times)
+    for j in np.argsort(-x, kind="stable")[: np.count_nonzero(x > 0)]:
+        combo = tuple(sorted(b for b, k in combos[j] for _ in range(k)))
+        need = np.bincount(combo, minlength=len(left))
+        n = min(int(x[j] + 1e-6), *(int(left[b] // need[b]) for b in combo))
+        if n > 0:
+            left -= n * need
+            out.append((combo, n))
+    return out
 
 
 def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -176,28 +219,16 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     if left[bins]:
         out.append(((bins,), int(left[bins])))
         left[bins] = 0
-    if left.sum():
-        present = left > 0
-        combos = [c for c in combinations(bins)[1:] if present[list(c)].all()]
-        if combos:
-            columns = np.array([(*c, 0, 0)[:3] for c in combos])
-            weight = 1 / np.sqrt(np.maximum(left, 1))  # a piece missed in a rare bin weighs more than in a common one
-            weight[0] = 0
-            x = nnls(columns, weight, left * weight)
-            for j in np.argsort(-x):
-                need = np.bincount(combos[j], minlength=bins + 1)
-                n = min(int(x[j] + 1e-6), *(int(left[b] // need[b]) for b in combos[j]))
-                if n > 0:
-                    left -= n * need
-                    out.append((combos[j], n))
+    out += least_squares(left)
     while left.any():
         take, room = [], bins
         spare = left.copy()
         while room > 0 and (fit := np.flatnonzero(spare[: room + 1])).size:
             b = int(fit[-1])
-            take.append(b)
-            spare[b] -= 1
-            room -= b
+            k = min(int(spare[b]), room // b)
+            take += [b] * k
+            spare[b] -= k
+            room -= k * b
         need = np.bincount(take, minlength=bins + 1)
         n = max(1, min(int(left[b] // need[b]) for b in set(take)))
         left -= n * need
@@ -235,15 +266,16 @@ def _assign(bins_plan: list[tuple[tuple[int, ...], int]]):
 _PIECE = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, grain: int = 16, parts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, grain: int = 16, parts: int = 256, fine: int = 256) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     pieces = texts.mapInArrow(_pieces(tokenizer, end_id, window), _PIECE)
-    pieces = pieces.withColumn("bin", F.ceil(F.col("length") / grain).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(parts)).cast("int"))
+    room = F.when(F.col("length") <= fine, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / grain) * grain, F.lit(window)))
+    pieces = pieces.withColumn("bin", room.cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(parts)).cast("int"))
     pieces = store(pieces, "pieces")
-    counts = pieces.groupBy("bin", "part").count().orderBy("bin", "part").collect()  # at most window / grain * parts rows
-    histogram = np.zeros(window // grain + 1, np.int64)
+    counts = pieces.groupBy("bin", "part").count().orderBy("bin", "part").collect()  # at most (fine + window / grain) * parts rows
+    histogram = np.zeros(window + 1, np.int64)
     offsets = []
     for r in counts:
         offsets.append((r.bin, r.part, int(histogram[r.bin])))
