@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tidemill.llm.substring_dedup import op6, remove_repeated
+from tidemill.llm.substring_dedup import collected, op6, remove_repeated, repeated_spans
 
 
 def words(text):
@@ -48,3 +48,12 @@ def test_messy_rows(spark, messy, empty):
     assert got(remove_repeated(messy, window=35)) == brute(rows, 35)
     assert got(remove_repeated(messy, window=6)) == brute(rows, 6)
     assert remove_repeated(empty).collect() == []
+
+
+def test_spans_of_repeated_rows_are_collected_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text)] * 30 + [(None, text)] * 30 + [(6, f"{text} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collected(repeated_spans(docs, 35)).collect()
+    assert len(found) == 3 and all(len(r.spans) == len(set(r.spans)) for r in found)
+    assert got(remove_repeated(docs, 35)) == brute(rows, 35)

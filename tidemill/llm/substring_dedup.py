@@ -218,9 +218,14 @@ def repeated_spans(docs: DataFrame, window: int = 35, seed: int = 4, hot_share:
     return spans
 
 
+def collected(spans: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans: each span once, however many rows have that doc_id and text."""
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
 def remove_repeated(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    spans = repeated_spans(docs, window, **options).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = collected(repeated_spans(docs, window, **options))
     keyed = docs.select("doc_id", _text_key(), "text")
     s = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
     joined = keyed.join(s, keyed.doc_id.eqNullSafe(s._d) & (keyed.text_key == s._k), "left")
