@@ -1,8 +1,8 @@
 """A training corpus from raw documents: each stage works on all that the one before it kept.
 
-Toxic documents go, one document of each near-duplicate class stays, documents that hold benchmark items go, personal
-numbers and dates become pseudonyms, and what is left is packed into token sequences. Rows with a null doc_id pass the
-near-duplicate stage as they are; all stages keep the columns of documents but the last, which returns pieces.
+Toxic documents go, one row of each near-duplicate class stays, documents that hold benchmark items go, personal
+numbers and dates become pseudonyms, and what is left is packed into token sequences. Rows with a null doc_id take part
+in the near-duplicate stage by their texts; all stages keep the columns of documents but the last, which returns pieces.
 """
 
 from __future__ import annotations

@@ -61,6 +61,15 @@ def test_messy_rows(messy, empty):
     assert one_of_each(messy).columns == messy.columns
 
 
+def test_one_row_of_each_class_stays(messy):
+    kept = one_of_each(messy).collect()
+    ids = Counter(r.doc_id for r in kept)
+    assert ids == {1: 1, 3: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1, None: 1}
+    assert [r.text for r in kept if r.doc_id is None] == ["A text without an id. A text without an id."], "the null text is a copy of 3"
+    again = one_of_each(messy.unionByName(messy).repartition(5)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, kept))
+
+
 def test_pruning_bound():
     least = least_matches(0.8, 1e-5, 16)
     assert list(least) == sorted(least) and 0 < least[0] < 16 * 0.8 and least[-1] < 128 * 0.8

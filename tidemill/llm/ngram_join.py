@@ -221,9 +221,19 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), tolera
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is the first of its class; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, **options).filter("kept").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of docs per class: of the smallest doc_id, then by its text and its other columns. A row with a null doc_id
+    counts as a document named by a hash of its text, and stays only where its class has no row with an id."""
+    key = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    name = F.coalesce("doc_id", F.xxhash64(key)).alias("doc_id")
+    classes = near_duplicates(docs.select(name, "text"), **options).select(F.col("doc_id").alias("_name"), F.col("class_id").alias("_class")).distinct()
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), name, key.alias("text_key"), whole.alias("whole"))
+    ranks = docs.select(name.alias("_name"), rank.alias("_rank"))
+    first = ranks.join(classes, "_name").groupBy("_class").agg(F.min("_rank").alias("_rank")).select("_rank.*").withColumnsRenamed({"unnamed": "_a", "doc_id": "_b", "text_key": "_c", "whole": "_d"})
+    first = store(first, "first")
+    marked = docs.select("*", rank.alias("_rank")).select("*", *[F.col(f"_rank.{c}").alias(k) for c, k in (("unnamed", "_a"), ("doc_id", "_b"), ("text_key", "_c"), ("whole", "_d"))])
+    keys = ["_a", "_b", "_c", "_d"]
+    return marked.join(first, keys, "left_semi").dropDuplicates(keys).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
