@@ -2,7 +2,7 @@ import zlib
 
 import pytest
 
-from tidemill.llm.toxicity import Distance, fit, op8, score, stage
+from tidemill.llm.toxicity import Distance, fit, labelled_sample, op8, score, stage
 
 BASE = "the quick river runs along green hills while many people walk slowly under warm evening light near old stone houses".split()
 
@@ -19,28 +19,37 @@ def model():
 
 def test_windows_of_toxic_texts_are_told_apart(model):
     d = Distance(model)
-    assert d.over(text(999, True)) >= 1 and d.over(text(999)) == 0
-    assert model.scores[0] < 0.5 <= model.scores[1]
+    assert d.score(text(999)) < 0.5 <= d.score(text(999, True))
+    assert d.of("scumbag") > 0 and max(d.of(w) for w in BASE) <= 0
 
 
 def test_words_much_rarer_than_the_strongest_are_learned():
     common, rare = ((lambda i, w=w: f"{text(i)} {w} c{i}") for w in ("scumbag", "vermin"))
     d = Distance(fit([(text(i) + f" a{i}", 0) for i in range(800)] + [(common(i), 1) for i in range(360)] + [(rare(i), 1) for i in range(360, 400)]))
-    assert d.over(common(999)) and d.over(rare(999)) and not d.over(text(999))
+    assert d.score(common(999)) >= 0.5 and d.score(rare(999)) >= 0.5 and d.score(text(999)) < 0.5
+
+
+def test_beginnings_that_toxic_words_share_are_learned():
+    """Each toxic word is seen once at most in training, the ones scored never; only their beginning recurs."""
+    ending = lambda i: "".join("aeioulnrst"[i // 10**k % 10] for k in range(4))
+    bad = lambda i: f"{text(i)} vexqu{ending(i)} vexqu{ending(i + 5_000)}"
+    good = lambda i: f"{text(i)} {ending(i)} {ending(i + 5_000)}"
+    d = Distance(fit([(good(i), 0) for i in range(400)] + [(bad(i), 1) for i in range(400, 600)]))
+    assert sum(d.score(bad(i)) >= 0.5 for i in range(700, 800)) > 90 and sum(d.score(good(i)) < 0.5 for i in range(800, 900)) > 95
 
 
 def test_scores_of_messy_rows(spark, messy, empty, model):
     docs = messy.select("doc_id", "text", "node")
     out = score(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
-    assert {r.score for r in out if not r.text} == {model.scores[0]}
+    assert {r.score for r in out if not r.text} == {model.share}
     assert score(empty.select("doc_id", "text"), model).collect() == []
     with pytest.raises(ValueError):
         score(messy, model)
 
 
 def test_without_labels():
-    assert fit([]).scores[0] == 0 and fit([("a b", 1), ("c", 1)]).scores == (1.0,) * 6
+    assert Distance(fit([])).score("a b") == 0 and {Distance(fit([("a b", 1), ("c", 1)])).score(t) for t in ("a b", "", None, "d e f")} == {1.0}
 
 
 def test_held_out_accuracy(spark):
@@ -54,6 +63,24 @@ def test_held_out_accuracy(spark):
     assert right > max(0.93, sum(1 - y for _, y in held) / len(held))
 
 
+def test_held_out_recall_and_specificity(spark):
+    """By language, where the sample holds enough toxic texts (some 220 English ones) to learn from."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = op8(spark, d).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "toxic").agg({"predicted": "avg", "*": "count"}).collect()
+    share = {(r.lang, r.toxic): r["avg(predicted)"] for r in rows}
+    assert share["en", 1] > 0.8
+    assert all(share[lang, 0] < 0.03 for lang in ("en", "de", "fr", "es"))
+
+
+def test_sample_is_broadcast(spark, small):
+    """The texts of documents are not shuffled to meet the labels."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    texts, sizes = labelled_sample(docs, labels)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and sum(sizes.values()) == labels.filter("toxic in (0, 1)").count()
+
+
 def test_stage_keeps_columns(spark, messy, empty, small):
     assert stage(spark, messy, small).columns == messy.columns
     assert stage(spark, empty, small).count() == 0

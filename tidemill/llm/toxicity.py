@@ -1,23 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from a labelled sample: one on windows of toxic texts, one on windows of
-ordinary texts. A window is compressed with both; the bytes that the toxic dictionary saves are its distance. The
-share of toxic texts among those with 0, 1, 2, ... windows at or over a threshold, measured on a part of the sample
-that trained no dictionary, is the score.
-
-A window is one word (lower case, letters only), each character spelled as three fixed bytes: zstandard matches no
-fewer than four bytes or so and stores what saves too little as it is, so a short word in plain letters costs the same
-with any dictionary; spelled out, its length follows the number of dictionary pieces that make it up. Toxic texts
-are mostly ordinary words, and a dictionary that learns those as well tells less apart. So the toxic dictionary is
-trained on the windows of toxic texts that are over-represented there: their log-likelihood ratio over the distinct
-texts of both labels is `least_ratio` at least, however much stronger other words are. So words are preselected: what is
-toxic only as a phrase of ordinary words, or too rare in the sample for that ratio, is not recognised.
-
-The sample has at most about `sample` texts per label (chosen by a hash of doc_id), the one documented bound; scores
-cover whole texts of all rows. Null and empty texts, and texts without letters, have no windows and get the score of
-texts with none over the threshold. Labels other than 0 and 1, and labels of no document, are ignored; a document with
-several labels counts once for each. Without any toxic (or ordinary) labelled text every score is the share of toxic
-labels (0 without labels). Extra columns are ignored.
+Two zstandard dictionaries are trained on a labelled sample: one on the windows of toxic texts, one on the windows of
+ordinary texts, whole texts of both and no choice among their words. A window is compressed with both; the bytes that
+the toxic dictionary saves are its distance. For the calibration the sample is cut into FOLDS parts by a hash of the
+text, and each part is measured by dictionaries trained on the others: for each distance the logarithm of how much more
+often windows of toxic texts have it, and, for the sum of these over a text's windows by the root of their number, the
+share of toxic texts (isotonic regression, weighted to the shares of the labels). That share is the score.
+
+A window is one word (lower case, letters only) between spaces, each character spelled as two fixed bytes, since
+zstandard stores what is as short as a word uncompressed, and since a match costs it more than the few letters that it
+replaces. Compressed with an optimal parse and matches of three bytes or more, a spelled word's length follows the
+dictionary pieces that make it up, so that beginnings which toxic words share count as well as whole words. The ordinary
+dictionary is the larger one: ordinary words are then seldom shorter with the toxic one.
+
+Bounds: the sample has about `sample` texts per label (chosen by a hash of doc_id); a dictionary is trained on `most`
+windows of its label, taken from the texts in equal numbers at even steps over the whole text. Scores cover all windows of whole texts of all rows; a text is
+held as the list of its words, so that a task needs some twenty times its longest text. Null and empty texts, and texts
+without letters, get the share of toxic labels. Equal texts get equal scores; in the sample they count once per label.
+Labels other than 0 and 1, and labels of no document, are ignored; a document with several labels counts once for each.
+Without any toxic (or ordinary) labelled text every score is the share of toxic labels (0 without labels). Extra columns
+are ignored; a column named as one that is added raises ValueError.
 """
 
 from __future__ import annotations
@@ -35,70 +37,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import crc_long, ship, slices
+from tidemill.llm.common import crc_long, ship, slices, store
 
 WINDOW = re.compile(r"[^\W\d_]+")
-MOST_COUNTED = 5
-MOST_WINDOWS = 150_000  # that a dictionary is trained on, taken at even steps from the sample
+LARGEST = 40  # distances beyond it count as it
+FOLDS = 3
+TOXIC_SIZE, ORDINARY_SIZE = 131_072, 524_288
 
 
-class _Wide(dict):
-    """WIDTH fixed, unlike bytes for each character."""
-
-    WIDTH = 3
+class _Spelling(dict):
+    """Two fixed bytes for each character."""
 
     def __missing__(self, code: int) -> str:
         v = (code + 1) * 0x9E3779B97F4A7C15 % 2**64
         v = (v ^ v >> 29) * 0xBF58476D1CE4E5B9 % 2**64
-        self[code] = out = "".join(chr(v >> 8 * i & 255) for i in range(1, 1 + self.WIDTH))
+        self[code] = out = chr(v >> 8 & 255) + chr(v >> 16 & 255)
         return out
 
 
-_wide = _Wide()
+_spelling = _Spelling()
 
 
 def spelled(window: str) -> bytes:
     """The bytes that are compressed for a window."""
-    return f" {window} ".translate(_wide).encode("latin-1")
-
-
-@dataclass(frozen=True)
-class Model:
-    toxic: bytes
-    ordinary: bytes
-    threshold: float
-    scores: tuple[float, ...]  # by the number of windows at or over the threshold, up to MOST_COUNTED
+    return f" {window} ".translate(_spelling).encode("latin-1")
 
 
 def windows(text: str | None) -> list[str]:
     return WINDOW.findall(text.lower()) if text else []
 
 
-def train_dictionary(samples: list[str], size: int) -> bytes:
+def even_steps(found: list[str], most: int) -> list[str]:
+    """Distinct windows, at most `most` at even steps."""
+    distinct = list(dict.fromkeys(found))
+    return [distinct[i * len(distinct) // most] for i in range(most)] if len(distinct) > most else distinct
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little to train on, the samples themselves."""
-    data = [spelled(s) for s in samples[:: 1 + len(samples) // MOST_WINDOWS]]
-    total = sum(map(len, data))
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(min(size, max(256, total // 4)), data, k=60, d=8).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, total // 4)), samples, k=80, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(sorted(set(data)))[-size:]
+        return b"".join(sorted(set(samples)))[-size:]
+
+
+@dataclass(frozen=True)
+class Model:
+    toxic: bytes
+    ordinary: bytes
+    share: float
+    weights: tuple[float, ...] = ()  # of distances from -LARGEST to LARGEST
+    sums: tuple[float, ...] = ()  # rising; scores at them, and between them by interpolation
+    scores: tuple[float, ...] = ()
 
 
 class Distance:
     """Bytes saved by the toxic dictionary on a window; recent windows are remembered."""
 
-    def __init__(self, model: Model, level: int = 3, most: int = 400_000):
-        self.compress = [self._compressor(d, level) for d in (model.ordinary, model.toxic)]
-        self.threshold, self.most, self.known = model.threshold, most, {}
+    def __init__(self, model: Model, most: int = 400_000):
+        self.compress = [self._compressor(d) for d in (model.ordinary, model.toxic)]
+        self.model, self.weights, self.most, self.known = model, list(model.weights), most, {}
 
     @staticmethod
-    def _compressor(dictionary: bytes, level: int):
-        plain = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
-        if not dictionary:
-            return zstandard.ZstdCompressor(compression_params=plain).compress
+    def _compressor(dictionary: bytes):
+        # btultra2 with chains over all of the dictionary; no header
+        rule = zstandard.ZstdCompressionParameters(
+            window_log=20, hash_log=18, chain_log=21, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA2,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0,
+        )
         d = zstandard.ZstdCompressionDict(dictionary)
-        d.precompute_compress(compression_params=plain)
-        return zstandard.ZstdCompressor(dict_data=d, compression_params=plain).compress
+        d.precompute_compress(compression_params=rule)
+        return zstandard.ZstdCompressor(dict_data=d, compression_params=rule).compress
 
     def of(self, window: str) -> int:
         found = self.known.get(window)
@@ -107,67 +117,129 @@ class Distance:
                 self.known.clear()
             data = spelled(window)
             ordinary, toxic = self.compress
-            found = self.known[window] = len(ordinary(data)) - len(toxic(data))
+            found = self.known[window] = max(-LARGEST, min(LARGEST, len(ordinary(data)) - len(toxic(data))))
         return found
 
-    def over(self, text: str | None) -> int:
-        """Windows of the text at or over the threshold."""
-        return sum(n for w, n in Counter(windows(text)).items() if self.of(w) >= self.threshold)
+    def counts(self, text: str | None) -> np.ndarray:
+        """How many windows of the text have each distance from -LARGEST to LARGEST."""
+        out = np.zeros(2 * LARGEST + 1, np.int64)
+        for w, n in Counter(windows(text)).items():
+            out[self.of(w) + LARGEST] += n
+        return out
 
+    def score(self, text: str | None) -> float:
+        counts = self.counts(text) if self.weights else np.zeros(1)
+        if not counts.sum():
+            return self.model.share
+        x = evidence(counts[None], np.array(self.weights))[0]
+        # the last thousandth keeps the order where the calibration is flat
+        return float(0.999 * np.interp(x, self.model.sums, self.model.scores) + 0.0005 * (1 + x / (1 + abs(x))))
+
+
+def evidence(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return counts @ weights / np.sqrt(counts.sum(1) + 1)
 
-def fit(labelled: list[tuple[str, int]], size: int = 65_536, least_ratio: float = 12.0) -> Model:
-    """labelled: (text, 0 or 1); equal texts with equal labels count once."""
-    labelled = sorted(set(labelled))
-    share = float(np.mean([y for _, y in labelled])) if labelled else 0.0
-    parts: list[list[tuple[list[str], int]]] = [[], []]
-    same: dict[str, str] = {}  # one object for each word
-    for i, (text, y) in enumerate(sorted(labelled, key=lambda x: hash_of(x[0]))):
-        parts[i % 3 == 2].append(([same.setdefault(w, w) for w in windows(text)], y))
-    texts = {y: [set(w) for w, label in parts[0] if label == y] for y in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return Model(b"", b"", float("inf"), (share,) * (MOST_COUNTED + 1))
-    inside = {y: Counter(w for t in texts[y] for w in t) for y in (0, 1)}
-    ratios = {w: ratio(n, len(texts[1]), inside[0][w], len(texts[0])) for w, n in inside[1].items()}
-    chosen = {w for w, r in ratios.items() if r >= least_ratio}
-    toxic = train_dictionary([w for t, y in parts[0] if y for w in t if w in chosen], size)
-    ordinary = train_dictionary([w for t, y in parts[0] if not y for w in t], size)
-    distance = Distance(Model(toxic, ordinary, 0.0, ()))
-    held = [(np.array([distance.of(w) for w in t] or [-99]), y) for t, y in (parts[1] or parts[0])]
-    right = {d: sum((v.max() >= d) == bool(y) for v, y in held) for d in range(1, 30)}
-    best = max(right.values())
-    near = [d for d, n in right.items() if n == best]
-    threshold = near[len(near) // 4]
-    count = [min(int((v >= threshold).sum()), MOST_COUNTED) for v, _ in held]
-    over = [y for n, (_, y) in zip(count, held, strict=True) if n]
-    pooled = (sum(over) + share) / (len(over) + 1)
-    scores = []
-    for k in range(MOST_COUNTED + 1):
-        labels = [y for n, (_, y) in zip(count, held, strict=True) if n == k]
-        scores.append((sum(labels) + 2 * (pooled if k else share)) / (len(labels) + 2))
-    scores[1:] = np.maximum.accumulate(scores)[1:].tolist()
-    return Model(toxic, ordinary, float(threshold), tuple(scores))
-
-
-def ratio(a: int, m: int, b: int, n: int) -> float:
-    """Log-likelihood ratio of a in m against b in n; 0 where a is not the more frequent."""
-    if a * n <= b * m:
-        return 0.0
-    p = (a + b) / (m + n)
-    return 2 * sum(x * np.log(x / (k * p)) + ((k - x) * np.log((k - x) / (k * (1 - p))) if x < k else 0.0) for x, k in ((a, m), (b, n)) if x) - (0.0 if b else 2 * n * np.log1p(-p))
+
+def dictionaries(texts: list[tuple[int, int, list[bytes]]], share: float) -> Model:
+    """A model without calibration from (fold, label, windows) of texts; with no dictionaries if a label has no windows."""
+    train = {label: [w for _, y, found in texts if y == label for w in found] for label in (0, 1)}
+    if not train[0] or not train[1]:
+        return Model(b"", b"", share)
+    return Model(train_dictionary(train[1], TOXIC_SIZE), train_dictionary(train[0], ORDINARY_SIZE), share)
+
+
+def of_folds(texts: list[tuple[int, int, list[bytes]]], share: float) -> list[Model]:
+    """For each fold a model of the others."""
+    return [dictionaries([t for t in texts if t[0] != k], share) for k in range(FOLDS)]
+
+
+def calibrated(model: Model, counts: list[list[int]], labels: list[int]) -> Model:
+    """counts: for each text what Distance.counts gives with dictionaries trained without it; labels: 0 or 1."""
+    counts, y = np.array(counts, float).reshape(-1, 2 * LARGEST + 1), np.array(labels, int)
+    if not model.toxic or not y.any() or y.all():
+        return Model(b"", b"", model.share)
+    tails = {label: np.convolve(counts[y == label].sum(0) + 1, [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "same") for label in (0, 1)}
+    weights = np.log(tails[1] / tails[1].sum()) - np.log(tails[0] / tails[0].sum())
+    w = np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean()))
+    sums, scores = isotonic(evidence(counts, weights), y, w)
+    return Model(model.toxic, model.ordinary, model.share, tuple(weights.tolist()), tuple(sums.tolist()), tuple(scores.tolist()))
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising shares of y by x: both ends of each block of pooled neighbours, and the share of its ones at both."""
+    blocks: list[list[float]] = []  # weight of ones, weight, first x, last x
+    for i in np.lexsort((-y, x)):
+        blocks.append([w[i] * y[i], w[i], x[i], x[i]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            ones, weight, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + ones, blocks[-1][1] + weight, blocks[-1][2], last]
+    b = np.array(blocks)
+    return b[:, 2:].ravel(), np.repeat(b[:, 0] / b[:, 1], 2)
 
 
 def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> list[tuple[str, int]]:
-    """At most about `sample` texts of each label; all where there are fewer."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)")
+def fit(labelled: list[tuple[str, int]], per_text: int = 125) -> Model:
+    """From (text, 0 or 1) in memory; equal texts with equal labels count once."""
+    labelled = sorted(set(labelled))
+    share = float(np.mean([y for _, y in labelled])) if labelled else 0.0
+    texts = [(hash_of(t) % FOLDS, y, [spelled(w) for w in even_steps(windows(t), per_text)]) for t, y in labelled]
+    distances = [Distance(m) for m in of_folds(texts, share)]
+    counts = [distances[f].counts(t).tolist() for (t, _), (f, _, _) in zip(labelled, texts, strict=True)]
+    return calibrated(dictionaries(texts, share), counts, [y for _, y in labelled])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> tuple[DataFrame, dict[int, int]]:
+    """text, y of about `sample` texts of each label (all where there are fewer), and the number of labels of each."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     rule = F.lit(False)
-    for r in known.groupBy("y").count().collect():
-        rule |= (F.col("y") == r.y) & (F.pmod(F.xxhash64("doc_id"), F.lit(r["count"])) < sample)
-    few = known.filter(rule)  # before the join, so that texts need not be shuffled
-    return [(r.text, r.y) for r in docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("text", "y").collect()]
+    for y, n in sizes.items():
+        rule |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
+    few = F.broadcast(known.filter(rule))  # two labels, about `sample` rows of 12 bytes each
+    texts = docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("text", "y")
+    return texts, sizes
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 3_000, most: int = 250_000) -> Model:
+    """The model of the labelled rows of docs. What comes to the driver is bounded by `sample` and `most`: windows for the
+    dictionaries, and counts of distances for the calibration."""
+    ship(docs.sparkSession)
+    texts, sizes = labelled_sample(docs, labels, sample)
+    texts = store(texts, "labelled")
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    per_text = {y: 1 + most // min(n, sample) for y, n in sizes.items()}
+
+    def of_rows(schema: pa.Schema, row):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = row()
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    rows = [(hash_of(t), y, make(t, y)) for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        return run
+
+    def windows_of():
+        return lambda t, y: [spelled(w) for w in even_steps(windows(t), per_text[y])]
+
+    made = of_rows(pa.schema([("text_hash", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.binary()))]), windows_of)
+    once = lambda df: df.dropDuplicates(["text_hash", "y"]).orderBy("text_hash", "y").toArrow()
+    t = once(texts.mapInArrow(made, "text_hash long, y int, windows array<binary>"))
+    known = list(zip((h % FOLDS for h in t.column("text_hash").to_pylist()), t.column("y").to_pylist(), t.column("windows").to_pylist(), strict=True))
+    model, folds = dictionaries(known, share), of_folds(known, share)
+    if not model.toxic:
+        return model
+
+    def counts_of():
+        distances = [Distance(m) for m in folds]
+        return lambda t, y: distances[hash_of(t) % FOLDS].counts(t).tolist()
+
+    made = of_rows(pa.schema([("text_hash", pa.int64()), ("y", pa.int32()), ("counts", pa.list_(pa.int64()))]), counts_of)
+    t = once(texts.mapInArrow(made, "text_hash long, y int, counts array<long>"))
+    return calibrated(model, t.column("counts").to_pylist(), t.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -181,7 +253,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
         distance = Distance(model)
         for batch in batches:
             for part in slices(batch, "text"):
-                s = np.array([model.scores[min(distance.over(t), MOST_COUNTED)] for t in part.column("text").to_pylist()], np.float64)
+                s = np.array([distance.score(t) for t in part.column("text").to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
@@ -189,7 +261,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
 
 def _trained(docs: DataFrame, labels: DataFrame) -> Model:
     """From labels of documents whose crc32(doc_id as text) mod 5 is not 0."""
-    return fit(labelled_sample(docs, labels.filter(held_out_rule(F.col("doc_id")) != 0)))
+    return trained(docs, labels.filter(held_out_rule(F.col("doc_id")) != 0))
 
 
 def held_out_rule(doc_id):
