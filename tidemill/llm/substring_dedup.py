@@ -5,13 +5,18 @@ words in it; consecutive windows that share the occurrence of their minimiser (a
 string to the minimiser's bucket. There the windows of all strings are sorted and equal ones counted exactly (equal
 hashes are followed by a comparison of the words).
 
-A first pass counts super-k-mers per minimiser. A minimiser that more than `hot_share` of all (and more than
-`hot_rows`) use is hot: its strings are dealt to several tasks by where they stand (equal strings as well), each settles
+A first pass counts super-k-mers per minimiser, all of them, in one aggregation. A window that occurs twice has a
+minimiser that is counted twice, so only super-k-mers of such minimisers travel: a Bloom filter of FILTER_BITS, built by
+aggregation and sent to the tasks, keeps back almost all others (beyond some 10**8 repeated minimisers it fills up and
+keeps back less; results do not depend on it). A minimiser counted more than `hot_rows` times is hot: its strings are
+dealt by where they stand (equal strings as well) to as many tasks as leave each about half of `hot_rows`; each settles
 the windows that it has twice, and passes on one digest of each distinct window; digests that several tasks pass on are
-repeated as well. So no task gets a whole hot bucket. The list of hot minimisers has at most 1 / hot_share entries.
+repeated as well. So no task gets a whole hot bucket. Hot minimisers stay a table, which Spark broadcasts if it is small.
 
 Null text counts as empty: no words. Rows that share doc_id and text are copies of each other like any other rows;
-rows that share only doc_id are kept apart by a hash of the text. Extra columns are ignored.
+rows that share only doc_id (or have none) are kept apart by a 64-bit hash of the text. A very long text is cut by
+nothing: it is one row of its task, at some sixty times its size. Ties of minimisers go to the leftmost. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +33,7 @@ from tidemill.llm.common import group_bounds, ship, slices, store, whole_groups
 from tidemill.llm.text_arrays import Words, mix, window_hashes, window_starts
 
 _LOW = np.uint64((1 << 24) - 1)
-_NONE = np.int64(-1)
-_PLACE = np.int64((1 << 28) - 1)  # of a long: the first word of a span; the bits above are a hash of the text
+FILTER_BITS = 1 << 28
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,43 +63,51 @@ def super_kmers(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.nd
 def _census(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, keys = 0, []
             for part in slices(batch, "text"):
-                bucket = super_kmers(Words(part.column("text")), window, seed)[3]
-                total += len(bucket)
-                keys.append(bucket)
-            values, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            often = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(values[often], _NONE)), pa.array(np.append(n[often], total))], ["bucket", "n"])
+                values, n = np.unique(super_kmers(Words(part.column("text")), window, seed)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["bucket", "n"])
 
     return run
 
 
-def _pack(window: int, seed: int, hot: dict[int, int]):
-    hot_keys = np.array(sorted(hot), np.int64)
-    hot_salts = np.array([hot[k] for k in sorted(hot)], np.int64)
+def filter_places(bucket: np.ndarray) -> np.ndarray:
+    """The two bits of each bucket in the filter."""
+    x = mix(bucket.astype(np.uint64))
+    return np.stack([x % np.uint64(FILTER_BITS), (x >> np.uint64(32)) % np.uint64(FILTER_BITS)]).astype(np.int64)
 
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = filter_places(batch.column("bucket").to_numpy()).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+
+def bucket_filter(buckets: DataFrame) -> np.ndarray:
+    """Bits of all buckets: FILTER_BITS / 64 longs at most come to the driver."""
+    words = buckets.select("bucket").mapInArrow(_filter_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _pack(window: int, seed: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 row, start, n, bucket = super_kmers(words, window, seed)
-                if not len(row):
+                at = filter_places(bucket)
+                seen = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(0))
+                if not len(seen):
                     continue
+                row, start, n, bucket = row[seen], start[seen], n[seen], bucket[seen]
                 joined, at = words.spaced()
                 lo, hi = at[start], at[start + n + window - 1] - 1
                 packed = [joined[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                dealt = bucket.copy()  # 40 bits; above them, for hot buckets, 1 and the salt
-                place = (part.column("text_key").to_numpy()[row] & ~_PLACE) | ((start - words.lo[row]) & _PLACE)
-                if len(hot_keys):
-                    j = np.minimum(np.searchsorted(hot_keys, bucket), len(hot_keys) - 1)
-                    i = np.flatnonzero(hot_keys[j] == bucket)
-                    ids = part.column("doc_id").fill_null(-1).to_numpy()[row[i]].astype(np.uint64)
-                    spread = mix(mix(ids) ^ place[i].astype(np.uint64))
-                    dealt[i] |= (1 + (spread % hot_salts[j[i]].astype(np.uint64)).astype(np.int64)) << 40
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(dealt), pa.array(packed, pa.binary())],
-                    ["doc_id", "place", "bucket", "packed"],
+                    [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array((start - words.lo[row]).astype(np.int32)), pa.array(bucket), pa.array(packed, pa.binary())],
+                    ["doc_id", "text_key", "place", "bucket", "packed"],
                 )
 
     return run
@@ -110,7 +122,8 @@ def _count(window: int):
         at, counts = window_starts(words.lo, words.hi, window)
         hashes = window_hashes(words.hashes(), window)[at]
         row = np.repeat(np.arange(len(counts)), counts)
-        group = np.repeat(np.arange(len(b) - 1), np.diff(b)) if len(b := group_bounds(t.column("bucket").to_numpy())) > 1 else np.zeros(0, np.int64)
+        bounds = group_bounds(t.column("bucket").to_numpy(), t.column("salt").to_numpy())
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         keyed = mix(hashes ^ (group[row].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
         order = np.argsort(keyed, kind="stable")
         begin = group_bounds(keyed[order])
@@ -132,11 +145,11 @@ def _count(window: int):
             for same in by_text.values():
                 repeated[same] = len(same) > 1
                 heads[same[1:]] = False
-        offset = at - words.lo[row] + (t.column("place").to_numpy() & _PLACE)[row]
+        offset = at - words.lo[row] + t.column("place").to_numpy()[row]
         found = np.flatnonzero(repeated)
         cut = group_bounds(row[found], found - np.arange(len(found)))
         first, last = found[cut[:-1]], found[cut[1:] - 1] if len(found) else found
-        salted = t.column("bucket").to_numpy()[row] >> 40 > 0
+        salted = t.column("salt").to_numpy()[row] >= 0
         opened = np.flatnonzero(salted & heads)
         digests = [hashlib.blake2b(text(w), digest_size=16).digest() for w in opened.tolist()]
         rows = np.concatenate([row[first], row[opened]])
@@ -147,12 +160,12 @@ def _count(window: int):
         take = lambda c: t.column(c).combine_chunks().take(at_rows)
         flat = lambda a: a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
         return pa.RecordBatch.from_arrays(
-            [flat(take("doc_id")), pa.array(t.column("place").to_numpy()[rows.astype(np.int64)] & ~_PLACE), pa.array(lo), pa.array(hi), pa.array([None] * len(first) + digests, pa.binary()), pa.array(n.astype(np.int32))],
+            [flat(take("doc_id")), flat(take("text_key")), pa.array(lo), pa.array(hi), pa.array([None] * len(first) + digests, pa.binary()), pa.array(n.astype(np.int32))],
             ["doc_id", "text_key", "lo", "hi", "digest", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["bucket"]):
+        for t in whole_groups(batches, ["bucket", "salt"]):
             yield settle(t)
 
     return run
@@ -194,28 +207,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _text_key():
-    """A hash of the text, with the bits of _PLACE clear."""
-    return F.xxhash64("text").bitwiseAND(F.lit(~int(_PLACE))).alias("text_key")
+    return F.xxhash64("text").alias("text_key")
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, seed: int = 4, hot_share: float = 1 / 20_000, hot_rows: int = 2_000) -> DataFrame:
-    """Word spans [lo, hi) of repeated windows: doc_id, text_key (a hash of the text), lo, hi."""
+def repeated_spans(docs: DataFrame, window: int = 35, seed: int | None = None, hot_rows: int = 2_000) -> DataFrame:
+    """Word spans [lo, hi) of repeated windows: doc_id, text_key (a hash of the text), lo, hi. seed: a quarter of the window."""
+    seed = seed or max(1, window // 4)
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", _text_key(), "text")
-    counts = store(docs.select("text").mapInArrow(_census(window, seed), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "census")
-    total = counts.filter(F.col("bucket") == int(_NONE)).select("n").first()
-    limit = max(hot_rows, int((total.n if total else 0) * hot_share))
-    hot = {r.bucket: -(-r.n * 2 // limit) for r in counts.filter((F.col("n") > limit) & (F.col("bucket") != int(_NONE))).collect()}
-    packed = docs.mapInArrow(_pack(window, seed, hot), "doc_id long, place long, bucket long, packed binary")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    counts = docs.select("text").mapInArrow(_census(window, seed), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    repeated = store(counts.filter("n > 1"), "census")
+    packed = docs.mapInArrow(_pack(window, seed, bucket_filter(repeated)), "doc_id long, text_key long, place int, bucket long, packed binary")
+    hot = store(repeated.filter(F.col("n") > hot_rows).select("bucket", F.ceil(2 * F.col("n") / hot_rows).cast("int").alias("parts")), "hot")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.col("parts")).cast("int"), F.lit(-1)).alias("salt")
+    dealt = packed.join(hot, "bucket", "left").select("doc_id", "text_key", "place", "bucket", salt, "packed")
+    dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
     marks = store(dealt.mapInArrow(_count(window), "doc_id long, text_key long, lo int, hi int, digest binary, n int"), "windows")
+    opened = marks.filter("digest is not null")
+    often = opened.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
     spans = marks.filter("digest is null").select("doc_id", "text_key", "lo", "hi")
-    if hot:
-        opened = marks.filter("digest is not null")
-        often = opened.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
-        spans = spans.unionByName(opened.filter("n = 1").join(often, "digest").select("doc_id", "text_key", "lo", "hi"))
-    return spans
+    return spans.unionByName(opened.filter("n = 1").join(often, "digest").select("doc_id", "text_key", "lo", "hi"))
 
 
 def collected(spans: DataFrame) -> DataFrame:
