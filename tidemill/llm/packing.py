@@ -52,10 +52,20 @@ class WordEncoder:
 
         self.tokenizer, self.most, self.most_stretches, self.known, self.stretches = Tokenizer.from_file(path), most, most_stretches or 5 * most // 2, {}, {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], at_once: int = 1_000) -> None:
+        """Ids of new words: many in one text, told apart by the tokenizer's word numbers."""
         new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for lo in range(0, len(new), at_once):
+            part = new[lo : lo + at_once]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            of = np.array([-1 if k is None else k for k in e.word_ids])
+            cut = np.searchsorted(of, np.arange(len(part) + 1))
+            if len(of) and (np.diff(of) >= 0).all() and of[0] == 0 and of[-1] == len(part) - 1 and (np.diff(cut) > 0).all():
+                ids, cut = np.array(e.ids, "<u4").tobytes(), (4 * cut).tolist()
+                self.known.update((w, ids[a:b]) for w, a, b in zip(part, cut[:-1], cut[1:], strict=True))
+                continue
+            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     @staticmethod
     def words(stretch: str) -> list[str] | tuple[str, ...]:
@@ -71,30 +81,24 @@ class WordEncoder:
         out: list[bytes] = [b""] * len(texts)
         split = {i: t.lower().split() for i, t in enumerate(texts) if "<|" not in t and not _OTHER.search(t)}
         whole = [i for i in range(len(texts)) if i not in split]
-        later = []
-        for i, stretches in split.items():
-            try:
-                out[i] = b"".join(map(self.stretches.__getitem__, stretches))
-            except KeyError:
-                later.append(i)
-        needed = {c for i in later for c in split[i]}
-        pieces = {c: self.words(c) for c in needed if c not in self.stretches}
-        if len(self.stretches) + len(pieces) > self.most_stretches:
+        needed = set().union(*split.values())
+        fresh = needed.difference(self.stretches)
+        if len(self.stretches) + len(fresh) > self.most_stretches:
             self.stretches.clear()
-            pieces = {c: self.words(c) for c in needed}
-        words = {w for ws in pieces.values() for w in ws}
+            fresh = needed
+        pieces = {c: self.words(c) for c in fresh}
+        words = set().union(*pieces.values())
         if len(needed) > self.most_stretches or len(words) > self.most:
-            whole, later = whole + later, []
-        elif later:
-            missing = {w for w in words if w not in self.known}
+            whole, split = whole + list(split), {}
+        elif words:
+            missing = words.difference(self.known)
             if len(self.known) + len(missing) > self.most:
                 self.known.clear()
                 missing = words
             self.learn(missing)
-            for c, ws in pieces.items():
-                self.stretches[c] = b"".join([self.known[w] for w in ws])
-        for i in later:
-            out[i] = b"".join(map(self.stretches.__getitem__, split[i]))
+            self.stretches.update((c, b"".join([self.known[w] for w in ws])) for c, ws in pieces.items())
+        for i, stretches in split.items():
+            out[i] = b"".join(map(self.stretches.__getitem__, stretches))
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
@@ -140,6 +144,8 @@ def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int =
     x, active = np.zeros(n), np.zeros(n, bool)
     slope_of = lambda v: ((weight * v)[columns] * times).sum(1)
     tiny = 1e-9 * max(1.0, float(np.abs(slope_of(goal)).max(initial=0)))
+    on = np.zeros(0, np.int64)  # active columns, with their products with each other and with goal
+    dense, gram, right = np.zeros((len(weight), 0)), np.zeros((0, 0)), np.zeros(0)
     for _ in range(most):
         residual = goal - weight * np.bincount(columns.ravel(), (x[:, None] * times).ravel(), len(weight))
         slope = np.where(active, -np.inf, slope_of(residual))
@@ -147,13 +153,14 @@ def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int =
         if not n or slope[j] <= tiny:
             break
         active[j] = True
-        while active.any():
-            on = np.flatnonzero(active)
-            part = np.zeros((len(weight), len(on)))
-            np.add.at(part, (columns[on].ravel(), np.repeat(np.arange(len(on)), columns.shape[1])), (weight[columns[on]] * times[on]).ravel())
-            gram = part.T @ part
-            gram[np.diag_indices(len(on))] += 1e-12 * (1 + gram.diagonal())  # active columns may depend on each other
-            z = np.linalg.solve(gram, part.T @ goal)
+        column = np.bincount(columns[j], weight[columns[j]] * times[j], len(weight))
+        few = np.flatnonzero(column)
+        cross = column[few] @ dense[few]
+        own = float(column @ column)
+        gram = np.block([[gram, cross[:, None]], [cross[None], np.array([[own + 1e-12 * (1 + own)]])]])  # active columns may depend on each other
+        dense, right, on = np.column_stack([dense, column]), np.append(right, column @ goal), np.append(on, j)
+        while len(on):
+            z = np.linalg.solve(gram, right)
             if (z > tiny).all():
                 x[:] = 0
                 x[on] = z
@@ -161,9 +168,10 @@ def nnls(columns: np.ndarray, weight: np.ndarray, goal: np.ndarray, most: int =
             low = z <= tiny
             step = (x[on][low] / np.maximum(x[on][low] - z[low], 1e-300)).min()
             x[on] += step * (z - x[on])
-            gone = on[x[on] <= tiny] if (x[on] <= tiny).any() else on[low]
-            x[gone] = 0
-            active[gone] = False
+            gone = x[on] <= tiny if (x[on] <= tiny).any() else low
+            x[on[gone]] = 0
+            active[on[gone]] = False
+            dense, gram, right, on = dense[:, ~gone], gram[np.ix_(~gone, ~gone)], right[~gone], on[~gone]
     return x
 
 
