@@ -18,15 +18,17 @@ def brute(rows):
     owns = {k: set(units(p[0])) for k, p in parsed.items()}
     out = {}
     for (c, t), (_, passages) in parsed.items():
-        quoted = {}
-        for _, p in passages:
-            quoted |= units(p)
+        level, words = {}, {}
+        for n, p in passages:
+            for unit, w in units(p).items():
+                level[unit], words[unit] = min(n, level.get(unit, n)), w
         weight = defaultdict(int)
-        for unit, w in quoted.items():
+        for unit, w in words.items():
             first = min((u for d, u in owns if d == c and unit in owns[d, u]), default=None)
             if first is not None and first < t:
-                weight[first] += w
-        best = max(((w, u) for u, w in weight.items()), default=None)
+                weight[level[unit], first] += w
+        nearest = min((n for n, _ in weight), default=None)
+        best = max(((w, u) for (n, u), w in weight.items() if n == nearest), default=None)
         before = max((u for d, u in parsed if d == c and u < t), default=None)
         out[c, t] = (best[1], best[0]) if best else (before, 0)
     return out
@@ -65,3 +67,25 @@ def test_query_covers_the_table(spark, small):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]
     want = brute(rows)
     assert {(r.conv_id, r.turn): (r.parent_turn, r.linked_words) for r in out} == want and len(out) == len(rows)
+
+
+def test_nested_quotes_do_not_outweigh_what_is_quoted_directly(spark):
+    long = "Shall we meet at noon near the old stone bridge by the river?"
+    rows = [(1, 0, "user", long, None), (1, 1, "user", f"> {long}\nNo, later.", None), (1, 2, "user", f"> No, later.\n> > {long}\n\nFine.", None), (1, 3, "user", f">>> {long}\n>> No, later.\n> Fine.\nGood.", None), (1, 4, "user", f"> > {long}\nwhich?", None)]
+    out = {r.turn: r for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: r.parent_turn for t, r in out.items()} == {0: None, 1: 0, 2: 1, 3: 2, 4: 0}
+    assert {t: r.linked_words for t, r in out.items()} == {0: 0, 1: 13, 2: 2, 3: 1, 4: 13}
+    assert {t: (r.parent_turn, r.linked_words) for t, r in out.items()} == {k[1]: v for k, v in brute([r[:4] for r in rows]).items()}
+
+
+def test_equal_weights_go_to_the_latest_and_very_long_quotes_are_linked(spark):
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, 0, "a", "one two.", None), (1, 1, "a", "six ten.", None), (1, 2, "a", "> one two.\n\n> six ten.\nyes", None), (1, 3, "a", long, None), (1, 4, "a", f"> {long}\nseen", None)]
+    out = {r.turn: r for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (out[2].parent_turn, out[2].linked_words) == (1, 2) and (out[4].parent_turn, out[4].linked_words) == (3, 40_000)
+
+
+def test_unit_said_later_in_the_own_conversation_is_linked_to_another(spark):
+    rows = [(1, 5, "a", "The same sentence here.", None), (1, 0, "a", "> The same sentence here.\nhm", None), (2, 7, "a", "The same sentence here.", None), (3, 0, "a", "The same sentence here.", None)]
+    out = {(r.conv_id, r.turn): r for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (out[1, 0].source_conv_id, out[1, 0].source_turn, out[1, 0].parent_turn) == (2, 7, None)

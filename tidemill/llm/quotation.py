@@ -6,16 +6,19 @@
 2. Passages and own words are normalised (lower case, runs of white space and punctuation as one space) and cut into
    units: the whole, its lines and its sentences. Units are hashed; each quoted unit weighs as many as its words.
 3. The first message that has a unit as own words is the unit's original: first in the same conversation (it must come
-   before the quoting message), else in any other. Both are aggregates, so a unit that a third of all messages share
-   is one row on that side, and the join to quoted units stays proportional to those.
-4. A message replies to the message of its own conversation that its quotes weigh most for (ties: the latest); without
-   such a one, to the message before it. Messages are numbered by turn (then role, text): an order in which each reply
-   comes after what it replies to.
+   before the quoting message), else in another (of the smallest conv_id; the two smallest are kept, as one may be the
+   message's own). Both are aggregates, so a unit that a third of all messages share is one row on that side, and the
+   join to quoted units stays proportional to those.
+4. What a message replies to is told by its quotes of the lowest level that lead to a message of its own conversation:
+   deeper ones are what that message quoted in turn. Of that level, it replies to the message that its quotes weigh most
+   for (ties: the latest); without such a one, to the message before it. Messages are numbered by turn (then role, text):
+   an order in which each reply comes after what it replies to.
 
 Numbers within a conversation come from counts per (conversation, block of turns) and numbers within a block, so a
 conversation of any length is spread. Messages without a conversation id, or without a turn, keep their words without
 quotes, but have no position and no parent. A null text counts as empty. Repeated rows are messages of their own;
-equal ones share their parent. Extra columns are ignored.
+equal ones share their parent. A unit quoted at several levels counts at the lowest. A very long text is one row of its
+task, at some twenty times its size. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,20 +74,21 @@ def units(text: str) -> dict[bytes, int]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            own, levels, passages, own_units, quoted, weights = [], [], [], [], [], []
+            own, levels, passages, own_units, quoted, weights, depths = [], [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 words, found = parse(text)
                 own.append(words)
                 levels.append([n for n, _ in found])
                 passages.append([p for _, p in found])
                 own_units.append(list(units(words)))
-                q: dict[bytes, int] = {}
-                for _, p in found:
-                    q |= units(p)
+                q: dict[bytes, tuple[int, int]] = {}
+                for n, p in sorted(found, key=lambda f: -f[0]):  # the lowest level last, so that it stays
+                    q |= {u: (w, n) for u, w in units(p).items()}
                 quoted.append(list(q))
-                weights.append(list(q.values()))
-            cols = [pa.array(own, pa.string()), pa.array(levels, pa.list_(pa.int32())), pa.array(passages, pa.list_(pa.string())), pa.array(own_units, pa.list_(pa.binary())), pa.array(quoted, pa.list_(pa.binary())), pa.array(weights, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role", "key")), *cols], ["conv_id", "turn", "role", "key", "own", "levels", "passages", "own_units", "quoted", "weights"])
+                weights.append([w for w, _ in q.values()])
+                depths.append([n for _, n in q.values()])
+            cols = [pa.array(own, pa.string()), pa.array(levels, pa.list_(pa.int32())), pa.array(passages, pa.list_(pa.string())), pa.array(own_units, pa.list_(pa.binary())), pa.array(quoted, pa.list_(pa.binary())), pa.array(weights, pa.list_(pa.int32())), pa.array(depths, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role", "key")), *cols], ["conv_id", "turn", "role", "key", "own", "levels", "passages", "own_units", "quoted", "weights", "depths"])
 
 
 def link_quotations(messages: DataFrame, block: int = 256) -> DataFrame:
@@ -93,19 +97,24 @@ def link_quotations(messages: DataFrame, block: int = 256) -> DataFrame:
     message of another conversation)."""
     ship(messages.sparkSession)
     keyed = messages.select("conv_id", "turn", "role", F.unhex(F.md5(F.encode(F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), "UTF-8"))).alias("key"), "text")
-    parsed = store(keyed.mapInArrow(_parse, "conv_id long, turn long, role string, key binary, own string, levels array<int>, passages array<string>, own_units array<binary>, quoted array<binary>, weights array<int>"), "parsed")
+    parsed = store(keyed.mapInArrow(_parse, "conv_id long, turn long, role string, key binary, own string, levels array<int>, passages array<string>, own_units array<binary>, quoted array<binary>, weights array<int>, depths array<int>"), "parsed")
     placed = parsed.filter("conv_id is not null and turn is not null")
 
-    quoted = placed.filter("size(quoted) > 0").select("conv_id", "turn", "key", F.explode(F.arrays_zip("quoted", "weights")).alias("q")).select("conv_id", "turn", "key", F.col("q.quoted").alias("unit"), F.col("q.weights").alias("w")).distinct()
-    original = placed.select("conv_id", "turn", F.explode("own_units").alias("unit"))
-    wanted = quoted.select("unit").distinct()
-    original = original.join(wanted, "unit", "left_semi")
-    here = original.groupBy("conv_id", "unit").agg(F.min("turn").alias("source"))
-    first = original.groupBy("unit").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
+    message = ["conv_id", "turn", "key"]
+    quoted = placed.filter("size(quoted) > 0").select(*message, F.explode(F.arrays_zip("quoted", "weights", "depths")).alias("q"))
+    quoted = quoted.select(*message, F.col("q.quoted").alias("unit"), F.col("q.weights").alias("w"), F.col("q.depths").alias("depth")).distinct()
+    here = placed.select("conv_id", "turn", F.explode("own_units").alias("unit")).groupBy("conv_id", "unit").agg(F.min("turn").alias("source"))
+    here = here.join(quoted.select("unit").distinct(), "unit", "left_semi")
     near = quoted.join(here, ["conv_id", "unit"]).filter("source < turn")
-    parents = near.groupBy("conv_id", "turn", "key", "source").agg(F.sum("w").alias("w")).groupBy("conv_id", "turn", "key").agg(F.max(F.struct("w", "source")).alias("best"))
-    rest = quoted.join(near.select("conv_id", "turn", "key", "unit"), ["conv_id", "turn", "key", "unit"], "left_anti").join(first, "unit").filter("any.conv_id <> conv_id")
-    others = rest.groupBy("conv_id", "turn", "key", "any").agg(F.sum("w").alias("w")).groupBy("conv_id", "turn", "key").agg(F.max(F.struct("w", "any")).alias("far"))
+    weighed = near.groupBy(*message, "depth", "source").agg(F.sum("w").alias("w"))
+    parents = weighed.groupBy(*message).agg(F.max(F.struct((-F.col("depth")).alias("level"), "w", "source")).alias("best"))
+
+    place = F.struct("conv_id", F.col("source").alias("turn"))
+    first = here.groupBy("unit").agg(F.min(place).alias("any"))
+    second = here.join(first, "unit").filter("conv_id <> any.conv_id").groupBy("unit").agg(F.min(place).alias("next"))
+    rest = quoted.join(near.select(*message, "unit"), [*message, "unit"], "left_anti").join(first, "unit").join(second, "unit", "left")
+    rest = rest.withColumn("any", F.when(F.col("any.conv_id") == F.col("conv_id"), F.col("next")).otherwise(F.col("any"))).filter("any is not null")
+    others = rest.groupBy(*message, "any").agg(F.sum("w").alias("w")).groupBy(*message).agg(F.max(F.struct("w", "any")).alias("far"))
 
     blocks = placed.groupBy("conv_id", F.floor(F.col("turn") / block).alias("b")).agg(F.count("*").alias("n"), F.max("turn").alias("last"))
     along = W.partitionBy("conv_id").orderBy("b")
