@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_fixtures import RSS
@@ -33,3 +34,44 @@ def test_requests_to_tables(spark, tmp_path):
         assert get("jobs").first().status == "completed_with_errors"
         assert {r.feed_id: (r.etag, r.error_nbr) for r in get("scraping").collect()} == {1: ("e", 0), 2: (None, 1)}
     assert spark.read.json(at("bad")).select(F.col("violations")[0]).distinct().collect()[0][0] == "json"
+
+
+def test_persist_stopped_anywhere_and_replayed(spark, tmp_path, monkeypatch):
+    """A run that dies before any of its writes or its commit leaves all tables as they were; its replay counts once."""
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    first = {name: spark.createDataFrame([], s) for name, s in flows.TABLES.items()}
+    first["jobs"] = spark.createDataFrame([("j1", True, "me", None, 2, "queued", None)], schemas.JOB)
+    first["feeds"] = spark.createDataFrame([(i, f"https://f/{i}", None, True, 0.5, 1) for i in (1, 2)], schemas.FEED)
+    first["scraping"] = spark.createDataFrame([(2, 1, None, None, 4, "old")], "feed_id long, fetchprotection int, last_update timestamp_ntz, etag string, error_nbr int, error_msg string")
+    first["scraping"] = first["scraping"].select([c.strip().split()[0] for c in flows.TABLES["scraping"].split(",")])
+    for name, df in first.items():
+        write_version(df, at("tables", name))
+    failed = json.dumps({"job_id": "j1", "ingest": True, "feed_id": 2, "feed_url": "https://f/2", "status": "error", "error_message": "timed out", "fetchprotection": 1, "sources": []})
+    messages = spark.createDataFrame([(failed, 7, schemas.STREAM_ERROR), ("{bad", 8, schemas.STREAM_ERROR)], "payload string, seq long, stream_name string")
+    get = lambda n: sorted(map(str, read_version(spark, at("tables", n), flows.TABLES[n]).drop("processed_at").collect()))
+    before = {n: get(n) for n in flows.TABLES}
+    for stop in (0, 4, 5):  # before the first table, before the last of five, before the commit
+        calls = iter(range(9))
+
+        def dying(real):
+            def run(*args, **kwargs):
+                if next(calls) == stop:
+                    raise OSError("lost")
+                return real(*args, **kwargs)
+
+            return run
+
+        with monkeypatch.context() as m:
+            m.setattr(flows, "write_version", dying(write_version))
+            m.setattr(flows, "commit", dying(flows.commit))
+            with pytest.raises(OSError):
+                flows.persist_batch(spark, messages, at("tables"), at("bad"), ("ck", 0))
+        assert {n: get(n) for n in flows.TABLES} == before
+    for _ in range(2):
+        flows.persist_batch(spark, messages, at("tables"), at("bad"), ("ck", 0))
+        assert read_version(spark, at("tables", "scraping"), flows.TABLES["scraping"]).first().error_nbr == 5 and len(get("job_results")) == 1
+        assert spark.read.json(at("bad")).count() == 1
+    tmp_path.joinpath("tables", "_commits", "000000009999").write_text('{"numb')  # cut off
+    assert len(get("job_results")) == 1
+    write_version(first["jobs"], at("tables", "jobs"))
+    assert get("jobs") == before["jobs"] and len(get("job_results")) == 1

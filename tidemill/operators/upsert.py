@@ -1,11 +1,14 @@
 """Keyed upserts as functions over DataFrames, sequence ids, and staged writes.
 
-Parquet tables take no MERGE: an upsert is the table after it, which is written to a new folder and then pointed to.
+Parquet tables take no MERGE: an upsert is the table after it, which is written to a new folder and then committed. The
+tables below one folder share its commits: a commit is one file that names the version of every table, made by an
+exclusive create, so readers see all tables of a batch or none, and a second writer of the same commit fails.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,18 +44,25 @@ def upsert(table: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str,
     return both.select(*values)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a temporary one on a local master
+    (as in tests), and an error on a cluster, whose executors would not see it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def with_ids(rows: DataFrame, order: list[str], last: DataFrame, name: str = "id", parts: int = 64) -> DataFrame:
     """rows numbered from the largest id in `last` (one row, one column) upwards in the order of the columns (which
     must tell rows apart): range parts are counted, then rows are numbered within their part. No window sees all rows."""
     cut = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    spark = rows.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        path = f"{at.rstrip('/')}/tidemill/ids-{uuid.uuid4().hex}"
-        cut.write.parquet(path)  # parts are sampled, so they are fixed before they are counted
-        cut = spark.read.schema(cut.schema).parquet(path)
-    else:
-        cut = cut.cache()
+    path = f"{shared_dir(rows.sparkSession)}/tidemill/ids-{uuid.uuid4().hex}"
+    cut.write.parquet(path)  # parts are sampled, so they are fixed before they are counted
+    cut = rows.sparkSession.read.schema(cut.schema).parquet(path)
     counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # `parts` rows
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -62,21 +72,55 @@ def with_ids(rows: DataFrame, order: list[str], last: DataFrame, name: str = "id
 
 
 def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None, point: bool = True) -> str:
-    """Write df as a new version below path, and point to it; readers see the old one until then."""
+    """Write df as a new version below path (folder/table), and commit it; readers see the old one until then."""
     version = uuid.uuid4().hex
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{path}/{version}")
     if point:
-        point_to(df.sparkSession, path, version)
+        folder, name = path.rstrip("/").rsplit("/", 1)
+        commit(df.sparkSession, folder, {name: version})
     return version
 
 
-def point_to(spark: SparkSession, path: str, version: str) -> None:
-    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+def _commits(spark: SparkSession, folder: str):
+    """The file system of the commits below folder, and their paths by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_commits")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, at, sorted((str(f.getPath().getName()), f.getPath()) for f in (fs.listStatus(at) if fs.exists(at) else []))
+
+
+def last_commit(spark: SparkSession, folder: str) -> dict:
+    """number, tables (name: version) and batches (source: last batch) of the last whole commit below folder."""
+    fs, _, found = _commits(spark, folder)
+    for _, path in reversed(found):
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        except ValueError:  # its writer died before it had written it all
+            continue
+        finally:
+            stream.close()
+    return {"number": 0, "tables": {}, "batches": {}}
+
+
+def commit(spark: SparkSession, folder: str, versions: dict[str, str], batch: tuple[str, int] | None = None, keep: int = 20) -> None:
+    """Make versions of tables the current ones, all at once. batch: source and number of what led to them. Commits before
+    the last `keep` are removed; versions are not (readers may hold them)."""
+    fs, at, found = _commits(spark, folder)
+    last = last_commit(spark, folder)
+    number = 1 + max([last["number"], *(int(name) for name, _ in found)])
+    new = {"number": number, "tables": last["tables"] | versions, "batches": last["batches"] | (dict([batch]) if batch else {})}
+    stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(at, f"{number:012d}"), False)
+    try:
+        stream.write(bytearray(json.dumps(new).encode()))
+    finally:
+        stream.close()
+    for _, path in found[:-keep]:
+        fs.delete(path, False)
 
 
 def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The version that path points to."""
-    version = json.loads(spark.read.text(f"{path}/_current").first().value)["version"]
+    """The committed version of the table at path (folder/table)."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{path}/{version}")
+    return reader.parquet(f"{path}/{last_commit(spark, folder)['tables'][name]}")

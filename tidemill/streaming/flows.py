@@ -1,11 +1,14 @@
 """The two streams: requests to results, and results to tables.
 
-Delivery is at least once; results are inserted once per (job, feed), so replays change nothing. The tables are the
-state, and live as versions below a folder (operators.upsert.write_version).
+Delivery is at least once; results are inserted once per (job, feed), and all tables of a batch become current in one
+commit that names the batch, so a replay changes nothing, wherever the run before it stopped. The tables are the state,
+and live as versions below a folder (operators.upsert).
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tidemill import schemas
 from tidemill.operators.parse import normalize, parse_bodies, spoiled_feeds
 from tidemill.operators.results import classify, persist, response_columns, split_valid
-from tidemill.operators.upsert import point_to, read_version, write_version
+from tidemill.operators.upsert import commit, last_commit, read_version, write_version
 from tidemill.sources.messages import decode, read_requests, read_results, write_results
 
 TABLES = {"feeds": schemas.FEED, "jobs": schemas.JOB, "job_results": schemas.JOB_RESULT, "scraping": schemas.SCRAPING, "articles": schemas.ARTICLE, "links": schemas.LINK}
@@ -54,26 +57,30 @@ def scrape(spark: SparkSession, requests: str, responses: Callable[[], DataFrame
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def persist_batch(spark: SparkSession, messages: DataFrame, tables: str, quarantine: str) -> None:
-    """Decode, validate and fold one batch of messages (payload, seq, stream_name) into the tables."""
+def persist_batch(spark: SparkSession, messages: DataFrame, tables: str, quarantine: str, batch: tuple[str, int] = ("", -1)) -> None:
+    """Decode, validate and fold one batch of messages (payload, seq, stream_name) into the tables. batch: its source and
+    number; a batch that is committed is skipped, and messages in quarantine are those of the batch's last run."""
+    source, number = batch
+    if 0 <= number <= last_commit(spark, tables)["batches"].get(source, -1):
+        return
     decoded = decode(messages, schemas.RESULT)
     bad = decoded.filter("_bad is not null").select("payload", "seq", "stream_name", F.array(F.lit("json")).alias("violations"))
     valid, broken = split_valid(decoded.filter("_bad is null"))
-    bad.unionByName(broken.select("payload", "seq", "stream_name", "violations")).write.mode("append").json(quarantine)
+    name = f"{zlib.crc32(source.encode()):08x}-{number}" if number >= 0 else uuid.uuid4().hex
+    bad.unionByName(broken.select("payload", "seq", "stream_name", "violations")).write.mode("overwrite").json(f"{quarantine}/batch={name}")
     now = {name: read_version(spark, f"{tables}/{name}", schema) for name, schema in TABLES.items()}
     after = persist(valid.drop("_bad", "payload").withColumn("processed_at", F.localtimestamp()), now)
     columns = {name: [c.strip().split()[0] for c in schema.split(",")] for name, schema in TABLES.items()}
     written = {name: write_version(df.select(columns[name]), f"{tables}/{name}", point=False) for name, df in after.items()}
-    for name in sorted(written, key=lambda n: n == "job_results"):  # last: until it is there, a replay does it all again
-        point_to(spark, f"{tables}/{name}", written[name])
+    commit(spark, tables, written, batch if number >= 0 else None)
 
 
 def persist_results(spark: SparkSession, streams: str, tables: str, quarantine: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Result streams into the tables. All tables of a batch are written before any is pointed to, job_results last."""
+    """Result streams into the tables, one commit for each batch."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            persist_batch(spark, df, tables, quarantine)
+            persist_batch(spark, df, tables, quarantine, (checkpoint, number))
 
     writer = read_results(spark, streams).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
