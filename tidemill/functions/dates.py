@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clean
 
-_ZONED = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm z", "d MMM yyyy HH:mm Z"]
-_PLAIN = ["d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm"]
-
 #: Formats of display dates (fixed values of the read model).
 DISPLAY = {"full": "dd/MM/yyyy HH:mm:ss", "time": "HH:mm", "day_month": "dd/MM", "day_month_year": "dd/MM/yyyy"}
 
@@ -20,12 +17,19 @@ def in_utc(zoned: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """RFC 2822, then ISO 8601; what is neither is NULL."""
-    s = F.regexp_replace(clean(c), r"^[A-Za-z]{3,9},\s*", "")
-    rfc = [in_utc(F.try_to_timestamp(s, F.lit(f))) for f in _ZONED] + [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in _PLAIN]
-    zone = s.rlike(r"(?:[Zz]|[+-]\d\d:?\d\d)$") & s.rlike(r"^\d{4}-")
-    iso = F.when(zone, in_utc(F.try_to_timestamp(s))).when(s.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(s).cast("timestamp_ntz"))
-    return F.coalesce(*rfc, iso)
+    """RFC 2822, then ISO 8601; what is neither is NULL. The shape of a value decides which one format is tried."""
+    return F.transform(F.array(F.regexp_replace(clean(c), r"^[A-Za-z]{3,9},\s*", "")), _parsed)[0]
+
+
+def _parsed(s: Column) -> Column:
+    timed = r"^\d+ \S+ \S+ \d\d:\d\d"
+    rfc = F.when(F.lit(False), F.lit(None).cast("timestamp_ntz"))
+    for shape, time in ((timed + r":\d\d", "d MMM yyyy HH:mm:ss"), (timed, "d MMM yyyy HH:mm")):
+        rfc = rfc.when(s.rlike(f"{shape}$"), F.try_to_timestamp(s, F.lit(time)).cast("timestamp_ntz"))
+        rfc = rfc.when(s.rlike(shape + r" [+-]\d{4}$"), in_utc(F.try_to_timestamp(s, F.lit(f"{time} Z"))))
+        rfc = rfc.when(s.rlike(f"{shape} "), in_utc(F.try_to_timestamp(s, F.lit(f"{time} z"))))
+    iso = s.rlike(r"^\d{4}-\d\d-\d\d")
+    return rfc.when(iso & s.rlike(r"(?:[Zz]|[+-]\d\d:?\d\d)$"), in_utc(F.try_to_timestamp(s))).when(iso, F.try_to_timestamp(s).cast("timestamp_ntz"))
 
 
 def first_date(*columns: Column) -> Column:
