@@ -24,5 +24,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words of a text, of op6 and op7: runs of characters other than the six white space ones of ASCII.
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+_OP6 = f"""with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+    starts as (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+    windows as (select r, i, md5(array_to_string(w[i : i + 34], ' ')) as h from starts),
+    repeated as (select r, i from windows join (select h from windows group by h having count(*) > 1) x using (h)),
+    gone as (select distinct r, i + j as p from repeated, range(0, 35) t(j)),
+    words as (select r, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+    kept as (select r, string_agg(word, ' ' order by p) as t from words anti join gone using (r, p) group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from d left join kept using (r) left join (select r, count(*) as n from gone group by r) g using (r)"""
+
+#: Pairs in `links` (a < b) and names in `nodes`: reach is which names reach which.
+_REACH = """both_ways as (select a, b from links union all select b as a, a as b from links),
+    reach as (select id as a, id as b from nodes union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)"""
+
+_OP7 = f"""with recursive d as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents), nodes as (select doc_id as id from d),
+    starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0),
+    shingles as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from starts),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (select x.doc_id as a, y.doc_id as b, count(*) as m from shingles x join shingles y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+    links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 5 * m >= 4 * (x.n + y.n - m)
+      union select x.doc_id as a, y.doc_id as b from d x join d y on x.t = y.t and x.doc_id < y.doc_id),
+    {_REACH}
+    select doc_id, class_id, coalesce(n, 0) as n_links, doc_id = class_id as kept
+    from d join (select a, min(b) as class_id from reach group by a) c on c.a = doc_id left join (select a, count(*) as n from both_ways group by a) l on l.a = doc_id"""
+
+_OP9 = f"""with recursive v as (select vec_id, cast(embedding as double[]) as x from embeddings), nodes as (select vec_id as id from v),
+    good as (select vec_id, x from v where x is not null and len([y for y in x if y is null or not isfinite(y)]) = 0 and len([y for y in x if y <> 0]) > 0),
+    links as (select p.vec_id as a, q.vec_id as b from good p join good q on p.vec_id < q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.9),
+    {_REACH}
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from v join (select a, min(b) as component_id from reach group by a) c on c.a = vec_id left join (select a, count(*) as n from both_ways group by a) l on l.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_super_kmer_dedup": _OP6, "op7_ngram_jaccard_join": _OP7, "op9_subspace_pigeonhole": _OP9}
