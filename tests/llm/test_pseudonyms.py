@@ -93,3 +93,16 @@ def test_query_replaces_all_and_only_what_it_finds(spark, small):
             assert after[i].text == text
         assert after[i].n_chars == len(after[i].text)
     assert stage(spark, spark.read.parquet(f"{small}/documents.parquet"), small).filter(F.col("text").isNull()).count() == 0
+
+
+def test_dates_with_the_month_first_are_a_permutation_of_such_dates(spark):
+    days = [dt.date(2023, 12, 1) + dt.timedelta(n) for n in range(500)]
+    days = [d for d in days if d.day > 12] + [dt.date(y, 2, 29) for y in range(1900, 2150) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+    texts = sorted({f"{d:%m/%d/%Y}" for d in days})
+    out = run(spark, *texts)
+    assert len(set(out)) == len(texts) and sum(a == b for a, b in zip(out, texts, strict=True)) < 3
+    for a, b in zip(texts, out, strict=True):
+        d = dt.datetime.strptime(b, "%m/%d/%Y")
+        assert d.day > 12 and 1800 <= d.year <= 2199 and (a[:5] == "02/29") == (b[:5] == "02/29")
+    y, m, d = permuted([2024 - 1800, 11, 25 - 13], [400, 12, 16], "month-first", "k")
+    assert run(spark, "on 12/25/2024.", "13/25/2024", "02/30/2024", "02/29/2023") == [f"on {m + 1:02}/{d + 13}/{y + 1800}.", "13/25/2024", "02/30/2024", "02/29/2023"]

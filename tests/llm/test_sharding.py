@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tidemill.llm.sharding import grown, op4, read_map, rebalanced, shard
 
@@ -47,3 +48,32 @@ def test_messy_rows_and_versions(spark, messy, empty, tmp_path):
     assert v0.count() == v1.count() == 16
     assert {r.virtual_slot: r.shard for r in v1.collect()}.items() >= {(r.virtual_slot, r.shard) for r in out}
     assert shard(empty).collect() == []
+
+
+def test_map_is_read_edited_and_stored_as_the_next_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(600)]
+    of = lambda rows, n: {r.virtual_slot: (r.shard, r.map_version) for r in shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=n, slots=64, map_path=path).collect()}
+    first, again = of(rows, 4), of(rows, 4)
+    assert first == again and {v for _, v in first.values()} == {1}
+    more = rows + [(i, "y" * 5_000) for i in range(600, 640)]
+    second = of(more, 4)
+    assert {v for _, v in second.values()} == {2}
+    moved = sum(second[s][0] != first[s][0] for s in first)
+    assert 0 < moved < len(first)
+    third = of(more, 5)
+    changed = {third[s][0] for s in third if third[s][0] != second[s][0]}
+    assert changed == {4} and {v for _, v in third.values()} == {3}
+    assert {r.virtual_slot: r.shard for r in read_map(spark, path, 1).collect()}.items() >= {(s, x) for s, (x, _) in first.items()}
+    with pytest.raises(ValueError):
+        of(more, 3)
+
+
+def test_one_id_on_most_rows_and_equal_rows(spark):
+    rows = [(7, f"text {i % 5}") for i in range(400)] + [(None, "same")] * 300 + [(i, "z") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = shard(docs, shards=3, slots=32).collect()
+    assert len(out) == len(rows)
+    for s in range(3):
+        own = sorted(r.slot for r in out if r.shard == s)
+        assert own == list(range(len(own)))

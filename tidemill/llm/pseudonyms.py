@@ -4,7 +4,9 @@ Found in a text, validated, permuted within their format and put back in the sam
 
 - payment cards: 13 to 19 digits with a right Luhn digit; the digits before it are permuted, it is computed anew
 - phone numbers: 7 to 15 digits after + or with an area code in brackets or dashes; the country code stays
-- dates of the years 1800 to 2199 (y-m-d, y/m/d, d.m.y, d/m/y; slashes with the day first): permuted in those 400 years
+- dates of the years 1800 to 2199 (y-m-d, y/m/d, d.m.y, d/m/y; slashes with the day first): permuted in those 400 years;
+  m/d/y where the day is over 12, so that only that reading is valid: permuted among such dates (the days up to the 28th,
+  the later ones, and 29 February each among themselves)
 - US social security numbers with an allocated area, group and serial: permuted within the allocated ones
 - IPv4 addresses: the four bytes are permuted
 - IBANs with right check digits: the account part is permuted (digits to digits, letters to letters), the check digits
@@ -17,11 +19,17 @@ so equal values have equal pseudonyms in all documents, whatever their layout, a
 The network: symbols s[i] with radix r[i] are cut into two halves; in each of ROUNDS rounds one half is added, modulo
 the radices, to numbers taken from SHA-512 of key, kind, round and the other half. That is a bijection for any radices.
 
-Null texts stay null, empty ones empty. Every row is handled on its own: no shuffle, no groups. Other columns stay.
+Not recognised: written months, two-digit years and one-digit days, IPv6, phone numbers without a plus, brackets or
+dashes. The numbers of a phone are counted, not looked up, and a card's issuer digits are permuted like the rest.
+
+Null texts stay null, empty ones empty. Every row is handled on its own: no shuffle, no groups, so very long texts,
+repeated rows and empty tables need nothing of their own. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +105,21 @@ def _date(m: str, key: str) -> str:
     new = f"date_add(date'1800-01-01', nw[0] * 5411 + nw[1])"
     format_ = f"if({m} rlike '^[0-9]{{4}}', concat('yyyy', substr({m}, 5, 1), 'MM', substr({m}, 5, 1), 'dd'), concat('dd', substr({m}, 3, 1), 'MM', substr({m}, 3, 1), 'yyyy'))"
     permuted = _let(_permuted("array(cast(dy div 5411 as int), dy % 5411)", "array(27, 5411)", "date", key), "nw", f"date_format({new}, {format_})")
-    return _let(f"datediff(cast(try_to_timestamp({iso}, 'yyyy-MM-dd') as date), date'1800-01-01')", "dy", f"if(dy between 0 and 146096, {permuted}, {m})")
+    return _let(f"datediff(cast(try_to_timestamp({iso}, 'yyyy-MM-dd') as date), date'1800-01-01')", "dy", f"if(dy between 0 and 146096, {permuted}, {_month_first(m, key)})")
+
+
+def _month_first(m: str, key: str) -> str:
+    """m/d/y with a day over 12: months and days of dates that are never valid the other way round."""
+    year, month, day = (f"cast(substr({m}, {a}, {n}) as int)" for a, n in ((7, 4), (1, 2), (4, 2)))
+    later = "filter(flatten(transform(array(29, 30, 31), d -> transform(sequence(1, 12), q -> q * 100 + d))), v -> v <> 229 and v <> 230 and (v % 100 < 31 or array_contains(array(1, 3, 5, 7, 8, 10, 12), v div 100)))"
+    leap = "filter(sequence(1800, 2199), y -> y % 4 = 0 and (y % 100 <> 0 or y % 400 = 0))"
+    shown = lambda v, y: f"concat(lpad(cast({v} div 100 as string), 2, '0'), '/', lpad(cast({v} % 100 as string), 2, '0'), '/', cast({y} as string))"
+    early = _let(_permuted(f"array({year} - 1800, {month} - 1, {day} - 13)", "array(400, 12, 16)", "month-first", key), "nw", shown("((nw[1] + 1) * 100 + nw[2] + 13)", "nw[0] + 1800"))
+    at = f"cast(array_position(lt, {month} * 100 + {day}) as int) - 1"
+    late = _let(later, "lt", f"if({at} >= 0, {_let(_permuted(f'array({year} - 1800, {at})', 'array(400, 29)', 'month-first-late', key), 'nw', shown('lt[nw[1]]', 'nw[0] + 1800'))}, {m})")
+    leaps = _let(leap, "lp", f"if(array_contains(lp, {year}), {_let(_permuted(f'array(cast(array_position(lp, {year}) as int) - 1)', 'array(97)', 'month-first-leap', key), 'nw', shown('229', 'lp[nw[0]]'))}, {m})")
+    valid = f"{m} rlike '^(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/(?:1[89]|2[01])[0-9]{{2}}$'"
+    return f"case when not ({valid}) then {m} when {day} <= 28 then {early} when {month} * 100 + {day} = 229 then {leaps} else {late} end"
 
 
 def _ssn(m: str, key: str) -> str:
@@ -166,12 +188,21 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     return out.withColumn("n_chars", F.length(column).cast("long")) if "n_chars" in docs.columns and column == "text" else out
 
 
+#: For tests and trials only: what is pseudonymised with it can be undone by anyone.
 DEMO_KEY = "replace this key"
 
 
+def session_key(spark) -> str:
+    """The key set as spark.tidemill.pseudonymKey; DEMO_KEY, with a warning, where none is."""
+    key = spark.conf.get("spark.tidemill.pseudonymKey", None)
+    if not key:
+        warnings.warn("spark.tidemill.pseudonymKey is not set: pseudonyms are made with the public key", stacklevel=2)
+    return key or DEMO_KEY
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), DEMO_KEY)
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs, DEMO_KEY)
+    return pseudonymise(docs, session_key(spark))

@@ -6,10 +6,13 @@ next version, moving slots from shards over the mean to shards under it, as few
 no swap brings the largest and smallest shard closer. Growing by a shard moves slots only into the new one.
 
 Only the byte count per slot (`slots` numbers, at most MOST_SLOTS) reaches the driver. Maps are stored as Parquet,
-one folder per version; a version is never rewritten.
+one folder per version; a version is never rewritten. Given the folder of a map, the latest version is read, edited and
+stored as the next one; if nothing moves, it stays. More shards than the map has are added one by one, each of which
+only takes slots; fewer are refused.
 
-Null texts have no bytes. Rows with equal doc_id share a slot; rows with equal text need not. Extra columns are
-ignored. An empty table has a map as well.
+Rows are numbered within their slot in PARTS parts, so that a slot of any size is spread. Null texts have no bytes. Rows
+with equal doc_id share a slot; rows with equal text need not. Ties and repeated rows are numbered in any, but one, order.
+Very long texts only count by their bytes. Extra columns are ignored. An empty table has a map as well.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import crc_long, shared_dir, store
 
 MOST_SLOTS = 1 << 16
+PARTS = 16
 
 
 def sized(docs: DataFrame, slots: int) -> DataFrame:
@@ -97,34 +102,63 @@ def grown(shards_of: np.ndarray, weights: np.ndarray, shards: int) -> np.ndarray
     return to
 
 
-def write_map(spark: SparkSession, path: str, version: int, shards_of: np.ndarray) -> DataFrame:
-    """Store one version (an error if it is there) and read it back."""
-    rows = spark.createDataFrame([(version, s, int(x)) for s, x in enumerate(shards_of)], "version int, virtual_slot int, shard int")
+def write_map(spark: SparkSession, path: str, version: int, shards_of: np.ndarray) -> None:
+    """Store one version (an error if it is there)."""
+    rows = spark.createDataFrame([(s, int(x)) for s, x in enumerate(shards_of)], "virtual_slot int, shard int")
     rows.coalesce(1).write.parquet(f"{path}/version={version}")
-    return read_map(spark, path, version)
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema("version int, virtual_slot int, shard int").parquet(f"{path}/version={version}")
+    return spark.read.schema("version int, virtual_slot int, shard int").parquet(path).filter(F.col("version") == version)
+
+
+def latest_map(spark: SparkSession, path: str) -> tuple[int, np.ndarray] | None:
+    """The latest version and the shard of each slot; None where there is no map."""
+    try:
+        version = spark.read.schema("version int, virtual_slot int, shard int").parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    rows = read_map(spark, path, version).orderBy("virtual_slot").collect()  # one for each slot
+    return version, np.array([r.shard for r in rows], np.int64)
+
+
+def next_map(spark: SparkSession, path: str, weights: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
+    """The map at path edited for the bytes per slot and the number of shards; what it gives is stored as well."""
+    slots = len(weights)
+    found = latest_map(spark, path)
+    if found is None:
+        found = 0, np.arange(slots) * shards // slots
+        write_map(spark, path, *found)
+    version, now = found
+    have = int(now.max()) + 1
+    if len(now) != slots or have > shards:
+        raise ValueError(f"the map has {len(now)} slots on {have} shards")
+    to = rebalanced(now, weights, shards) if have == shards else now
+    for more in range(have, shards):
+        to = grown(to, weights, more)
+    if version and (to == now).all():
+        return version, now
+    write_map(spark, path, version + 1, to)
+    return version + 1, to
 
 
 def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, map_path: str | None = None) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard, slot (its place in the shard, from 0), virtual_slot, map_version.
 
-    map_path: where the map's versions go; a new folder in the shared one if not given."""
+    map_path: where the map's versions are; a new folder in the shared one if not given."""
     spark = docs.sparkSession
-    sizes = store(sized(docs, slots), "sizes")
-    weights = slot_bytes(sizes, slots)
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")  # stored with its row before it is used
+    sizes = store(sized(docs, slots).withColumn("part", part), "sizes")
     path = map_path or f"{shared_dir(spark)}/tidemill/slot-map-{uuid.uuid4().hex}"
-    first = np.arange(slots) * shards // slots
-    write_map(spark, path, 0, first)
-    to = rebalanced(first, weights, shards)
-    slot_map = write_map(spark, path, 1, to)
-    counts = sizes.groupBy("virtual_slot").count().join(F.broadcast(slot_map), "virtual_slot")  # at most `slots` rows
-    before = counts.select("virtual_slot", "shard", (F.sum("count").over(W.partitionBy("shard").orderBy("virtual_slot")) - F.col("count")).alias("before"))
-    place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = sizes.withColumn("place", place).join(F.broadcast(before), "virtual_slot")
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), "virtual_slot", F.lit(1).alias("map_version"))
+    version, to = next_map(spark, path, slot_bytes(sizes, slots), shards)
+    slot_map = spark.createDataFrame([(s, int(x)) for s, x in enumerate(to)], "virtual_slot int, shard int")
+    counts = sizes.groupBy("virtual_slot", "part").count().join(F.broadcast(slot_map), "virtual_slot")  # at most slots * PARTS rows
+    before = counts.select("virtual_slot", "part", "shard", (F.sum("count").over(W.partitionBy("shard").orderBy("virtual_slot", "part")) - F.col("count")).alias("before"))
+    place = F.row_number().over(W.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")) - 1
+    out = sizes.withColumn("place", place).join(F.broadcast(before), ["virtual_slot", "part"])
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), "virtual_slot", F.lit(version).alias("map_version"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
