@@ -164,8 +164,20 @@ def test_weeks(spark, tmp_path):
     df = spark.createDataFrame([(1, ts(2026, 2, 18)), (2, ts(2026, 2, 24)), (3, None), (4, ts(1960, 1, 1))], "id long, published_at timestamp_ntz")
     assert rows(partitions.week_starts(df), "week_start") == [(ts(2026, 2, 16),), (ts(2026, 2, 23),)]
     partitions.write_weeks(df, str(tmp_path / "t"))
-    partitions.write_weeks(df.filter("id = 1").withColumn("id", F.lit(9).cast("long")), str(tmp_path / "t"))
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [2, 3, 4, 9]
+    for _ in range(2):  # rows of the week stay, and conflicts are ignored
+        partitions.write_weeks(df.filter("id = 1").withColumn("id", F.lit(9).cast("long")), str(tmp_path / "t"))
+        partitions.write_weeks(df, str(tmp_path / "t"))
+        assert sorted((r.id, r.published_at) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, ts(2026, 2, 18)), (2, ts(2026, 2, 24)), (3, ts(1970, 1, 1)), (4, ts(1960, 1, 1)), (9, ts(2026, 2, 18))]
+
+
+def test_validation_by_namespace_and_direct_channel(spark):
+    bodies = [
+        ("<?xml version='1.0'?><rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/'><channel>x</channel></rdf:RDF>", False),
+        ("<entry xmlns='http://www.w3.org/2005/Atom'><title>t</title></entry>", True), ("<a:entry xmlns:a='http://www.w3.org/2005/Atom'/>", True), ("<entry><title>t</title></entry>", False),
+        ("<top><channel/></top>", True), ("<top><inner><channel>x</channel></inner></top>", False), ("<top xmlns='urn:x'><channel>x</channel></top>", False), ("<top xmlns='urn:my-rss'/>", True), ("<p:feed xmlns:p='urn:x'/>", True),
+    ]
+    got = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i long, b string").select("i", parse.validate(F.col("b"), F.lit("text/xml")).alias("v")).orderBy("i").collect()
+    assert [r.v.valid for r in got] == [want for _, want in bodies]
 
 
 def test_pages_reject_bad_limits(spark, small):

@@ -87,14 +87,26 @@ def best_image(candidates: Column) -> Column:
     return F.coalesce(sized["url"], F.get(urls, F.lit(0)))
 
 
+def root_namespaces(body: Column) -> tuple[Column, Column]:
+    """The namespace of the root element (blank: none), and whether the root declares one for children without prefix."""
+    tag = F.regexp_extract(body, r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^>]*)>", 1)
+    declared = F.lit(r"xmlns(?::([\w.-]+))?\s*=\s*[\"']([^\"']*)[\"']")
+    prefixes, addresses = (F.regexp_extract_all(tag, declared, F.lit(k)) for k in (1, 2))
+    own = F.regexp_extract(tag, r"^([\w.-]+):", 1)
+    return F.coalesce(F.get(addresses, F.array_position(prefixes, own) - 1), F.lit("")), F.array_contains(prefixes, "")
+
+
 def validate(body: Column, content_type: Column) -> Column:
-    """struct(valid, reason) of a response's body: XML by type or look, well-formed, and a feed by its root."""
+    """struct(valid, reason) of a response's body: XML by type or look, well-formed, and a feed by its root's name or
+    namespace, or by a channel without namespace right below the root."""
     kind, head = F.lower(F.coalesce(content_type, F.lit(""))), strip(F.coalesce(body, F.lit("")))
     looks = kind.rlike("xml|rss|atom") | head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed")
-    parsed = F.from_xml(body, "_any string, _bad string", _OPTIONS)
+    parsed = F.from_xml(body, "channel array<struct<_VALUE:string>>, _bad string", _OPTIONS | {"ignoreNamespace": "false"})
     formed = (head != "") & parsed["_bad"].isNull()
-    root, has_channel = root_name(body), head.rlike(r"<channel[\s>]")
-    feed = F.contains(root, F.lit("rss")) | F.contains(root, F.lit("feed")) | has_channel
+    namespace, default = root_namespaces(body)
+    tag = F.concat(F.lower(namespace), root_name(body))
+    atom = namespace == "http://www.w3.org/2005/Atom"
+    feed = F.contains(tag, F.lit("rss")) | F.contains(tag, F.lit("feed")) | atom | (parsed["channel"].isNotNull() & ~default)
     reason = F.when(~looks, "Not an XML/RSS feed").when(~formed, "Invalid XML").when(~feed, "XML but not RSS/Atom format")
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
 

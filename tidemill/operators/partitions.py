@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def repartitioned(rows: DataFrame) -> DataFrame:
 
 def repartition_report(articles: DataFrame, links: DataFrame, weeks: DataFrame) -> DataFrame:
     """Before moving the default partition (rows with no week_start) of both tables: rows in it, week pairs to make
-    (weeks: those there already), weeks covered in all."""
+    (weeks: those there already; a pair is made whole, so this is the count of both tables), weeks covered in all."""
     d = lambda t: t.filter("week_start is null")
     starts = week_starts(articles)
     made = starts.join(weeks.select("week_start"), "week_start", "left_anti")
@@ -37,9 +38,18 @@ def repartition_report(articles: DataFrame, links: DataFrame, weeks: DataFrame)
     return out
 
 
-def write_weeks(rows: DataFrame, path: str) -> None:
-    """Replace the weeks that rows have (and no others) in a table partitioned by week_start."""
-    repartitioned(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_start").parquet(path)
+def write_weeks(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Add rows to a table partitioned by week_start; those whose key (default: id, published_at) is in their partition
+    already are left out, so a second run adds nothing."""
+    keys = [*(keys or ["id", "published_at"]), "week_start"]
+    new = repartitioned(rows).dropDuplicates(keys)
+    try:
+        there = rows.sparkSession.read.schema(new.schema).parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        new = new.join(there, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").partitionBy("week_start").parquet(path)
 
 
 def migrate_articles(old: DataFrame, to_epoch: bool = True) -> DataFrame:
