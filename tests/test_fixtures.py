@@ -22,19 +22,23 @@ def one(spark, column, value, kind="string"):
 
 
 def test_normalized_entries(spark):
-    rows = [
-        ("A", "https://example.com/a", ts(2026, 1, 2, 8)), ("A duplicate", "https://example.com/a", ts(2026, 1, 3, 9)), ("B too old", "https://example.com/b-old", ts(2025, 12, 31, 23, 59)),
-        ("B", "https://example.com/b", ts(2026, 2, 1, 12)), ("Missing date", "https://example.com/missing-date", None), ("Missing URL", None, ts(2026, 2, 1, 12)), (None, "https://example.com/missing-title", ts(2026, 2, 1, 12)),
-        ("Boundary", "https://example.com/boundary", ts(2026, 1, 1)), ("Before boundary", "https://example.com/before", ts(2025, 12, 31, 23, 59, 59)), ("old first", "https://example.com/c", ts(2025, 1, 1)), ("new then", "https://example.com/c", ts(2026, 1, 1)),
-    ]
+    """Against a plain loop over dates on both sides of the floor, shared urls, and missing values in every place."""
+    floor, step = ts(2026, 1, 1), dt.timedelta(seconds=1)
+    dates = [floor - step, floor, None, floor + 40 * step, floor - dt.timedelta(days=400), floor + dt.timedelta(days=9)]
+    rows = [(None if k % 11 == 7 else f" headline {k} ", None if k % 13 == 5 else f"https://papers.test/{k * 5 % 9}", dates[k * k % 6 if k % 4 else k // 4 % 6]) for k in range(60)]
+    seen, want = set(), []
+    for title, url, date in rows:
+        if title and url and date and date >= floor and url not in seen:
+            seen.add(url)
+            want.append(title.strip())
     df = spark.createDataFrame([("j", 1, i, *r) for i, r in enumerate(rows)], "job_id string, feed_id long, entry_pos int, title string, url string, published_at timestamp_ntz")
-    assert [r.title for r in parse.normalize(df).orderBy("entry_pos").collect()] == ["A", "B", "Boundary", "new then"]
-    long = df.limit(1).withColumn("url", F.repeat(F.lit("u"), 1001))
+    assert [r.title for r in parse.normalize(df).orderBy("entry_pos").collect()] == want and 3 < len(want) < 10
+    long = df.filter("entry_pos = 1").select("job_id", "feed_id", "entry_pos", F.lit("t").alias("title"), F.repeat(F.lit("u"), 1001).alias("url"), F.lit(floor).alias("published_at"))
     assert "longer than 1000" in parse.spoiled_feeds(parse.normalize(long)).first().error_message
 
 
-RSS = """<?xml version="1.0"?><rss version="2.0"><channel><lastBuildDate>Thu, 26 Feb 2026 12:00:00 GMT</lastBuildDate>
-<item><title> Article A </title><link>https://example.com/a</link><description>Summary A</description><author>Newsroom</author><pubDate>Thu, 26 Feb 2026 11:45:00 GMT</pubDate>
+RSS = """<?xml version="1.0"?><rss version="2.0"><channel><lastBuildDate>Sat, 14 Mar 2026 09:30:00 GMT</lastBuildDate>
+<item><title> Harbour notes </title><link>https://papers.test/harbour</link><description>Ships of the week</description><author>Ines Q.</author><pubDate>Sat, 14 Mar 2026 08:20:00 GMT</pubDate>
 <enclosure url="https://i/e.jpg?w=90"/><description>second</description></item><item><title>No url</title></item></channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/"><updated>2026-02-26T12:00:00+02:00</updated><entry><title>T</title><link rel="self" href="https://s"/><link rel="alternate" href="https://alt"/>
 <author><name>Ann &amp;amp; Co</name></author><content type="html">&lt;p&gt;Hello &lt;b&gt;you&lt;/b&gt; .&lt;/p&gt;&lt;img src="https://i/1.png" width="300"&gt;</content><media:thumbnail url="https://i/t.png" width="120"/><published>2026-02-26T10:00:00Z</published></entry></feed>"""
@@ -45,10 +49,10 @@ def test_feed_bodies(spark):
     entries, feeds = parse.parse_bodies(df)
     by = {r.feed_id: r for r in entries.collect()}
     assert sorted(by) == [1, 2]
-    assert (by[1].title, by[1].url, by[1].summary, by[1].author, by[1].published_at, by[1].image_url) == ("Article A", "https://example.com/a", "Summary A", "Newsroom", ts(2026, 2, 26, 11, 45), "https://i/e.jpg?w=90")
+    assert (by[1].title, by[1].url, by[1].summary, by[1].author, by[1].published_at, by[1].image_url) == ("Harbour notes", "https://papers.test/harbour", "Ships of the week", "Ines Q.", ts(2026, 3, 14, 8, 20), "https://i/e.jpg?w=90")
     assert (by[2].url, by[2].summary, by[2].author, by[2].published_at, by[2].image_url) == ("https://alt", "Hello you.", "Ann & Co", ts(2026, 2, 26, 10), "https://i/1.png")
     state = {r.feed_id: (r.last_modified, r.error) for r in feeds.collect()}
-    assert state == {1: (ts(2026, 2, 26, 12), None), 2: (ts(2026, 2, 26, 10), None), 3: (None, "invalid XML"), 4: (None, "invalid XML"), 5: (None, "invalid XML")}
+    assert state == {1: (ts(2026, 3, 14, 9, 30), None), 2: (ts(2026, 2, 26, 10), None), 3: (None, "invalid XML"), 4: (None, "invalid XML"), 5: (None, "invalid XML")}
 
 
 def test_validation_of_bodies(spark):
@@ -58,9 +62,17 @@ def test_validation_of_bodies(spark):
 
 
 def test_planning_order_and_batches(spark):
-    feeds = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 20), (5, 30)], "feed_id long, company_id long")
-    out = planning.in_batches(feeds, 2).orderBy("position").collect()
-    assert [r.feed_id for r in out] == [1, 3, 5, 2, 4] and [r.batch for r in out] == [0, 0, 1, 1, 2]
+    """Against a plain loop: in turn one feed of each company that has some left, companies by their first feed."""
+    company = {f: (None if f % 6 == 4 else f * f % 7) for f in range(101, 140)}
+    queues: dict = {}
+    for f, c in company.items():
+        queues.setdefault(c or f"alone {f}", []).append(f)  # company 0 is none
+    want = []
+    while any(queues.values()):
+        want += [q.pop(0) for q in queues.values() if q]
+    feeds = spark.createDataFrame(list(company.items()), "feed_id long, company_id long").repartition(3)
+    out = planning.in_batches(feeds, 4).orderBy("position").collect()
+    assert [r.feed_id for r in out] == want and [r.batch for r in out] == [i // 4 for i in range(len(want))]
 
 
 def test_request_headers(spark):

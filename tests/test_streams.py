@@ -30,7 +30,7 @@ def test_requests_to_tables(spark, tmp_path):
         flows.persist_results(spark, at("out"), at("tables"), at("bad"), at(checkpoint), available_now=True).awaitTermination()
         get = lambda n: read_version(spark, at("tables", n), flows.TABLES[n])
         assert sorted((r.feed_id, r.status, r.queue_kind, r.error_message) for r in get("job_results").collect()) == [(1, "success", "ingest", None), (2, "error", "error", "timed out")]
-        assert [(r.url, r.title) for r in get("articles").collect()] == [("https://example.com/a", "Article A")] and get("links").count() == 1
+        assert [(r.url, r.title) for r in get("articles").collect()] == [("https://papers.test/harbour", "Harbour notes")] and get("links").count() == 1
         assert get("jobs").first().status == "completed_with_errors"
         assert {r.feed_id: (r.etag, r.error_nbr) for r in get("scraping").collect()} == {1: ("e", 0), 2: (None, 1)}
     assert spark.read.json(at("bad")).select(F.col("violations")[0]).distinct().collect()[0][0] == "json"
