@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import http_date
 from tidemill.functions.text import clean, company_key, effective_protection, host
 from tidemill.operators.reads import with_ids
+from tidemill.operators.upsert import with_ids as numbered_by_range
 from tidemill.schemas import JOB
 
 #: Headers of a browser, sent at the highest level of fetch protection (fixed values, which must not differ).
@@ -32,23 +33,24 @@ def payloads(feeds: DataFrame, companies: DataFrame, scraping: DataFrame, articl
     return out.select("feed_id", F.col("url").alias("feed_url"), "company_id", host(F.col("host")).alias("host_header"), effective_protection(F.col("own"), F.col("of_company")).alias("fetchprotection"), "etag", "last_update", F.col("latest").alias("last_db_article_published_at"))
 
 
-def round_robin(feeds: DataFrame, order: str = "feed_id", block: int = 100_000) -> DataFrame:
+def _zero(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1).select(F.lit(0).alias("last"))
+
+
+def round_robin(feeds: DataFrame, order: str = "feed_id") -> DataFrame:
     """feeds with turn (nth of its company) and company_first (the company's first feed): sort by both to have the nth
-    feed of every company before any (n+1)th, companies as they first appear. Feeds without company stand alone."""
-    key = company_key(F.col("company_id"), F.col("feed_id"))
-    w = Window.partitionBy("_key")
-    return feeds.withColumn("_key", key).withColumn("turn", F.row_number().over(w.orderBy(order))).withColumn("company_first", F.min(order).over(w)).drop("_key")
+    feed of every company before any (n+1)th, companies as they first appear. Feeds without company stand alone. Feeds
+    are ranked over range parts, so a company of any size is spread."""
+    ranked = numbered_by_range(feeds.withColumn("_key", company_key(F.col("company_id"), F.col("feed_id"))), ["_key", order], _zero(feeds), "_rank")
+    first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"), F.min(order).alias("company_first"))
+    out = ranked.join(first, "_key").withColumn("turn", (F.col("_rank") - F.col("_first") + 1).cast("int"))
+    return out.select(*feeds.columns, "turn", "company_first")
 
 
 def in_batches(feeds: DataFrame, size: int = 50) -> DataFrame:
-    """Round-robin feeds with position (from 1) and batch (from 0). Feeds are counted per turn, so that positions need
-    no window over all rows: turns are bounded by the largest company."""
-    r = round_robin(feeds)
-    counts = r.groupBy("turn").agg(F.count("*").alias("_n"))
-    before = counts.select("turn", (F.sum("_n").over(Window.orderBy("turn")) - F.col("_n")).alias("_before"))
-    numbered = r.withColumn("_k", F.row_number().over(Window.partitionBy("turn").orderBy("company_first"))).join(before, "turn")
-    position = F.col("_before") + F.col("_k")
-    return numbered.withColumn("position", position).withColumn("batch", F.floor((position - 1) / size).cast("long")).drop("_before", "_k")
+    """Round-robin feeds with position (from 1) and batch (from 0), numbered over range parts as well."""
+    numbered = numbered_by_range(round_robin(feeds), ["turn", "company_first"], _zero(feeds), "position")
+    return numbered.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
 
 
 def request_headers(level: Column, host_name: Column, etag: Column, last_update: Column) -> Column:
@@ -70,9 +72,11 @@ def request_headers(level: Column, host_name: Column, etag: Column, last_update:
 
 def send_slots(planned: DataFrame, per_second: int = 4) -> DataFrame:
     """Seconds after the start at which each planned request is sent: so many a second for each company of a job."""
-    key = company_key(F.col("company_id"), F.col("feed_id"))
-    n = F.row_number().over(Window.partitionBy("job_id", "_key").orderBy("feed_id"))
-    return planned.withColumn("_key", key).withColumn("send_slot", F.floor((n - 1) / per_second).cast("long")).drop("_key")
+    keyed = planned.withColumn("_key", company_key(F.col("company_id"), F.col("feed_id")))
+    ranked = numbered_by_range(keyed, ["job_id", "_key", "feed_id"], _zero(planned), "_rank")
+    first = ranked.groupBy("job_id", "_key").agg(F.min("_rank").alias("_first"))
+    slot = F.floor((F.col("_rank") - F.col("_first")) / per_second).cast("long").alias("send_slot")
+    return ranked.join(first, ["job_id", "_key"]).select(*[ranked[c] for c in planned.columns], slot)
 
 
 def plan_jobs(planned: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
