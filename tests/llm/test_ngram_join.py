@@ -48,6 +48,17 @@ def test_large_group_in_blocks(spark):
     assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [0, 200, 202]
 
 
+def test_component_of_many_sizes(spark):
+    """One passage joins texts of all sizes; classes of size keep the pairs at the threshold, its exact edge included."""
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"own{j}" for j in range(i * 2 // 3)])) for i in range(90)] + [(100 + i, " ".join(shared[:12] * (i + 1))) for i in range(6)]
+    rows += [(200, " ".join(f"e{i}" for i in range(104))), (201, " ".join(f"e{i}" for i in range(84)))]  # 80 of 100 shingles
+    want = brute(rows)
+    assert want[200] == (200, 1) and len({c for c, _ in want.values()}) < 10
+    for block in (5, 16):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()} == want
+
+
 def test_messy_rows(messy, empty):
     out = near_duplicates(messy).collect()
     assert len(out) == messy.count()

@@ -6,8 +6,9 @@
 3. Within a component, MinHash values of two texts are compared `step` at a time. With a uniform prior, the posterior
    of the similarity after m matches in k is Beta(1 + m, 1 + k - m); a pair is dropped once the posterior probability
    of reaching the threshold is under `tolerance`. The rest are verified exactly on their shingle sets.
-   A component of more than `block` texts is dealt to tasks as pairs of blocks. Tasks return link counts and the
-   edges of a spanning forest, not pairs.
+   A component of more than `block` texts is cut into classes of size, so that texts at the threshold lie in one class
+   or in two that adjoin, and classes into blocks; tasks get pairs of blocks of such classes. Tasks return link counts
+   and the edges of a spanning forest, not pairs.
 4. Components of the verified links are the classes.
 
 At the threshold of 0.8 a pair misses all 25 bands with probability 5e-5; less similar pairs are cut by step 3.
@@ -20,11 +21,12 @@ with nothing (class null). Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import group_bounds, ship, slices, store, whole_groups
@@ -65,6 +67,15 @@ def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_counts(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many different shingles each row has."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    by = np.lexsort((values, row))
+    new = np.ones(len(by), bool)
+    new[1:] = (values[by][1:] != values[by][:-1]) | (row[by][1:] != row[by][:-1])
+    return np.bincount(row[by][new], minlength=len(counts))
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     n = HASHES // BAND
     x = np.zeros((len(sig), n), np.uint64)
@@ -79,11 +90,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, counts = shingles(Words(part.column("text")))
             sig = signatures(values, counts)
             has = np.flatnonzero(counts)
+            sizes = distinct_counts(values, counts)[has]
             keys = band_keys(sig)
             rows = pa.array(has)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "signature", "bands"],
+                [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "size", "signature", "bands"],
             )
 
 
@@ -183,6 +195,13 @@ def forest(n: int, left: list[int], right: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks_of(size_class: Column) -> Column:
+    """Names of the blocks of a class of the row's component; none if it has no such class."""
+    n = F.coalesce(F.try_element_at("blocks", size_class), F.lit(0)).cast("long")
+    names = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda k: F.shiftleft(size_class, 32) + k)
+    return F.slice(names, F.lit(1), n.cast("int"))
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-5, step: int = 16, block: int = 256) -> DataFrame:
     """Per row of docs: doc_id, class_id (smallest doc_id of its class), n_links (other documents at the threshold or
     above, copies included), kept (doc_id = class_id)."""
@@ -190,7 +209,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), tolera
     keyed = docs.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("text_key"), "text")
     rows = store(keyed.select("doc_id", "text_key"), "rows")
     texts = rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    signed = store(keyed.filter("doc_id is not null").mapInArrow(_sign, "doc_id long, text_key binary, signature binary, bands array<long>"), "signatures")
+    signed = store(keyed.filter("doc_id is not null").mapInArrow(_sign, "doc_id long, text_key binary, size long, signature binary, bands array<long>"), "signatures")
     texts = store(texts, "texts")
     of_texts = signed.join(texts.select(F.col("node").alias("doc_id"), "text_key", "copies"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     of_texts = store(of_texts.withColumnRenamed("doc_id", "node"), "texts")
@@ -200,11 +219,19 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (4, 5), tolera
     stars = banded.join(shared, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     where = store(components(stars), "candidates")
 
-    sizes = where.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = where.join(sizes, "component").select("component", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    members = members.join(of_texts.select("node", "text_key", "copies", "signature"), "node")
+    # sets at the threshold differ in size by den / num at most; the margin keeps rounding from moving one two classes on
+    size_class = F.floor(F.log(F.col("size")) / (math.log(threshold[1] / threshold[0]) * (1 + 1e-7)))
+    members = where.join(of_texts.select("node", "text_key", "copies", "size", "signature"), "node").withColumn("class", size_class)
+    per_class = members.groupBy("component", "class").agg(F.count("*").alias("n"))
+    per_class = per_class.select("component", "n", F.struct("class", F.ceil(F.col("n") / block).alias("blocks")).alias("entry"))
+    plan = per_class.groupBy("component").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list("entry")).alias("blocks"))
+    members = members.join(plan, "component")
     members = members.join(keyed.select(F.col("doc_id").alias("node"), "text_key", "text"), ["node", "text_key"]).dropDuplicates(["node", "text_key"])
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    whole = F.col("total") <= block
+    place = F.pmod(F.xxhash64("text_key"), F.try_element_at("blocks", F.col("class")))
+    own = F.when(whole, F.lit(0)).otherwise(F.shiftleft(F.col("class"), 32) + place).cast("long")
+    others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.flatten(F.transform(F.sequence(F.col("class") - 1, F.col("class") + 1), _blocks_of)))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(others)).select(
         "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "signature", "text"
     )
     dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
