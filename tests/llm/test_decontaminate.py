@@ -1,6 +1,6 @@
 import random
 
-from tidemill.llm.decontaminate import contaminated, op3, stage, tiles
+from tidemill.llm.decontaminate import contaminated, op3, runs, stage, tiles
 from tidemill.llm.text_arrays import mix
 
 import numpy as np
@@ -37,6 +37,31 @@ def test_tiles_against_brute_force():
         assert got == want
 
 
+def test_runs_in_pieces():
+    """However few matches are listed at once, runs are the same."""
+    rng = np.random.default_rng(3)
+    for symbols in (1, 2, 5):
+        a, b = rng.integers(0, symbols, 30).astype(np.uint64), rng.integers(0, symbols, 70).astype(np.uint64)
+        whole = sorted(zip(*(x.tolist() for x in runs(a, b)), strict=True))
+        assert all(sorted(zip(*(x.tolist() for x in runs(a, b, most)), strict=True)) == whole for most in (1, 7, 100))
+
+
+def test_very_long_text_of_one_token(spark):
+    docs = spark.createDataFrame([(1, "ha " * 100_000), (2, "ha " * 100 + "ho")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "ha " * 300)], "item_id long, text string")
+    for most_seeds in (500_000, 1):
+        assert [(r.doc_id, r.coverage, r.tiles) for r in contaminated(docs, bench, most_seeds=most_seeds).collect()] == [(1, 1.0, 1)]
+
+
+def test_benchmark_beyond_the_bound(spark, small):
+    """Seeds joined as tables give the pairs of the seeds sent to all tasks, repeated rows and items included."""
+    docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, bench = docs.unionByName(docs.filter("doc_id % 7 = 0")), bench.unionByName(bench.filter("item_id % 3 = 0"))
+    for threshold in (0.2, 0.6):
+        sent, joined = (sorted(map(tuple, contaminated(docs, bench, threshold=threshold, most_seeds=m).collect())) for m in (500_000, 1))
+        assert sent == joined and sent
+
+
 def test_reordered_and_changed_passages(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     w = item.split()
@@ -58,5 +83,6 @@ def test_query_finds_whole_items(spark, small):
 def test_messy_rows(spark, messy, empty, small):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     assert contaminated(messy, bench).collect() == [] and contaminated(empty, bench).collect() == [] and contaminated(messy, bench.limit(0)).collect() == []
+    assert contaminated(messy, bench, most_seeds=1).collect() == [] and contaminated(empty, bench, most_seeds=1).collect() == []
     out = stage(spark, messy.withColumn("_", messy.node), small)
     assert out.columns == [*messy.columns, "_"] and out.count() == messy.count()
