@@ -197,3 +197,24 @@ def test_pages_reject_bad_limits(spark, small):
 
     with pytest.raises(ValueError):
         reads.article_page(*tables(spark, small, "article", "link", "feed", "company"), limit=101)
+
+
+def test_items_at_any_depth(spark):
+    """Under a root that is neither rss nor feed, nested items and entries come in the order of the body."""
+    item = lambda tag, n: f"<{tag}><title>T{n}</title><link>https://deep.test/{n}</link></{tag}>"
+    body = "<opml xmlns:r='urn:r'><head/><body><outline>" + item("entry", 1) + "<!-- " + item("item", 9) + " --></outline><deeper><deepest>" + item("r:item", 2).replace("</title>", "</title><r:thumbnail url='https://deep.test/2.png'/>") + "<item/></deepest></deeper><items><x/></items></body>" + item("item", 3) + "</opml>"
+    found, feeds = parse.parse_bodies(spark.createDataFrame([(1, body), (2, "<opml><body/></opml>")], "feed_id long, body string"))
+    assert [(r.title, r.url, r.image_url) for r in found.orderBy("entry_pos").collect()] == [(f"T{n}", f"https://deep.test/{n}", "https://deep.test/2.png" if n == 2 else None) for n in (1, 2, 3)]
+    assert [r.error for r in feeds.collect()] == [None, None]
+
+
+def test_failed_publish_marks_jobs(spark):
+    jobs = spark.createDataFrame([("a", True, None, None, 2, "queued", None), ("b", True, None, None, 0, "completed", None)], schemas.JOB)
+    batches = spark.createDataFrame([], "job_id string, requested_at timestamp_ntz, ingest boolean, requested_by string, batch long, position long, feed_id long, feed_url string, company_id long, host_header string, fetchprotection int, etag string, last_update timestamp_ntz, last_db_article_published_at timestamp_ntz")
+
+    def broken(messages):
+        raise OSError("no sink")
+
+    status = lambda df: {r.job_id: r.status for r in df.collect()}
+    assert status(planning.publish(jobs, batches, broken)) == {"a": "failed", "b": "completed"}
+    assert status(planning.publish(jobs, batches, lambda m: m.collect())) == {"a": "queued", "b": "completed"}

@@ -16,14 +16,16 @@ def test_requests_to_tables(spark, tmp_path):
     at = lambda *p: str(tmp_path.joinpath(*p))
     feeds = [{"feed_id": i, "feed_url": f"https://f/{i}", "company_id": 1, "fetchprotection": 1} for i in (1, 2)]
     request = json.dumps({"job_id": "j1", "requested_at": "2026-03-01T00:00:00", "ingest": True, "requested_by": "me", "feeds": feeds})
-    write_requests(spark.createDataFrame([(request,), ("{bad",)], "payload string"), at("in"))
+    refused = json.dumps({"job_id": "j2", "ingest": True, "feeds": [*feeds, {"feed_id": 0, "feed_url": "", "fetchprotection": 1}]})
+    write_requests(spark.createDataFrame([(request,), ("{bad",), (refused,)], "payload string"), at("in"))
     responses = spark.createDataFrame([(1, 200, {"ETag": "e"}, RSS, None), (2, 0, {}, None, "timed out")], schemas.RESPONSE)
     empty = {name: spark.createDataFrame([], s) for name, s in flows.TABLES.items()}
     empty["jobs"] = spark.createDataFrame([("j1", True, "me", None, 2, "queued", None)], schemas.JOB)
     empty["feeds"] = spark.createDataFrame([(i, f"https://f/{i}", None, True, 0.5, 1) for i in (1, 2)], schemas.FEED)
     for name, df in empty.items():
         write_version(df, at("tables", name))
-    flows.scrape(spark, at("in"), lambda: responses, lambda: empty["scraping"], at("out"), at("ck1"), available_now=True).awaitTermination()
+    flows.scrape(spark, at("in"), lambda: responses, lambda: empty["scraping"], at("out"), at("ck1"), available_now=True, quarantine=at("refused")).awaitTermination()
+    assert sorted(r.violations for r in spark.read.json(at("refused")).collect()) == [["feed_id", "feed_url"], ["json"]]
     for stream in (schemas.STREAM_CHECK, schemas.STREAM_INGEST, schemas.STREAM_ERROR):
         spark.createDataFrame([("not json", 99)] if stream == schemas.STREAM_CHECK else [], "payload string, seq long").write.mode("append").json(at("out", stream))
     for checkpoint in ("ck2", "ck3"):  # the second reads all again

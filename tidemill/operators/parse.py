@@ -1,7 +1,8 @@
 """Feed bodies (RSS, Atom, RDF) to entries, and the choice of an entry's image, as column expressions.
 
-One from_xml per body with one schema for all three kinds; entries are exploded with their place. Known limits: for
-roots other than rss, feed and RDF, items are found right below the root only; the order between children of different
+One from_xml per body with one schema for RSS and Atom; entries are exploded with their place. Under other roots items
+and entries count at any depth: their elements are cut from the body in its order and parsed each. Known limits: an item
+inside an item is part of the outer one; the order between children of different
 names is not kept by from_xml, so `summary` goes before `description`, and image nodes are taken in the order img,
 thumbnail, content, enclosure, image.
 """
@@ -111,14 +112,27 @@ def validate(body: Column, content_type: Column) -> Column:
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
 
 
+def nested_items(body: Column) -> Column:
+    """All item and entry elements of a body, in its order; comments and CDATA sections outside of them are passed over."""
+    element = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<((?:[\w.-]+:)?(?:item|entry))(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>"
+    found = F.filter(F.regexp_extract_all(body, F.lit(element), F.lit(0)), lambda x: ~x.startswith("<!"))
+    return F.from_xml(F.concat(F.lit("<items>"), F.array_join(F.transform(found, _as_item), ""), F.lit("</items>")), f"item array<{_ITEM}>", _OPTIONS)["item"]
+
+
+def _as_item(element: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(element, r"(?i)^<(?:[\w.-]+:)?(?:item|entry)\b", "<item"), r"(?i)</(?:[\w.-]+:)?(?:item|entry)\s*>$", "</item>")
+
+
 def parse_bodies(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """responses(feed_id, body): entries (feed_id, entry_pos, title, url, summary, author, published_at, image_url), and
     feeds (feed_id, last_modified, error). Entries without title or url are left out."""
-    x = responses.select("feed_id", F.from_xml("body", SCHEMA, _OPTIONS).alias("x"), root_name(F.col("body")).alias("root"), (strip(F.coalesce("body", F.lit(""))) == "").alias("blank"))
+    root = root_name(F.col("body"))
+    deep = F.when(~root.isin("rss", "feed"), nested_items(F.col("body")))
+    x = responses.select("feed_id", F.from_xml("body", SCHEMA, _OPTIONS).alias("x"), root.alias("root"), deep.alias("deep"), (strip(F.coalesce("body", F.lit(""))) == "").alias("blank"))
     bad = F.col("blank") | F.col("x").isNull() | F.col("x._bad").isNotNull()
     modified = first_date(F.col("x.channel.lastbuilddate"), F.col("x.channel.pubdate"), F.col("x.channel.updated"), F.col("x.updated"), F.col("x.lastbuilddate"), F.col("x.pubdate"))
     feeds = x.select("feed_id", F.when(~bad, modified).alias("last_modified"), F.when(bad, F.lit("invalid XML")).alias("error"))
-    nodes = F.when(F.col("root") == "rss", F.col("x.channel.item")).when(F.col("root") == "feed", F.col("x.entry")).otherwise(F.concat(F.coalesce("x.item", F.array().cast(f"array<{_ITEM}>")), F.coalesce("x.entry", F.array().cast(f"array<{_ITEM}>"))))
+    nodes = F.when(F.col("root") == "rss", F.col("x.channel.item")).when(F.col("root") == "feed", F.col("x.entry")).otherwise(F.col("deep"))
     return entries(x.filter(~bad).select("feed_id", F.posexplode(nodes).alias("entry_pos", "e"))), feeds
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from tidemill.operators.reads import with_ids
 from tidemill.operators.upsert import with_ids as numbered_by_range
 from tidemill.schemas import JOB
 
+log = logging.getLogger(__name__)
+
 #: Headers of a browser, sent at the highest level of fetch protection (fixed values, which must not differ).
 BROWSER_HEADERS = {
     "User-Agent": "Mozilla/5.0 (X11; Linux x86_64; rv:140.0) Gecko/20100101 Firefox/140.0",
@@ -94,3 +99,13 @@ def request_messages(batches: DataFrame) -> DataFrame:
     grouped = batches.groupBy("job_id", "requested_at", "ingest", "requested_by", "batch").agg(F.array_sort(F.collect_list(feed)).alias("feeds"))
     feeds = F.transform("feeds", lambda x: x.dropFields("position"))
     return grouped.select("job_id", "batch", F.to_json(F.struct("job_id", "requested_at", "ingest", "requested_by", feeds.alias("feeds"))).alias("payload"))
+
+
+def publish(jobs: DataFrame, batches: DataFrame, send: Callable[[DataFrame], None]) -> DataFrame:
+    """Send the request messages; returns jobs as they are or, where sending fails, those with feeds as failed."""
+    try:
+        send(request_messages(batches))
+    except Exception:  # whatever the sink raises; the jobs must not stay queued
+        log.exception("Requests were not sent")
+        return jobs.withColumn("status", F.when(F.col("feed_count") > 0, "failed").otherwise(F.col("status")))
+    return jobs

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.results import queue_kind, route
-from tidemill.schemas import REQUEST, RESULT, STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, STREAM_REQUEST
+from tidemill.schemas import REQUEST, RESULT, STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, STREAM_REQUEST, request_rules, violations
 
 RESULT_STREAMS = [STREAM_CHECK, STREAM_INGEST, STREAM_ERROR]
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
@@ -24,9 +24,19 @@ def decode(messages: DataFrame, schema: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, folder: str, files_per_trigger: int = 20) -> DataFrame:
-    """Stream of requests, one row per feed."""
-    raw = spark.readStream.schema("payload string").option("maxFilesPerTrigger", files_per_trigger).json(f"{folder}/{STREAM_REQUEST}")
-    return decode(raw, REQUEST).filter("_bad is null").select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*")
+    """Stream of requests, undecoded: one payload per row."""
+    return spark.readStream.schema("payload string").option("maxFilesPerTrigger", files_per_trigger).json(f"{folder}/{STREAM_REQUEST}")
+
+
+def split_requests(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests as one row per feed, and those refused as payload and violations. A request of which one feed breaks a
+    rule is refused as a whole."""
+    decoded = decode(messages, REQUEST)
+    rows = decoded.select("payload", "_bad", "job_id", "requested_by", F.explode_outer("feeds").alias("f")).select("payload", "_bad", "job_id", "requested_by", "f.*")
+    found = rows.select("payload", F.when(F.col("_bad").isNotNull(), F.array(F.lit("json"))).otherwise(violations(request_rules())).alias("v"))
+    broken = found.filter(F.size("v") > 0).groupBy("payload").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("v")))).alias("violations"))
+    valid = decoded.join(broken.select("payload"), "payload", "left_anti")
+    return valid.select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*"), broken
 
 
 def read_results(spark: SparkSession, folder: str, files_per_trigger: int = 10) -> DataFrame:

@@ -19,7 +19,7 @@ from tidemill import schemas
 from tidemill.operators.parse import normalize, parse_bodies, spoiled_feeds
 from tidemill.operators.results import classify, persist, response_columns, split_valid
 from tidemill.operators.upsert import commit, last_commit, read_version, write_version
-from tidemill.sources.messages import decode, read_requests, read_results, write_results
+from tidemill.sources.messages import decode, read_requests, read_results, split_requests, write_results
 
 TABLES = {"feeds": schemas.FEED, "jobs": schemas.JOB, "job_results": schemas.JOB_RESULT, "scraping": schemas.SCRAPING, "articles": schemas.ARTICLE, "links": schemas.LINK}
 
@@ -47,11 +47,18 @@ def results_of(requests: DataFrame, responses: DataFrame, scraping: DataFrame, f
     )
 
 
-def scrape(spark: SparkSession, requests: str, responses: Callable[[], DataFrame], scraping: Callable[[], DataFrame], out: str, checkpoint: str, floor: str = "2026-01-01 00:00:00", available_now: bool = False) -> StreamingQuery:
-    """Requests from a folder to result streams below another. A batch counts as read only once its results are out."""
+def scrape(
+    spark: SparkSession, requests: str, responses: Callable[[], DataFrame], scraping: Callable[[], DataFrame], out: str, checkpoint: str,
+    floor: str = "2026-01-01 00:00:00", available_now: bool = False, quarantine: str | None = None,
+) -> StreamingQuery:
+    """Requests from a folder to result streams below another; refused ones go to quarantine, one folder per batch. A
+    batch counts as read only once its results are out."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        write_results(results_of(df, responses(), scraping(), floor), out)
+    def batch(df: DataFrame, number: int) -> None:
+        valid, refused = split_requests(df)
+        if quarantine:
+            refused.write.mode("overwrite").json(f"{quarantine}/batch={zlib.crc32(checkpoint.encode()):08x}-{number}")
+        write_results(results_of(valid, responses(), scraping(), floor), out)
 
     writer = read_requests(spark, requests).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
