@@ -18,4 +18,4 @@ def test_against_sql(spark, name, size):
     want = con.execute(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]}) t").fetchall()
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(want)
     kinds = {r[0]: r[1] for r in con.execute(f"describe {queries.oracle_sql()[name]}").fetchall()}
-    assert {c: {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}[k] for c, k in df.dtypes} == kinds
+    assert {c: {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}[k] for c, k in df.dtypes} == kinds

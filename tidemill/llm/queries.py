@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, embedding_dedup, language_id, ngram_join, packing, pseudonyms, quotation, sharding, substring_dedup, toxicity
+from tidemill.llm import decontaminate, embedding_dedup, hard_negatives, language_id, ngram_join, packing, pseudonyms, quotation, sharding, substring_dedup, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_toxicity": toxicity.op8,
         "op9_subspace_pigeonhole": embedding_dedup.op9,
         "op10_nnls_packing": packing.op10,
+        "op11_path_template_tree": url_filter.op11,
+        "op12_bond_hard_negatives": hard_negatives.op12,
+        "op13_lanczos_whitening": whitening.op13,
     }
 
 
@@ -59,6 +62,14 @@ _OP9 = f"""with recursive v as (select vec_id, cast(embedding as double[]) as x
     select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
     from v join (select a, min(b) as component_id from reach group by a) c on c.a = vec_id left join (select a, count(*) as n from both_ways group by a) l on l.a = vec_id"""
 
+_OP12 = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(y as double)) for y in embedding] as x
+      from embeddings where label is not null and embedding is not null and len([y for y in embedding if y is null or not isfinite(y)]) = 0),
+    scored as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_dot_product(a.x, b.x) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+    positive as (select anchor_id, other_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+    negative as (select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as int) as rank, other_id as negative_id, positive_score, score as negative_score
+      from positive p join scored s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+    select * from negative where rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_super_kmer_dedup": _OP6, "op7_ngram_jaccard_join": _OP7, "op9_subspace_pigeonhole": _OP9}
+    return {"op6_super_kmer_dedup": _OP6, "op7_ngram_jaccard_join": _OP7, "op9_subspace_pigeonhole": _OP9, "op12_bond_hard_negatives": _OP12}
