@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import parse_date
-from tidemill.operators.reads import job_status
-from tidemill.operators.upsert import upsert, with_ids
+from tidemill.operators.reads import job_counts, job_status, status_of
+from tidemill.operators.upsert import keep, upsert, with_ids
 from tidemill.schemas import STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, epoch, result_rules, violations
 
 
@@ -91,25 +91,44 @@ def week_of(published_at: Column) -> Column:
     return F.when(published_at > epoch(), F.date_trunc("week", published_at).cast("timestamp_ntz"))
 
 
-def update_articles(articles: DataFrame, links: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Articles and links after a folded batch. New articles get ids in the order of (published_at, url)."""
+def changed_articles(articles: DataFrame, links: DataFrame, batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles after a folded batch, and links that it adds. New articles get ids in the order of (published_at, url), from
+    the one in `last` (one row, one column) upwards."""
     keys = ["url", "published_at"]
     fresh = batch.join(articles.select(keys), keys, "left_anti")
-    ids = with_ids(fresh.select(keys), ["published_at", "url"], articles.agg(F.max("id").alias("id")))
+    ids = with_ids(fresh.select(keys), ["published_at", "url"], last)
     known = articles.select("id", *keys).unionByName(ids.select("id", *keys))
     rules = {"title": "replace", "summary": "coalesce", "author": "coalesce", "image_url": "coalesce"}
     rows = batch.drop("feed_ids").join(ids, keys, "left")
     out = upsert(articles, rows, keys, rules).select(articles.columns)
     pairs = batch.select(*keys, F.explode("feed_ids").alias("feed_id")).join(known, keys).select(F.col("id").alias("source_id"), "feed_id", "published_at")
-    new = pairs.join(links.select("source_id", "feed_id", "published_at"), ["source_id", "feed_id", "published_at"], "left_anti")
+    return out, pairs.join(links.select("source_id", "feed_id", "published_at"), ["source_id", "feed_id", "published_at"], "left_anti")
+
+
+def update_articles(articles: DataFrame, links: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles and links after a folded batch."""
+    out, new = changed_articles(articles, links, batch, articles.agg(F.max("id").alias("id")))
     return out, links.select("source_id", "feed_id", "published_at").unionByName(new)
 
 
+def add_counts(counts: DataFrame, new: DataFrame) -> DataFrame:
+    """Counters of jobs (job_id and those of reads.job_counts) with new results added; only these are counted."""
+    columns = [c for c in job_counts(new).columns if c != "job_id"]
+    return upsert(counts, job_counts(new), ["job_id"], dict.fromkeys(columns, "add"))
+
+
+def with_status(jobs: DataFrame, counts: DataFrame) -> DataFrame:
+    """jobs with the status that follows from their counters (which not all need have)."""
+    c = counts.select("job_id", "feeds_processed", "feeds_error")
+    n = lambda name: F.coalesce(name, F.lit(0))
+    return jobs.join(c, "job_id", "left").withColumn("status", status_of(F.col("feed_count"), n("feeds_processed"), n("feeds_error"))).select(jobs.columns)
+
+
 def persist(messages: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """job_results, scraping, articles, links and jobs after a batch of valid messages (with seq and stream_name).
     Messages that are not the first of their (job, feed) change nothing."""
     m = messages.withColumn("queue_kind", queue_kind(F.col("stream_name")))
-    new = new_results(m, tables["jobs"], tables["job_results"], tables.get("feeds"))
+    new = keep(new_results(m, tables["jobs"], tables["job_results"], tables.get("feeds")), "new")
     results = tables["job_results"].unionByName(new.select([c if c in new.columns else F.lit(None).alias(c) for c in tables["job_results"].columns]))
     out = {"job_results": results, "scraping": update_scraping(tables["scraping"], new), "jobs": job_status(tables["jobs"], results)}
     if "articles" in tables and "sources" in new.columns:

@@ -1,8 +1,9 @@
 """Keyed upserts as functions over DataFrames, sequence ids, and staged writes.
 
-Parquet tables take no MERGE: an upsert is the table after it, which is written to a new folder and then committed. The
-tables below one folder share its commits: a commit is one file that names the version of every table, made by an
-exclusive create, so readers see all tables of a batch or none, and a second writer of the same commit fails.
+Parquet tables take no MERGE: an upsert is the table after it, which is written to a new folder and then committed (or, for
+the tables of operators.delta, the rows that it changes). The tables below one folder share its commits: a commit is one
+file that names the files of every table, written aside and renamed to the next number. Readers see all tables of a batch or none;
+a writer who finds the number taken builds its commit anew on the one that took it.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.log import rename_new
+
 #: What becomes of a column when key and batch meet: rule -> (old, new) -> value.
 RULES = {
     "replace": lambda old, new: new,
@@ -60,9 +64,7 @@ def with_ids(rows: DataFrame, order: list[str], last: DataFrame, name: str = "id
     """rows numbered from the largest id in `last` (one row, one column) upwards in the order of the columns (which
     must tell rows apart): range parts are counted, then rows are numbered within their part. No window sees all rows."""
     cut = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    path = f"{shared_dir(rows.sparkSession)}/tidemill/ids-{uuid.uuid4().hex}"
-    cut.write.parquet(path)  # parts are sampled, so they are fixed before they are counted
-    cut = rows.sparkSession.read.schema(cut.schema).parquet(path)
+    cut = keep(cut, "ids")  # parts are sampled, so they are fixed before they are counted
     counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # `parts` rows
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -71,6 +73,13 @@ def with_ids(rows: DataFrame, order: list[str], last: DataFrame, name: str = "id
     return out.withColumn(name, (F.col("_last") + F.col("_before") + F.col("_k")).cast("long")).drop("_part", "_k", "_before", "_last")
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: what several results are made of is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/tidemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None, point: bool = True) -> str:
     """Write df as a new version below path (folder/table), and commit it; readers see the old one until then."""
     version = uuid.uuid4().hex
@@ -103,20 +112,36 @@ def last_commit(spark: SparkSession, folder: str) -> dict:
     return {"number": 0, "tables": {}, "batches": {}}
 
 
-def commit(spark: SparkSession, folder: str, versions: dict[str, str], batch: tuple[str, int] | None = None, keep: int = 20) -> None:
-    """Make versions of tables the current ones, all at once. batch: source and number of what led to them. Commits before
-    the last `keep` are removed; versions are not (readers may hold them)."""
-    fs, at, found = _commits(spark, folder)
-    last = last_commit(spark, folder)
-    number = 1 + max([last["number"], *(int(name) for name, _ in found)])
-    new = {"number": number, "tables": last["tables"] | versions, "batches": last["batches"] | (dict([batch]) if batch else {})}
-    stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(at, f"{number:012d}"), False)
-    try:
-        stream.write(bytearray(json.dumps(new).encode()))
-    finally:
-        stream.close()
-    for _, path in found[:-keep]:
-        fs.delete(path, False)
+def commit(
+    spark: SparkSession, folder: str, versions: dict[str, str], batch: tuple[str, int] | None = None, keep: int = 20,
+    change: Callable[[dict], None] | None = None,
+) -> dict:
+    """Make versions of tables the current ones, all at once. batch: source and number of what led to them. change: what else
+    becomes of the last commit's content. Commits before the last `keep` are removed; versions are not (readers may hold
+    them)."""
+    folder = folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while True:
+        fs, _, found = _commits(spark, folder)
+        new = last_commit(spark, folder)
+        new["number"] = 1 + max([new["number"], *(int(name) for name, _ in found)])
+        new["tables"] |= versions
+        new["batches"] |= dict([batch]) if batch else {}
+        if change:
+            change(new)
+        aside = f"{folder}/_writing/{uuid.uuid4().hex}"
+        stream = fs.create(path(aside), False)
+        try:
+            stream.write(bytearray(json.dumps(new).encode()))
+        finally:
+            stream.close()
+        fs.mkdirs(path(f"{folder}/_commits"))
+        if rename_new(spark, aside, f"{folder}/_commits/{new['number']:012d}"):
+            break
+        fs.delete(path(aside), False)
+    for _, old in found[:-keep]:
+        fs.delete(old, False)
+    return new
 
 
 def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame:

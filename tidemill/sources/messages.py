@@ -1,65 +1,60 @@
-"""Message streams as files of one JSON payload per row: columns payload (and stream_name as the folder)."""
+"""Request and result streams as message logs (sources.log): one JSON payload per message."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators.results import queue_kind, route
-from tidemill.schemas import REQUEST, RESULT, STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, STREAM_REQUEST, request_rules, violations
+from tidemill.operators.results import route
+from tidemill.schemas import STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, STREAM_REQUEST
+from tidemill.sources import payloads
+from tidemill.sources.log import append, read_log
 
+#: In the order in which the streams of one segment arrive.
 RESULT_STREAMS = [STREAM_CHECK, STREAM_INGEST, STREAM_ERROR]
-_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+#: Messages a batch (fixed values of the two consumers).
+REQUESTS_A_BATCH, RESULTS_A_BATCH = 20, 10
+_FIELDS = ["job_id", "ingest", "feed_id", "feed_url", "status", "error_message", "new_etag", "new_last_update", "fetchprotection", "sources"]
 
 
 def payload(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("payload")
 
 
-def decode(messages: DataFrame, schema: str) -> DataFrame:
-    """Payload columns beside the message's own; a payload that is no JSON object has _bad."""
-    return messages.withColumn("_p", F.from_json("payload", f"{schema}, _bad string", _OPTIONS)).select(*[c for c in messages.columns if c != "payload"], "payload", "_p.*").withColumn("_bad", F.when(F.col("_bad").isNotNull() | F.col("job_id").isNull(), F.col("payload")))
-
+def read_requests(spark: SparkSession, folder: str, group: str, most: int | None = REQUESTS_A_BATCH, start: str = "latest") -> DataFrame:
+    """Stream of requests, undecoded, in batches of at most `most`; a new group starts with what is published after it."""
+    return read_log(spark, folder, [STREAM_REQUEST], group, most, start)
 
-def read_requests(spark: SparkSession, folder: str, files_per_trigger: int = 20) -> DataFrame:
-    """Stream of requests, undecoded: one payload per row."""
-    return spark.readStream.schema("payload string").option("maxFilesPerTrigger", files_per_trigger).json(f"{folder}/{STREAM_REQUEST}")
 
+def read_results(spark: SparkSession, folder: str, group: str, most: int | None = RESULTS_A_BATCH, start: str = "latest") -> DataFrame:
+    """As read_requests, of the three result streams together."""
+    return read_log(spark, folder, RESULT_STREAMS, group, most, start)
 
-def split_requests(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests as one row per feed, and those refused as payload and violations. A request of which one feed breaks a
-    rule is refused as a whole."""
-    decoded = decode(messages, REQUEST)
-    rows = decoded.select("payload", "_bad", "job_id", "requested_by", F.explode_outer("feeds").alias("f")).select("payload", "_bad", "job_id", "requested_by", "f.*")
-    found = rows.select("payload", F.when(F.col("_bad").isNotNull(), F.array(F.lit("json"))).otherwise(violations(request_rules())).alias("v"))
-    broken = found.filter(F.size("v") > 0).groupBy("payload").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("v")))).alias("violations"))
-    valid = decoded.join(broken.select("payload"), "payload", "left_anti")
-    return valid.select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*"), broken
 
+def _checked(messages: DataFrame, violations) -> DataFrame:
+    return messages.withColumn("_v", payloads.parse(F.col("payload"))).withColumn("violations", violations(F.col("_v")))
 
-def read_results(spark: SparkSession, folder: str, files_per_trigger: int = 10) -> DataFrame:
-    """Stream of results of all three streams, each row with its stream's name; undecoded."""
-    one = lambda name: spark.readStream.schema("payload string, seq long").option("maxFilesPerTrigger", files_per_trigger).json(f"{folder}/{name}").withColumn("stream_name", F.lit(name))
-    return reduce(DataFrame.unionByName, [one(n) for n in RESULT_STREAMS])
 
-
-def routed(results: DataFrame) -> DataFrame:
-    """results (schemas.RESULT, seq) as messages: payload, seq, stream_name."""
-    fields = [f.split()[0] for f in RESULT.replace("array<struct<title:string,url:string,summary:string,author:string,published_at:timestamp_ntz,image_url:string>>", "x").split(", ")]
-    return results.select(payload(*fields), "seq", route(F.col("status"), F.col("ingest")).alias("stream_name"))
+def split_requests(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests as one row per feed, and those refused as payload and violations. A request that breaks a rule anywhere is
+    refused as a whole; one without feeds is valid and has no row."""
+    checked = _checked(messages, payloads.request_violations)
+    valid = checked.filter(F.size("violations") == 0).select(*payloads.request_columns(F.col("_v")))
+    feeds = valid.select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*")
+    return feeds, checked.filter(F.size("violations") > 0).select("payload", "violations")
 
 
-def write_results(results: DataFrame, folder: str) -> None:
-    """Append each result to its stream's folder."""
-    for name in RESULT_STREAMS:
-        routed(results).filter(F.col("stream_name") == name).drop("stream_name").write.mode("append").json(f"{folder}/{name}")
+def split_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results as rows of schemas.RESULT with stream_name and seq, and those refused (payload, stream_name, seq, violations)."""
+    checked = _checked(messages, payloads.result_violations)
+    valid = checked.filter(F.size("violations") == 0).select("stream_name", "seq", *payloads.result_columns(F.col("_v")))
+    return valid, checked.filter(F.size("violations") > 0).select("payload", "stream_name", "seq", "violations")
 
 
-def write_requests(messages: DataFrame, folder: str) -> None:
-    messages.select("payload").write.mode("append").json(f"{folder}/{STREAM_REQUEST}")
+def write_results(results: DataFrame, folder: str) -> int | None:
+    """Publish results (schemas.RESULT), each to its stream, as one segment."""
+    return append(results.select(payload(*_FIELDS), "status", "ingest"), folder, route(F.col("status"), F.col("ingest")))
 
 
-def with_kind(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("queue_kind", queue_kind(F.col("stream_name")))
+def write_requests(messages: DataFrame, folder: str) -> int | None:
+    return append(messages, folder, STREAM_REQUEST)
