@@ -1,6 +1,6 @@
 """Tables of base and delta files per unit: a batch writes the rows that it changes, and readers merge them.
 
-The rows of a table are dealt to units, hash buckets of a key or weeks; a commit lists, for each unit, the versions that hold its
+The rows of a table are dealt to units, hash buckets of a key or spans of weeks; a commit lists, for each unit, the versions that hold its
 rows, oldest first: a base, then a delta for each batch that touched it. A delta holds rows as they are after the batch, with
 the number of the commit that it was made on; of rows with one key the latest is the row (or, with _gone, none). Rows of
 tables that only grow need no merging. Units are folders of a version, so a reader that knows its keys opens
@@ -23,17 +23,21 @@ from tidemill.schemas import epoch
 @dataclass(frozen=True)
 class Layout:
     """How a table is stored: its schema, key, and whether rows only come (and never change or go). by: the column of
-    the unit; a key to be hashed into `buckets`, or, without buckets, a time to be cut into weeks."""
+    the unit; a key to be hashed into `buckets`, or, without buckets, a time to be cut into spans of `weeks` weeks."""
 
     schema: str
     keys: tuple[str, ...]
     by: str
     buckets: int | None = 64
+    weeks: int = 4
     grows_only: bool = False
 
     def unit(self) -> Column:
         if self.buckets is None:
-            return F.when(F.col(self.by) > epoch(), F.date_format(F.date_trunc("week", self.by), "yyyy-MM-dd")).otherwise("none")
+            days = 7 * self.weeks
+            monday = F.lit("1970-01-05").cast("date")
+            first = F.date_add(monday, (F.floor(F.date_diff(F.col(self.by), monday) / days) * days).cast("int"))
+            return F.when(F.col(self.by) > epoch(), first.cast("string")).otherwise("none")
         return F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("string")
 
     @property
@@ -92,7 +96,7 @@ def read(spark: SparkSession, folder: str, name: str, keys: DataFrame | None = N
     layout = LAYOUTS[name]
     versions = (at or last_commit(spark, folder))["tables"].get(name, {})
     if keys is not None and units is None:
-        units = [r[0] for r in keys.select(layout.unit()).distinct().collect()]  # buckets, or weeks
+        units = [r[0] for r in keys.select(layout.unit()).distinct().collect()]  # buckets, or spans of weeks
     chosen = {u: entries for u, entries in versions.items() if units is None or u in units}
     place = lambda u, e: f"{folder.rstrip('/')}/{name}/{e[0]}/_unit={u}"
     one = [place(u, e) for u, entries in chosen.items() for e in entries if layout.grows_only or len(entries) == 1]

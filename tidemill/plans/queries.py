@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, text
-from tidemill.operators import catalog, parse, partitions, planning, reads, results
+from tidemill.operators import catalog, delta, parse, partitions, planning, reads, results
+from tidemill.operators.upsert import shared_dir
 from tidemill.plans.testbed import oracle, tables
 from tidemill.schemas import result_rules, violations
 from tidemill.sources.catalog import manifest_diff
 from tidemill.sources.messages import payload
+from tidemill.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SQL_BASE: dict[str, str] = {}  # as written, before the views
 
 
 def query(sql: str | None = None):
@@ -24,7 +28,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = oracle(sql)
+            SQL[f.__name__], SQL_BASE[f.__name__] = oracle(sql), sql
         return f
 
     return add
@@ -340,6 +344,12 @@ def _digest_sql(name: str, columns: str) -> str:
     {" union all ".join(_digest_sql(*x) for x in _PERSISTED.items())}) y""")
 def q_persist_tables(spark, d):
     """Row counts and digests of all tables that a batch of results, with sources, leaves behind."""
+    m, old = _persist_inputs(spark, d)
+    return _digests(results.persist(m, old))
+
+
+def _persist_inputs(spark, d):
+    """Results with sources, and the tables before them, which know every fourth feed's results."""
     m, job, scraping, known, article, link = tables(spark, d, "result_msg", "job", "scraping", "job_result", "article", "link")
     old = known.filter("feed_id % 4 = 0").select("job_id", "feed_id", "status", results.queue_kind(F.col("stream_name")).alias("queue_kind"), "error_message")
     none = F.lit(None).cast("string")
@@ -348,7 +358,10 @@ def q_persist_tables(spark, d):
         F.when(F.col("seq") % 2 == 0, F.concat(F.lit("s"), F.col("seq").cast("string"))).alias("summary"), none.alias("author"), F.col("p").alias("published_at"), none.alias("image_url"),
     )
     m = m.join(article.select((F.col("id") - 1).alias("seq"), F.col("url").alias("u"), F.col("published_at").alias("p")), "seq", "left").withColumn("sources", F.array(source)).drop("u", "p")
-    out = results.persist(m, {"jobs": job, "job_results": old, "scraping": scraping, "articles": article, "links": link})
+    return m, {"jobs": job, "job_results": old, "scraping": scraping, "articles": article, "links": link}
+
+
+def _digests(out):
     digests = None
     for name, columns in _PERSISTED.items():
         parts = [F.coalesce(F.date_format(c[:-2], "yyyy-MM-dd HH:mm:ss") if c.endswith(":t") else F.col(c).cast("string"), F.lit("~")) for c in columns.split()]
@@ -358,6 +371,24 @@ def q_persist_tables(spark, d):
     return digests
 
 
+@query(SQL_BASE["q_persist_tables"])
+def q_persist_deltas(spark, d):
+    """As q_persist_tables, by the streams' way: tables as units of base and delta files, the batch committed to them twice."""
+    m, old = _persist_inputs(spark, d)
+    folder = f"{shared_dir(spark)}/tidemill/tables-{uuid.uuid4().hex}"
+    wide = {n: df.select([F.col(c) if c in df.columns else F.lit(None).alias(c) for c in delta.LAYOUTS[n].columns]) for n, df in old.items()}
+    wide = {n: df.select([F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], delta.LAYOUTS[n].schema).schema]) for n, df in wide.items()}
+    wide["jobs"] = results.with_status(wide["jobs"], reads.job_counts(wide["job_results"]))
+    flows.create_tables(wide | {"feeds": m.select(F.col("feed_id").alias("id")).distinct()}, folder)
+    for number in range(2):
+        flows.persist_valid(spark, m.select(*_MESSAGE), folder, ("results", number))
+    out = {n: delta.read(spark, folder, n) for n in delta.LAYOUTS}
+    return _digests(out | {"jobs": out["jobs"].join(out["job_counts"], "job_id", "left").na.fill(0)})
+
+
+_MESSAGE = ["seq", "stream_name", "job_id", "feed_id", "status", "error_message", "new_etag", "new_last_update", "fetchprotection", "sources"]
+
+
 @query("""select feed_id, case when level=0 then 'error' when error is not null then 'error' when unchanged then 'not_modified' when parse_error is not null then 'error' else 'success' end as status,
     case when level=0 then 'Blocked by fetch protection' when error is not null then error when unchanged then null when parse_error is not null then concat('Feed parse error: ',parse_error) end as error_message,
     case when level=0 or error is not null then null when unchanged or parse_error is not null then last_modified else coalesce(last_modified, parsed_last_modified) end as new_last_update

@@ -128,6 +128,11 @@ def _persist(spark: SparkSession, valid: DataFrame, refused: DataFrame, tables:
     source, number = batch
     name = f"{zlib.crc32(source.encode()):08x}-{number}" if number >= 0 else uuid.uuid4().hex
     refused.write.mode("overwrite").json(f"{quarantine}/batch={name}")
+    return persist_valid(spark, valid, tables, batch, seen)
+
+
+def persist_valid(spark: SparkSession, valid: DataFrame, tables: str, batch: tuple[str, int], seen: bool = False) -> dict:
+    """Commit what valid results (schemas.RESULT, seq, stream_name) change."""
     at = last_commit(spark, tables)
     after = changes(spark, valid, tables, at, read_version(spark, f"{tables}/feeds", schemas.FEED), seen)
     with ThreadPoolExecutor() as pool:  # the tables' writes do not wait for each other
@@ -140,7 +145,7 @@ def _persist(spark: SparkSession, valid: DataFrame, refused: DataFrame, tables:
         delta.added(staged)(new)
         new["values"]["article_id"] = max(largest or 0, new["values"]["article_id"])
 
-    return commit(spark, tables, {}, batch if number >= 0 else None, change=change)
+    return commit(spark, tables, {}, batch if batch[1] >= 0 else None, change=change)
 
 
 def persist_results(spark: SparkSession, streams: str, tables: str, quarantine: str, checkpoint: str, available_now: bool = False, start: str = "latest", most: int | None = RESULTS_A_BATCH) -> StreamingQuery:
