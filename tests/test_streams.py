@@ -131,18 +131,19 @@ def test_log_batches_start_and_restart(spark, tmp_path):
     def run(most, start="latest", group="g", checkpoint="ck", fail=None, streams=("a", "b")):
         def batch(df, number):
             rows = [r.payload for r in df.orderBy("seq").collect()]
-            if len(got) == fail:
+            if len(got) == fail and rows:
                 raise OSError("lost")
             if rows:
                 got.append((number, rows))
 
-        return flows._run(read_log(spark, at("log"), streams, group, most, start), batch, at(checkpoint), True)
+        return flows.run_batches(read_log(spark, at("log"), streams, group, most, start), batch, at(checkpoint), True)
 
     run(20)
     assert got == []  # what was there before the group is not read
     append(numbered(spark, 100, 1000).coalesce(1), at("log"), "a")
-    with pytest.raises(Exception, match="lost"):
-        run(20, fail=7)
+    for fail in (0, 7):  # the first batch as well
+        with pytest.raises(Exception, match="lost"):
+            run(20, fail=fail)
     assert [len(rows) for _, rows in got] == [20] * 7
     run(20)
     assert [len(rows) for _, rows in got] == [20] * 50 and [int(x) for _, rows in got for x in rows] == list(range(100, 1100))
@@ -189,3 +190,39 @@ def test_small_batches_write_little(spark, tmp_path):
     assert len(want["scraping"]) == n and sum("error_nbr=3" in r for r in want["scraping"]) == len(few)
     assert delta.compact(spark, folder, "scraping", 2) == ["5"] and delta.compact(spark, folder, "scraping", 2) == []
     assert len(last_commit(spark, folder)["tables"]["scraping"]["5"]) == 1 and {n: rows_of(spark, folder, n) for n in NAMES} == want
+
+
+def test_keyed_state_against_tables(spark, tmp_path, monkeypatch):
+    """Seen keys and error counters in the state store: the same tables as by look-ups, over a restart and a replay, and
+    job_results is not read."""
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    first = empty_tables(spark, 3, ("j0", "j1", "j2"))
+    first["scraping"] = spark.createDataFrame([(2, 1, None, None, 4, "old")], schemas.SCRAPING)
+    first["job_results"] = spark.createDataFrame([("j0", 3, "success", "ingest", None, 1, None, None, None)], schemas.JOB_RESULT)
+    entry = {"title": "t", "url": "https://a/1", "published_at": "2026-02-01T10:00:00Z"}
+    said = [result("j0", 3, "error"), result("j0", 2, "error", error_message="a"), "{bad", result("j1", 2, "error", error_message="b"), result("j0", 2, "success"), result("j1", 1, sources=[entry]), result("j1", 1, "error")]
+    stream = F.when(F.get_json_object("payload", "$.status") == "error", schemas.STREAM_ERROR).otherwise(schemas.STREAM_INGEST)
+    for k in (0, 4):
+        append(spark.createDataFrame([(m,) for m in said[k : k + 4]], "payload string").coalesce(1), at("log"), stream)
+    for way in ("tables", "state"):
+        flows.create_tables(first, at(way))
+    flows.persist_results(spark, at("log"), at("tables"), at("bad"), at("ck1"), available_now=True, start="earliest", most=None)
+    persist, read, opened = flows.persist_checked, delta.read, set()
+    later = flows.__dict__
+
+    def fails(*args, **kwargs):
+        raise OSError("lost")
+
+    from tidemill.streaming import state
+
+    with monkeypatch.context() as m:
+        m.setitem(later, "persist_checked", fails)
+        with pytest.raises(Exception, match="lost"):
+            state.persist_results(spark, at("log"), at("state"), at("bad2"), at("ck2"), available_now=True, start="earliest", most=5)
+    with monkeypatch.context() as m:
+        m.setitem(later, "persist_checked", lambda *a, **k: (m.setattr(delta, "read", lambda s, f, name, *x, **y: (opened.add(name), read(s, f, name, *x, **y))[1]), persist(*a, **k))[1])
+        state.persist_results(spark, at("log"), at("state"), at("bad2"), at("ck2"), available_now=True, start="earliest", most=5)
+    assert "scraping" in opened and "job_results" not in opened
+    assert {n: rows_of(spark, at("state"), n) for n in NAMES} == {n: rows_of(spark, at("tables"), n) for n in NAMES}
+    assert {r.feed_id: r.error_nbr for r in delta.read(spark, at("state"), "scraping").collect()} == {1: 0, 2: 6}
+    assert spark.read.json(at("bad2")).count() == 1

@@ -93,7 +93,7 @@ class LogReader(DataSourceStreamReader):
         self.uri, self.streams = options["path"], [s for s in options["streams"].split(",") if s]
         self.most = int(options["most"]) if options.get("most") else None
         self.start, self.kept_at = options.get("start") or "latest", f"{self.root}/_groups/{options['group']}.json"
-        self.position: dict | None = None
+        self.state: dict[str, dict] = {}  # first, last: where the group began, and where it is
 
     def segments(self) -> list[int]:
         found = self.fs.get_file_info(pafs.FileSelector(self.root, allow_not_found=True))
@@ -110,31 +110,33 @@ class LogReader(DataSourceStreamReader):
     def exists(self, segment: int) -> bool:
         return self.fs.get_file_info(f"{self.root}/{segment:012d}").type != pafs.FileType.NotFound
 
-    def keep(self, position: dict) -> None:
-        self.position = position
+    def keep(self, state: dict) -> None:
+        self.state = state
         self.fs.create_dir(f"{self.root}/_groups")
         with self.fs.open_output_stream(f"{self.kept_at}.new") as f:
-            f.write(json.dumps(position).encode())
+            f.write(json.dumps(state).encode())
         self.fs.move(f"{self.kept_at}.new", self.kept_at)
 
-    def known(self) -> dict:
-        """The group's position; at first that of its start, which is kept."""
-        if self.position is None:
+    def known(self) -> dict[str, dict]:
+        """What is kept of the group; a new one begins at its start, which is kept."""
+        if not self.state:
             if self.fs.get_file_info(self.kept_at).is_file:
                 with self.fs.open_input_stream(self.kept_at) as f:
-                    self.position = json.loads(f.read())
+                    self.state = json.loads(f.read())
             else:
                 found = self.segments()
                 first = 1 if not found else found[0] if self.start == "earliest" else found[-1] + 1
-                self.keep({"segment": first, "file": 0, "byte": 0, "line": 0})
-        return self.position
+                at = {"segment": first, "file": 0, "byte": 0, "line": 0}
+                self.keep({"first": at, "last": at})
+        return self.state
 
     def initialOffset(self) -> dict:
-        return self.known()
+        """Where the group began: a first batch that failed is asked for from here once more."""
+        return self.known()["first"]
 
     def latestOffset(self) -> dict:
         """At most `most` messages after the group's position."""
-        at, left = dict(self.known()), self.most
+        at, left = dict(self.known()["last"]), self.most
         while self.exists(at["segment"]) and (left is None or left > 0):
             files = self.files(at["segment"]) if left is not None else []
             while at["file"] < len(files) and left > 0:
@@ -150,7 +152,7 @@ class LogReader(DataSourceStreamReader):
         return at
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        self.keep(end)
+        self.keep({"first": self.known()["first"], "last": end})
         out = []
         for segment in range(start["segment"], end["segment"] + 1):
             for k, (stream, path) in enumerate(self.files(segment) if self.exists(segment) else []):

@@ -54,7 +54,7 @@ def group_of(checkpoint: str) -> str:
     return f"{zlib.crc32(checkpoint.encode()):08x}"
 
 
-def _run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+def run_batches(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if not available_now:
         return writer.trigger(processingTime="5 seconds").start()
@@ -78,7 +78,7 @@ def scrape(
         refused.write.mode("overwrite").json(f"{quarantine}/batch={group_of(checkpoint)}-{number}")
         write_results(results_of(valid, responses(), scraping(), floor), out)
 
-    return _run(read_requests(spark, requests, group_of(checkpoint), most, start), batch, checkpoint, available_now)
+    return run_batches(read_requests(spark, requests, group_of(checkpoint), most, start), batch, checkpoint, available_now)
 
 
 def create_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -114,17 +114,17 @@ def changes(spark: SparkSession, results: DataFrame, folder: str, at: dict, feed
 def persist_batch(spark: SparkSession, messages: DataFrame, tables: str, quarantine: str, batch: tuple[str, int] = ("", -1)) -> dict | None:
     """Decode, validate and fold one batch of messages (payload, seq, stream_name) into the tables; the commit. batch: its source
     and number; a batch that is committed is skipped, and messages in quarantine are those of the batch's last run."""
-    if _done(spark, tables, batch):
+    if done(spark, tables, batch):
         return None
     valid, refused = split_results(keep(messages, "messages"))
-    return _persist(spark, valid, refused, tables, quarantine, batch)
+    return persist_checked(spark, valid, refused, tables, quarantine, batch)
 
 
-def _done(spark: SparkSession, tables: str, batch: tuple[str, int]) -> bool:
+def done(spark: SparkSession, tables: str, batch: tuple[str, int]) -> bool:
     return 0 <= batch[1] <= last_commit(spark, tables)["batches"].get(batch[0], -1)
 
 
-def _persist(spark: SparkSession, valid: DataFrame, refused: DataFrame, tables: str, quarantine: str, batch: tuple[str, int], seen: bool = False) -> dict:
+def persist_checked(spark: SparkSession, valid: DataFrame, refused: DataFrame, tables: str, quarantine: str, batch: tuple[str, int], seen: bool = False) -> dict:
     source, number = batch
     name = f"{zlib.crc32(source.encode()):08x}-{number}" if number >= 0 else uuid.uuid4().hex
     refused.write.mode("overwrite").json(f"{quarantine}/batch={name}")
@@ -157,4 +157,4 @@ def persist_results(spark: SparkSession, streams: str, tables: str, quarantine:
             for name, layout in delta.LAYOUTS.items():
                 delta.compact(spark, tables, name, 64 if layout.grows_only else 16)
 
-    return _run(read_results(spark, streams, group_of(checkpoint), most, start), batch, checkpoint, available_now)
+    return run_batches(read_results(spark, streams, group_of(checkpoint), most, start), batch, checkpoint, available_now)
