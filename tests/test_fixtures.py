@@ -199,6 +199,22 @@ def test_pages_reject_bad_limits(spark, small):
         reads.article_page(*tables(spark, small, "article", "link", "feed", "company"), limit=101)
 
 
+def test_order_and_nested_markup(spark):
+    """The first of several children counts whatever its name, text inside markup is text, and an item in an item is both."""
+    one = "<rss><channel><item><description> </description><summary>late</summary><description>later</description><title>Sea <i>and <b>sky</b></i>!</title><link> </link><link href='https://o.test/2' rel='via'/><link href='https://o.test/1'/>"
+    one += "<author>Cy <x>Vale</x></author><creator>no</creator><div><content href='https://o.test/c.png'/></div><img src='https://o.test/i.png'/><thumbnail url='' href='https://o.test/t.png'/><date>2026-05-04</date><updated>soon</updated></item></channel><updated>2026-05-05T00:00:00Z</updated></rss>"
+    two = "<list><item><item><title>In</title><link>https://o.test/in</link><image url='https://o.test/in.png'/></item><title>Out</title><link>https://o.test/out</link></item></list>"
+    three = "<feed><item><title>no</title><link>https://o.test/no</link></item><div><entry><title>deep</title><link>https://o.test/deep</link></entry></div><entry><title>yes</title><link>https://o.test/yes</link><author><name> </name>Ed &lt;b&gt;T&lt;/b&gt;</author><encoded>&lt;p&gt;&lt;/p&gt;</encoded><content>c</content></entry></feed>"
+    found, feeds = parse.parse_bodies(spark.createDataFrame([(1, one), (2, two), (3, three), (4, "<!DOCTYPE a [<!ENTITY e 'v'>]><rss><channel><item><title>&e;</title><link>l</link></item></channel></rss>")], "feed_id long, body string"))
+    got = [(r.feed_id, r.entry_pos, r.title, r.url, r.summary, r.author, r.image_url) for r in found.orderBy("feed_id", "entry_pos").collect()]
+    assert got == [
+        (1, 0, "Sea and sky!", "https://o.test/1", "late", "Cy Vale", "https://o.test/c.png"), (2, 0, "Out", "https://o.test/out", None, None, "https://o.test/in.png"),
+        (2, 1, "In", "https://o.test/in", None, None, "https://o.test/in.png"), (3, 0, "yes", "https://o.test/yes", "c", "Ed T", None), (4, 0, "v", "l", None, None, None),
+    ]
+    assert {r.feed_id: r.last_modified for r in feeds.collect()} == {1: ts(2026, 5, 5), 2: None, 3: None, 4: None}
+    assert found.filter("feed_id = 1").first().published_at == ts(2026, 5, 4)
+
+
 def test_items_at_any_depth(spark):
     """Under a root that is neither rss nor feed, nested items and entries come in the order of the body."""
     item = lambda tag, n: f"<{tag}><title>T{n}</title><link>https://deep.test/{n}</link></{tag}>"

@@ -1,10 +1,8 @@
-"""Feed bodies (RSS, Atom, RDF) to entries, and the choice of an entry's image, as column expressions.
+"""Feed bodies (RSS, Atom, RDF) to entries, and the choice of an entry's image, as column expressions over nodes in
+document order (xml_nodes).
 
-One from_xml per body with one schema for RSS and Atom; entries are exploded with their place. Under other roots items
-and entries count at any depth: their elements are cut from the body in its order and parsed each. Known limits: an item
-inside an item is part of the outer one; the order between children of different
-names is not kept by from_xml, so `summary` goes before `description`, and image nodes are taken in the order img,
-thumbnail, content, enclosure, image.
+The nodes of an entry are gathered in one array, sorted by place: its children have parent = entry, all inside it count
+for images. Under other roots than rss and feed, items and entries count at any depth, one inside another as well.
 """
 
 from __future__ import annotations
@@ -14,14 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.dates import first_date
 from tidemill.functions.text import clean, dimension, html_attribute, image_tags, plain_references, query_dimension, srcset, strip, strip_html
+from tidemill.operators.xml_nodes import node_table
 
-_TEXTS = "array<string>"
-_NODE = "array<struct<_VALUE:string,_src:string,_url:string,_href:string,_width:string,_height:string,_srcset:string>>"
-_LINK = "array<struct<_VALUE:string,_href:string,_rel:string>>"
-_AUTHOR = "array<struct<_VALUE:string,name:string>>"
-_DATES = ["pubdate", "published", "updated", "date", "created", "modified", "issued"]
-_ITEM = f"struct<title:{_TEXTS},link:{_LINK},summary:{_TEXTS},description:{_TEXTS},encoded:{_TEXTS},content:{_NODE},author:{_AUTHOR},creator:{_TEXTS},img:{_NODE},thumbnail:{_NODE},enclosure:{_NODE},image:{_NODE}," + ",".join(f"{d}:{_TEXTS}" for d in _DATES) + ">"
-SCHEMA = f"channel struct<item:array<{_ITEM}>,lastbuilddate:string,pubdate:string,updated:string>, entry array<{_ITEM}>, item array<{_ITEM}>, updated string, lastbuilddate string, pubdate string, _bad string"
+_DATES = ["pubdate", "published", "updated", "date"]
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "attributePrefix": "_", "valueTag": "_VALUE"}
 
 CANDIDATES = "array<struct<url:string,width:bigint,height:bigint>>"
@@ -39,19 +32,20 @@ def root_name(body: Column) -> Column:
 
 def entry_url(links: Column) -> Column:
     """Text of the first link that has one, else the first href that is an alternate, else the first href."""
-    text = F.get(F.filter(F.transform(links, lambda x: strip(x["_VALUE"])), lambda x: x != ""), F.lit(0))
-    hrefs = F.filter(links, lambda x: F.coalesce(strip(x["_href"]), F.lit("")) != "")
-    alternate = F.filter(hrefs, lambda x: x["_rel"].isNull() | (F.lower(x["_rel"]) == "alternate"))
-    return F.coalesce(text, strip(F.get(alternate, F.lit(0))["_href"]), strip(F.get(hrefs, F.lit(0))["_href"]))
+    href = lambda x: F.nullif(strip(x["attributes"]["href"]), F.lit(""))
+    rel = lambda x: F.nullif(strip(x["attributes"]["rel"]), F.lit(""))
+    alternate = F.filter(links, lambda x: href(x).isNotNull() & (rel(x).isNull() | (rel(x) == "alternate")))
+    return F.coalesce(first_text(F.transform(links, lambda x: x["text"])), F.get(F.transform(alternate, href), F.lit(0)), F.get(F.filter(F.transform(links, href), lambda h: h.isNotNull()), F.lit(0)))
 
 
-def image_candidates(nodes: Column, url: str, other: str | None = None) -> Column:
-    """Candidates of image nodes: the url attribute (or the other), then those of srcset."""
+def image_candidates(nodes: Column) -> Column:
+    """Candidates of image nodes: the address (src of img, url or else href of others), then those of srcset."""
 
     def of_node(n: Column) -> Column:
-        address = n[url] if other is None else F.coalesce(F.nullif(strip(n[url]), F.lit("")), n[other])
-        own = F.array(F.struct(F.nullif(strip(plain_references(address)), F.lit("")).alias("url"), dimension(n["_width"]).alias("width"), dimension(n["_height"]).alias("height")))
-        listed = F.transform(srcset(plain_references(n["_srcset"])), lambda s: F.struct(s["url"].alias("url"), s["width"].alias("width"), dimension(n["_height"]).alias("height")))
+        given = n["attributes"]
+        address = F.when(n["tag"] == "img", given["src"]).otherwise(F.coalesce(F.nullif(given["url"], F.lit("")), given["href"]))
+        own = F.array(F.struct(F.nullif(strip(plain_references(address)), F.lit("")).alias("url"), dimension(given["width"]).alias("width"), dimension(given["height"]).alias("height")))
+        listed = F.transform(srcset(plain_references(given["srcset"])), lambda s: F.struct(s["url"].alias("url"), s["width"].alias("width"), dimension(given["height"]).alias("height")))
         return F.concat(own, listed)
 
     return F.coalesce(F.flatten(F.transform(nodes, of_node)), F.array().cast(CANDIDATES))
@@ -112,44 +106,46 @@ def validate(body: Column, content_type: Column) -> Column:
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-def nested_items(body: Column) -> Column:
-    """All item and entry elements of a body, in its order; comments and CDATA sections outside of them are passed over."""
-    element = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<((?:[\w.-]+:)?(?:item|entry))(?:\s[^<>]*)?(?<!/)>.*?</\1\s*>"
-    found = F.filter(F.regexp_extract_all(body, F.lit(element), F.lit(0)), lambda x: ~x.startswith("<!"))
-    return F.from_xml(F.concat(F.lit("<items>"), F.array_join(F.transform(found, _as_item), ""), F.lit("</items>")), f"item array<{_ITEM}>", _OPTIONS)["item"]
-
-
-def _as_item(element: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(element, r"(?i)^<(?:[\w.-]+:)?(?:item|entry)\b", "<item"), r"(?i)</(?:[\w.-]+:)?(?:item|entry)\s*>$", "</item>")
-
-
 def parse_bodies(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """responses(feed_id, body): entries (feed_id, entry_pos, title, url, summary, author, published_at, image_url), and
     feeds (feed_id, last_modified, error). Entries without title or url are left out."""
-    root = root_name(F.col("body"))
-    deep = F.when(~root.isin("rss", "feed"), nested_items(F.col("body")))
-    x = responses.select("feed_id", F.from_xml("body", SCHEMA, _OPTIONS).alias("x"), root.alias("root"), deep.alias("deep"), (strip(F.coalesce("body", F.lit(""))) == "").alias("blank"))
-    bad = F.col("blank") | F.col("x").isNull() | F.col("x._bad").isNotNull()
-    modified = first_date(F.col("x.channel.lastbuilddate"), F.col("x.channel.pubdate"), F.col("x.channel.updated"), F.col("x.updated"), F.col("x.lastbuilddate"), F.col("x.pubdate"))
-    feeds = x.select("feed_id", F.when(~bad, modified).alias("last_modified"), F.when(bad, F.lit("invalid XML")).alias("error"))
-    nodes = F.when(F.col("root") == "rss", F.col("x.channel.item")).when(F.col("root") == "feed", F.col("x.entry")).otherwise(F.col("deep"))
-    return entries(x.filter(~bad).select("feed_id", F.posexplode(nodes).alias("entry_pos", "e"))), feeds
-
-
-def entries(nodes: DataFrame) -> DataFrame:
-    """nodes(feed_id, entry_pos, e) as entries."""
-    content = F.transform("e.content", lambda c: c["_VALUE"])
-    author = F.coalesce(F.get(F.filter(F.transform("e.author", lambda a: strip(a["name"])), lambda a: a != ""), F.lit(0)), first_text(F.transform("e.author", lambda a: a["_VALUE"])), first_text(F.col("e.creator")))
-    images = F.concat(
-        image_candidates(F.col("e.img"), "_src"), *(image_candidates(F.col(f"e.{n}"), "_url", "_href") for n in ("thumbnail", "content", "enclosure", "image")),
-        html_images(first_text(F.col("e.encoded"))), html_images(first_text(content)), html_images(first_text(F.col("e.description"))), html_images(first_text(F.col("e.summary"))),
-    )
-    out = nodes.select(
-        "feed_id", "entry_pos", first_text(F.col("e.title")).alias("title"), entry_url(F.col("e.link")).alias("url"), first_text(F.col("e.summary")).alias("s1"), first_text(F.col("e.description")).alias("s2"),
-        F.coalesce(first_text(F.col("e.encoded")), first_text(content)).alias("s3"), author.alias("a"), first_date(*(first_text(F.col(f"e.{d}")) for d in _DATES)).alias("published_at"), best_image(images).alias("image_url"),
+    nodes = node_table(responses)
+    # what is said of the feed: the root, what is right below it, and right below its first channel
+    said = nodes.filter("error is not null or entry = -1").groupBy("feed_id").agg(
+        F.max("error").alias("error"), F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("pre", "parent", "tag", "text")))).alias("n"),
     )
-    out = out.filter(F.col("title").isNotNull() & F.col("url").isNotNull())
-    return out.select("feed_id", "entry_pos", "title", "url", F.coalesce("s1", "s2", strip_html(F.col("s3"))).alias("summary"), strip_html(F.col("a")).alias("author"), "published_at", "image_url")
+    root = F.filter("n", lambda x: x["pre"] == 0)[0]["tag"]
+    channel = F.get(F.filter("n", lambda x: (x["parent"] == 0) & (x["tag"] == "channel")), F.lit(0))["pre"]
+    below = lambda place, name: first_text(F.transform(F.filter("n", lambda x: (x["parent"] == place) & (x["tag"] == name)), lambda x: x["text"]))
+    of_channel = F.when(F.col("root") == "rss", first_date(*(below(F.col("channel"), d) for d in ("lastbuilddate", "pubdate", "updated"))))
+    modified = F.coalesce(of_channel, first_date(*(below(F.lit(0), d) for d in ("updated", "lastbuilddate", "pubdate"))))
+    heads = said.withColumn("root", F.when(F.col("error").isNull(), root)).withColumn("channel", F.when(F.col("error").isNull(), channel))
+    feeds = heads.select("feed_id", F.when(F.col("error").isNull(), modified).alias("last_modified"), "error")
+    around = nodes.filter("entry >= 0").groupBy("feed_id", "entry").agg(F.array_sort(F.collect_list(F.struct("pre", "parent", "tag", "text", "attributes", "depth"))).alias("n"))
+    own = lambda e: F.filter("n", lambda x: x["pre"] == e)[0]
+    at = around.withColumn("own", own(F.col("entry"))).join(heads.select("feed_id", "root", "channel"), "feed_id")
+    of_rss = (F.col("own.tag") == "item") & (F.col("own.parent") == F.col("channel"))
+    of_atom = (F.col("own.tag") == "entry") & (F.col("own.parent") == 0)
+    counted = at.filter(F.coalesce(F.when(F.col("root") == "rss", of_rss).when(F.col("root") == "feed", of_atom).otherwise(True), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("feed_id").orderBy("entry")) - 1  # of one body
+    return entries(counted.select("feed_id", place.alias("entry_pos"), "entry", "n")), feeds
+
+
+def entries(found: DataFrame) -> DataFrame:
+    """found(feed_id, entry_pos, entry, n: nodes in order) as entries."""
+    children = lambda *names: F.filter("n", lambda x: (x["parent"] == F.col("entry")) & x["tag"].isin(*names))
+    texts = lambda *names: F.transform(children(*names), lambda x: x["text"])
+    first = lambda *names: first_text(texts(*names))
+    author = F.get(children("author"), F.lit(0))
+    named = first_text(F.transform(F.filter("n", lambda x: (x["parent"] == author["pre"]) & (x["tag"] == "name")), lambda x: x["text"]))
+    nodes = F.filter("n", lambda x: (x["pre"] != F.col("entry")) & x["tag"].isin("img", "thumbnail", "content", "enclosure", "image"))
+    images = F.concat(image_candidates(nodes), *(html_images(first(name)) for name in ("encoded", "content", "description", "summary")))
+    out = found.select(
+        "feed_id", "entry_pos", first("title").alias("title"), entry_url(children("link")).alias("url"), first("summary", "description").alias("s1"), first("encoded").alias("s2"), first("content").alias("s3"),
+        named.alias("a1"), author["text"].alias("a2"), first("creator").alias("a3"), first("author").alias("a4"), first_date(*(first(d) for d in _DATES)).alias("published_at"), best_image(images).alias("image_url"),
+    ).filter("title is not null and url is not null")
+    some = lambda c: F.nullif(strip_html(F.col(c)), F.lit(""))
+    return out.select("feed_id", "entry_pos", "title", "url", F.coalesce("s1", some("s2"), some("s3")).alias("summary"), F.coalesce(*(some(c) for c in ("a1", "a2", "a3", "a4"))).alias("author"), "published_at", "image_url")
 
 
 def normalize(raw: DataFrame, floor: str = "2026-01-01 00:00:00", run: list[str] | None = None) -> DataFrame:

@@ -633,3 +633,32 @@ def q_feed_validation(spark, d):
     body = F.when(r == 0, F.concat(F.lit("<rss><channel><title>"), inner, F.lit("</title></channel></rss>"))).when(r == 1, F.concat(F.lit("<rss><channel>"), inner)).when(r == 2, F.concat(F.lit("plain "), F.col("text"))).otherwise(F.concat(F.lit("<?xml version='1.0'?><html>"), inner, F.lit("</html>")))
     v = parse.validate(body, F.lit("text/html"))
     return doc.select("doc_id", v.alias("v")).select("doc_id", F.when(F.col("v.valid"), "true").otherwise(F.col("v.reason")).alias("outcome"))
+
+
+def _mixed_bodies(spark, d):
+    """Bodies of up to 20 documents each as RSS, Atom and RDF in turn: markup in titles, description and summary in both orders,
+    images of several kinds, and in RDF an item inside every fifth."""
+    doc = tables(spark, d, "documents")[0].filter("doc_id is not null and text is not null")
+    i, kind = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 20) % 3
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    tag = F.when(kind == 1, "entry").otherwise("item")
+    link = F.when(kind == 1, put('<link rel="self" href="https://self/', i, '"/><link href="https://d/', i, '"/>')).otherwise(put("<link>https://d/", i, "</link>"))
+    long, short = put("<description>", _escaped(F.col("text")), "</description>"), put("<summary>short ", i, "</summary>")
+    told = F.when(F.col("doc_id") % 2 == 0, put(long, short)).otherwise(put(short, long))
+    enclosure, thumbnail = put('<enclosure url="https://e/', i, '"/>'), put('<m:thumbnail url="https://t/', i, '"/>')
+    sized = put('<div><img src="https://i/', i, '" srcset="https://s/', i, " 100w, https://l/", i, ' 300w"/></div>')
+    images = F.when(F.col("doc_id") % 3 == 0, put(enclosure, thumbnail)).when(F.col("doc_id") % 3 == 1, put(thumbnail, enclosure)).otherwise(sized)
+    inner = F.when((kind == 2) & (F.col("doc_id") % 5 == 0), put("<item><title>inner ", i, "</title><link>https://in/", i, "</link></item>")).otherwise("")
+    item = put("<", tag, "><title>T <b>", i, "</b> end</title>", link, told, images, inner, "</", tag, ">")
+    all_items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), "")
+    head, foot = (F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("feed_id") % 3 + 1).cast("int")) for xs in (("<rss xmlns:m='urn:m'><channel>", "<feed xmlns='http://www.w3.org/2005/Atom' xmlns:m='urn:m'>", "<r:RDF xmlns:r='urn:r' xmlns:m='urn:m'>"), ("</channel></rss>", "</feed>", "</r:RDF>")))
+    return doc.groupBy(F.floor(F.col("doc_id") / 20).cast("long").alias("feed_id")).agg(all_items.alias("all")).select("feed_id", F.concat(head, "all", foot).alias("body"))
+
+
+@query(r"""select feed_id, cast(row_number() over (partition by feed_id order by doc_id, place)-1 as int) as entry_pos, title, url, summary, image_url from (
+    select doc_id//20 as feed_id, doc_id, 0 as place, concat('T ',doc_id,' end') as title, concat('https://d/',doc_id) as url,
+      case when doc_id%2=0 then coalesce(nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'),''), concat('short ',doc_id)) else concat('short ',doc_id) end as summary,
+      concat(case doc_id%3 when 0 then 'https://e/' when 1 then 'https://t/' else 'https://l/' end, doc_id) as image_url from documents where text is not null
+    union all select doc_id//20, doc_id, 1, concat('inner ',doc_id), concat('https://in/',doc_id), null, null from documents where text is not null and doc_id//20%3=2 and doc_id%5=0) x""")
+def q_parse_mixed_feeds(spark, d):
+    return parse.parse_bodies(_mixed_bodies(spark, d))[0].select("feed_id", "entry_pos", "title", "url", "summary", "image_url")
