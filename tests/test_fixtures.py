@@ -234,3 +234,37 @@ def test_failed_publish_marks_jobs(spark):
     status = lambda df: {r.job_id: r.status for r in df.collect()}
     assert status(planning.publish(jobs, batches, broken)) == {"a": "failed", "b": "completed"}
     assert status(planning.publish(jobs, batches, lambda m: m.collect())) == {"a": "queued", "b": "completed"}
+
+
+def test_rules_of_requests(spark):
+    """What the model accepts and refuses: defaults, missing and null fields, kinds of values, times with and without zone."""
+    from tidemill.sources.messages import split_requests, split_results
+
+    feed = {"feed_id": 3, "feed_url": "https://f"}
+    whole = {"job_id": "j", "requested_at": "2026-03-01T02:00:00+02:00", "ingest": True, "requested_by": "me", "feeds": [feed]}
+    less = lambda name: {k: v for k, v in whole.items() if k != name}
+    cases = [
+        (whole, []), (whole | {"feeds": []}, []), (less("feeds"), []), (whole | {"feeds": None}, ["feeds"]), (whole | {"feeds": {}}, ["feeds"]), (whole | {"feeds": [1]}, ["feeds.item"]),
+        (less("requested_by"), ["requested_by"]), (less("ingest"), ["ingest"]), (less("requested_at"), ["requested_at"]), (whole | {"requested_at": "soon"}, ["requested_at"]), (whole | {"requested_at": 1772323200}, []),
+        (whole | {"feeds": [feed | {"company_id": 0}]}, ["feeds.company_id"]), (whole | {"feeds": [feed | {"company_id": None, "host_header": None, "etag": None, "last_update": None}]}, []), (whole | {"feeds": [feed | {"fetchprotection": None}]}, ["feeds.fetchprotection"]),
+        (whole | {"feeds": [feed, feed | {"feed_id": "4"}]}, []), (whole | {"feeds": [feed | {"feed_id": 4.5}]}, ["feeds.feed_id"]), (whole | {"feeds": [feed | {"feed_url": 5}]}, ["feeds.feed_url"]), (whole | {"ingest": "yes", "other": [1]}, []),
+        ([whole], ["json"]), (None, ["json"]), (whole | {"requested_at": "2026-03-01"}, []), (whole | {"job_id": "j" * 37}, ["job_id"]), (whole | {"feeds": [feed | {"etag": "e" * 256, "last_update": "x"}]}, ["feeds.etag", "feeds.last_update"]),
+    ]
+    for k, (c, want) in enumerate(cases):
+        if isinstance(c, dict) and not want:
+            c["job_id"] = f"k{k}"
+            cases[k] = (dict(c), want)
+    df = spark.createDataFrame([(None if c is None else json.dumps(c),) for c, _ in cases], "payload string")
+    valid, refused = split_requests(df)
+    told = {r.payload: r.violations for r in refused.collect()}
+    assert told == {None if c is None else json.dumps(c): v for c, v in cases if v}
+    rows = {(r.job_id, r.feed_id): r for r in valid.collect()}
+    assert len(rows) == sum(len(c.get("feeds", [])) for c, v in cases if not v)
+    assert {str(r.requested_at) for r in rows.values()} == {"2026-03-01 00:00:00"} and {r.fetchprotection for r in rows.values()} == {1} and {r.ingest for r in rows.values()} == {True}
+    done = {"job_id": "j", "ingest": False, "feed_id": 1, "feed_url": "u", "status": "success", "fetchprotection": 1, "sources": [{"title": "t", "url": "u"}]}
+    entries = [[{"title": "", "url": "u"}], [{"title": "t"}], [{"title": "t", "url": "u" * 2000}], [{"title": "t", "url": "u", "published_at": "x"}], "none", [{"title": "t", "url": "u", "author": 5}]]
+    results = [done, {k: v for k, v in done.items() if k != "fetchprotection"}, *(done | {"sources": e} for e in entries)]
+    df = spark.createDataFrame([(json.dumps(r), k, "s") for k, r in enumerate(results)], "payload string, seq long, stream_name string")
+    valid, refused = split_results(df)
+    assert [r.seq for r in valid.collect()] == [0]
+    assert {r.seq: r.violations for r in refused.collect()} == {1: ["fetchprotection"], 2: ["sources.title"], 3: ["sources.url"], 4: ["sources.url"], 5: ["sources.published_at"], 6: ["sources"], 7: ["sources.author"]}

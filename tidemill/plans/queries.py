@@ -14,6 +14,7 @@ from tidemill.operators.upsert import shared_dir
 from tidemill.plans.testbed import oracle, tables
 from tidemill.schemas import result_rules, violations
 from tidemill.sources.catalog import manifest_diff
+from tidemill.sources import messages
 from tidemill.sources.messages import payload
 from tidemill.streaming import flows
 
@@ -662,3 +663,45 @@ def _mixed_bodies(spark, d):
     union all select doc_id//20, doc_id, 1, concat('inner ',doc_id), concat('https://in/',doc_id), null, null from documents where text is not null and doc_id//20%3=2 and doc_id%5=0) x""")
 def q_parse_mixed_feeds(spark, d):
     return parse.parse_bodies(_mixed_bodies(spark, d))[0].select("feed_id", "entry_pos", "title", "url", "summary", "image_url")
+
+
+#: Requests and results from events: fields by rules of the event's number, some of which break a rule somewhere.
+_REQUESTS = """select event_id as seq, event_id%50=7 as cut, concat('{"job_id":', case when event_id%11=0 then '5' else concat('"j', event_id, '"') end, ',"requested_at":"2026-03-01T0', event_id%10, ':00:00', case when event_id%3=0 then 'Z' when event_id%3=1 then '+02:00' else '' end, '"',
+    case when event_id%13=0 then '' else concat(',"ingest":', case when event_id%2=0 then 'true' else '"no"' end) end, ',"requested_by":"', case when event_id%17=0 then '' else 'me' end, '"',
+    case when event_id%7=0 then '' when event_id%7=1 then ',"feeds":[]' else concat(',"feeds":[{"feed_id":', event_id%19, ',"feed_url":"https://f"', case when event_id%5=0 then '' when event_id%5=1 then ',"fetchprotection":null' else concat(',"fetchprotection":', event_id%4) end,
+      '},{"feed_id":"', event_id, '","feed_url":"', repeat('u', cast(case when event_id%23=0 then 501 else 3 end as int)), '","company_id":', case when event_id%29=0 then '0' else 'null' end, '}]') end, '}') as payload from events"""
+_RESULTS = """select event_id as seq, event_id%50=7 as cut, concat('{"job_id":"j","ingest":', case when event_id%11=0 then 'null' else '1' end, ',"feed_id":', event_id%19, ',"feed_url":"https://f","status":"', case when event_id%13=0 then 'done' else 'success' end, '"',
+    case when event_id%7=0 then '' else concat(',"fetchprotection":', event_id%4) end, ',"sources":[{"title":"', case when event_id%5=0 then '' else 't' end, '","url":"', repeat('u', cast(case when event_id%17=0 then 1001 else 9 end as int)), '"}',
+    case when event_id%3=0 then ',{"title":"second"}' when event_id%3=1 then ',{"title":"second","url":"x","published_at":"soon"}' else ',{"title":"second","url":"x","published_at":"2026-03-01","author":null}' end, ']}') as payload from events"""
+
+
+def _payloads(spark, d, sql):
+    tables(spark, d, "events")[0].createOrReplaceTempView("_tb_events")
+    m = spark.sql(sql.replace("from events", "from _tb_events"))
+    return m.withColumn("payload", F.when(F.col("cut"), F.expr("substring(payload, 1, length(payload) - 1)")).otherwise(F.col("payload"))).withColumn("stream_name", F.lit("s"))
+
+
+@query("""select event_id as seq, case when event_id%50=7 then 'json' else concat_ws(',', case when event_id%7>1 and event_id%29=0 then 'feeds.company_id' end, case when event_id%7>1 and event_id%19=0 then 'feeds.feed_id' end,
+      case when event_id%7>1 and event_id%23=0 then 'feeds.feed_url' end, case when event_id%7>1 and (event_id%5=1 or event_id%5>1 and event_id%4=3) then 'feeds.fetchprotection' end,
+      case when event_id%13=0 then 'ingest' end, case when event_id%11=0 then 'job_id' end, case when event_id%17=0 then 'requested_by' end) end as violations,
+    cast(0 as bigint) as feeds, cast(null as bigint) as levels, cast(null as timestamp) as requested_at from events
+    where event_id%50=7 or event_id%13=0 or event_id%11=0 or event_id%17=0 or event_id%7>1 and (event_id%29=0 or event_id%19=0 or event_id%23=0 or event_id%5=1 or event_id%5>1 and event_id%4=3)
+    union all select event_id, '', cast(2 as bigint), cast(1 + case when event_id%5=0 then 1 else event_id%4 end as bigint), timestamp '2026-03-01 00:00:00' + (event_id%10) * interval '1' hour - (case when event_id%3=1 then 2 else 0 end) * interval '1' hour from events
+    where event_id%50<>7 and event_id%13<>0 and event_id%11<>0 and event_id%17<>0 and event_id%7>1 and event_id%29<>0 and event_id%19<>0 and event_id%23<>0 and event_id%5<>1 and not (event_id%5>1 and event_id%4=3)""")
+def q_request_rules(spark, d):
+    """Requests that are refused, with their violations, and those with feeds, with the number of feeds and the sum of their levels."""
+    m = _payloads(spark, d, _REQUESTS)
+    valid, refused = messages.split_requests(m)
+    bad = refused.join(m.select("payload", "seq"), "payload").select("seq", joined("violations").alias("violations"), F.lit(0).cast("long").alias("feeds"), F.lit(None).cast("long").alias("levels"), F.lit(None).cast("timestamp_ntz").alias("requested_at"))
+    good = valid.groupBy(F.substring("job_id", 2, 20).cast("long").alias("seq")).agg(F.count("*").alias("feeds"), F.sum("fetchprotection").alias("levels"), F.max("requested_at").alias("requested_at"))
+    return bad.unionByName(good.select("seq", F.lit("").alias("violations"), "feeds", "levels", "requested_at"))
+
+
+@query("""select event_id as seq, case when event_id%50=7 then 'json' else concat_ws(',', case when event_id%19=0 then 'feed_id' end, case when event_id%7=0 or event_id%4=3 then 'fetchprotection' end, case when event_id%11=0 then 'ingest' end,
+      case when event_id%3=1 then 'sources.published_at' end, case when event_id%5=0 then 'sources.title' end, case when event_id%17=0 or event_id%3=0 then 'sources.url' end, case when event_id%13=0 then 'status' end) end as violations,
+    case when event_id%50=7 or event_id%19=0 or event_id%7=0 or event_id%4=3 or event_id%11=0 or event_id%3<>2 or event_id%5=0 or event_id%17=0 or event_id%13=0 then null else timestamp '2026-03-01 00:00:00' end as second_date from events""")
+def q_result_rules(spark, d):
+    """Results with the rules that they break, down to their entries; of valid ones the date of the second entry."""
+    valid, refused = messages.split_results(_payloads(spark, d, _RESULTS))
+    good = valid.select("seq", F.lit("").alias("violations"), F.col("sources")[1]["published_at"].alias("second_date"))
+    return good.unionByName(refused.select("seq", joined("violations").alias("violations"), F.lit(None).cast("timestamp_ntz").alias("second_date")))
