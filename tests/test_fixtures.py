@@ -268,3 +268,22 @@ def test_rules_of_requests(spark):
     valid, refused = split_results(df)
     assert [r.seq for r in valid.collect()] == [0]
     assert {r.seq: r.violations for r in refused.collect()} == {1: ["fetchprotection"], 2: ["sources.title"], 3: ["sources.url"], 4: ["sources.url"], 5: ["sources.published_at"], 6: ["sources"], 7: ["sources.author"]}
+
+
+def test_pacing_over_batches(spark):
+    """Against a limiter that is asked in a loop, over three batches; a company's parts are smaller than its requests."""
+    from collections import defaultdict, deque
+
+    base, state, sent = ts(2026, 3, 1), spark.createDataFrame([], planning.FREE), defaultdict(deque)
+    for batch in range(3):
+        rows = [(None if k % 9 == 0 else 1 + (k % 5 == 1), 100 * batch + k, base + dt.timedelta(seconds=3 * batch, milliseconds=130 * (k * k % 11))) for k in range(60 if batch else 3)]
+        want = {}
+        for company, feed, at in sorted(rows, key=lambda r: (r[2], r[1])):
+            last = sent[company or f"feed {feed}"]
+            want[feed] = max(at, last[0] + dt.timedelta(seconds=1)) if len(last) == 4 else at
+            last.append(want[feed])
+            if len(last) > 4:
+                last.popleft()
+        got, state = planning.send_times(spark.createDataFrame(rows, "company_id long, feed_id long, arrived timestamp_ntz"), state, part=7)
+        assert {r.feed_id: r.sent_at for r in got.collect()} == want
+    assert {r.company_key: len(r.free) for r in state.collect() if r.company_key.startswith("company")} == {"company:1": 4, "company:2": 4}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import http_date
 from tidemill.functions.text import clean, company_key, effective_protection, host
 from tidemill.operators.reads import with_ids
+from tidemill.operators.upsert import keep
 from tidemill.operators.upsert import with_ids as numbered_by_range
 from tidemill.schemas import JOB
 
@@ -84,6 +85,42 @@ def send_slots(planned: DataFrame, per_second: int = 4) -> DataFrame:
     return ranked.join(first, ["job_id", "_key"]).select(*[ranked[c] for c in planned.columns], slot)
 
 
+FREE = "company_key string, free array<long>"
+
+
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+
+
+def send_times(requests: DataFrame, state: DataFrame, per_second: int = 4, part: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """requests(company_id, feed_id, arrived) of one batch with sent_at, and the state after it. Of a company at most
+    per_second requests are sent in any second, in the order of (arrived, feed_id): each waits for the one per_second places before it
+    and a second more. state (FREE): when each of a company's places is free again, in microseconds; companies it does not know
+    are free. A batch arrives after the one before.
+
+    A place is a chain of every per_second-th request, along which sent = max(arrived, sent before + 1): the largest so far of
+    (arrived - steps), plus the steps. These maxima are taken within parts of `part` ranks and then over the parts, so a company of any size is spread."""
+    second = 1_000_000
+    keyed = requests.withColumn("company_key", company_key(F.col("company_id"), F.col("feed_id"))).withColumn("_at", _micros(F.col("arrived")))
+    ranked = numbered_by_range(keyed, ["company_key", "_at", "feed_id"], _zero(requests), "_rank")
+    first = ranked.groupBy("company_key").agg(F.min("_rank").alias("_first"))
+    nth = F.col("_rank") - F.col("_first")
+    placed = ranked.join(first, "company_key").withColumn("_chain", (nth % per_second).cast("int")).withColumn("_step", F.floor(nth / per_second) * second).withColumn("_part", F.floor(F.col("_rank") / part))
+    placed = placed.withColumn("_value", F.col("_at") - F.col("_step"))
+    keys = ["company_key", "_chain"]
+    of_part = placed.groupBy(*keys, "_part").agg(F.max("_value").alias("_m"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    before = of_part.withColumn("_before", F.max("_m").over(earlier)).drop("_m")
+    free = state.select("company_key", F.posexplode(F.array_sort("free")).alias("_chain", "_free"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_rank")
+    out = placed.join(before, [*keys, "_part"]).join(free, keys, "left")
+    out = keep(out.withColumn("_sent", F.greatest(F.max("_value").over(within), "_before", "_free") + F.col("_step")), "sent")
+    last = out.groupBy(*keys).agg((F.max("_sent") + second).alias("_next"))
+    after = free.join(last, keys, "full_outer").groupBy("company_key").agg(F.array_sort(F.collect_list(F.coalesce("_next", "_free"))).alias("free"))  # per_second values
+    sent_at = F.timestamp_add("MICROSECOND", F.col("_sent"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("sent_at")
+    return out.select(*requests.columns, sent_at), after
+
+
 def plan_jobs(planned: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests(job_id, ingest, requested_by, requested_at) and their planned feeds: rows of jobs and of job feeds."""
     feeds = planned.select("job_id", "feed_id", "feed_url", "last_db_article_published_at")

@@ -452,6 +452,25 @@ def q_send_slots(spark, d):
     return planning.send_slots(feed).select("job_id", "feed_id", "send_slot")
 
 
+_ARRIVALS = """select id as feed_id, case when id%4=0 then company_id else id%3+1 end as company_id, cast(id%3 as int) as batch, (id%3)*2000000 + (id%7)*150000 as us from feed"""
+
+
+@query(f"""select feed_id, batch, timestamp '2026-03-01 00:00:00' + cast(max(us - step*1000000) over (partition by k, chain order by nth) + step*1000000 as bigint) * interval '1' microsecond as sent_at from (
+    select *, nth%4 as chain, nth//4 as step from (select *, row_number() over (partition by k order by batch, us, feed_id) - 1 as nth from
+      (select *, case when company_id>0 then concat('company:',company_id) else concat('feed:',feed_id) end as k from ({_ARRIVALS}) a) b) c) d""")
+def q_send_times(spark, d):
+    """When requests of three batches are sent, four a second for each company; what is not free yet is carried on."""
+    feed = tables(spark, d, "feed")[0]
+    company = F.when(F.col("id") % 4 == 0, F.col("company_id")).otherwise(F.col("id") % 3 + 1)
+    us = (F.col("id") % 3) * 2_000_000 + (F.col("id") % 7) * 150_000
+    asked = feed.select(F.col("id").alias("feed_id"), company.alias("company_id"), (F.col("id") % 3).cast("int").alias("batch"), F.timestamp_add("MICROSECOND", us, F.lit("2026-03-01").cast("timestamp_ntz")).alias("arrived"))
+    state, out = spark.createDataFrame([], planning.FREE), []
+    for batch in range(3):
+        sent, state = planning.send_times(asked.filter(F.col("batch") == batch), state)
+        out.append(sent.select("feed_id", "batch", "sent_at"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("""select job_id, cast(case when feeds is null then 0 else feeds end as int) as feed_count, case when feeds is null then 'completed' else 'queued' end as status from (select concat('j',n_nationkey) as job_id, n_nationkey as k from nation) j
     left join (select id%20 as k, count(*) as feeds from feed where enabled group by 1) f on f.k=j.k""")
 def q_job_plan(spark, d):
