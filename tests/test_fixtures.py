@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill import schemas
 from tidemill.functions import dates, text
-from tidemill.operators import catalog, parse, partitions, planning, reads, results
+from tidemill.operators import catalog, parse, partitions, planning, rank_index, reads, results
 from tidemill.operators.upsert import upsert, with_ids
 from tidemill.sources import catalog as files
 
@@ -287,3 +287,18 @@ def test_pacing_over_batches(spark):
         got, state = planning.send_times(spark.createDataFrame(rows, "company_id long, feed_id long, arrived timestamp_ntz"), state, part=7)
         assert {r.feed_id: r.sent_at for r in got.collect()} == want
     assert {r.company_key: len(r.free) for r in state.collect() if r.company_key.startswith("company")} == {"company:1": 4, "company:2": 4}
+
+
+def test_deep_page_opens_one_part(spark, tmp_path):
+    """Page 2,000 of 120,000 rows, with rows added later, against the sort; files of one part are read."""
+    folder = str(tmp_path / "index")
+    dates = spark.range(120_000).select(F.col("id").alias("source_id"), F.when(F.col("id") % 50 != 0, F.timestamp_add("HOUR", (F.col("id") * 7919 % 9973).cast("int"), F.lit("2026-01-01").cast("timestamp_ntz"))).alias("latest"))
+    late = (F.col("source_id") % 11 == 0) | (F.col("source_id") > 119_990)
+    rank_index.build(dates.filter(~late), folder, parts=64)
+    rank_index.add(dates.filter(late), folder)
+    assert rank_index.total(spark, folder) == 120_000
+    for limit, offset in ((50, 100_000), (100, 0), (7, 119_996), (50, 120_000)):
+        got = rank_index.page(spark, folder, limit, offset)
+        want = dates.orderBy(F.desc_nulls_last("latest"), F.desc("source_id")).offset(offset).limit(limit)
+        assert [(r.source_id, r.latest, r.place) for r in got.orderBy("place").collect()] == [(r.source_id, r.latest, offset + k) for k, r in enumerate(want.collect())]
+        assert len({f.split("_part=")[1].split("/")[0] for f in got.inputFiles()}) <= 1

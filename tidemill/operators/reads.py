@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import company_names, effective_protection, feed_label, trust_percent
+from tidemill.operators.upsert import keep
 from tidemill.schemas import STATUSES, epoch
 
 SHORT_LIST = 1000
@@ -110,7 +111,12 @@ def article_page(articles: DataFrame, links: DataFrame, feeds: DataFrame, compan
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit is 1 to 100, offset 0 or more")
     dates = latest_dates(articles, links, feeds, feed_id, company_id)
-    page = dates.orderBy(F.desc_nulls_last("latest"), F.desc("source_id")).offset(offset).limit(limit)
+    # at most 100 rows, which three joins use
+    return page_details(keep(dates.orderBy(F.desc_nulls_last("latest"), F.desc("source_id")).offset(offset).limit(limit), "page"), articles, links, feeds, companies)
+
+
+def page_details(page: DataFrame, articles: DataFrame, links: DataFrame, feeds: DataFrame, companies: DataFrame) -> DataFrame:
+    """The articles of a page (source_id, latest), in its order."""
     out = details(page, articles, links, feeds, companies).drop("feed_sections")
     return out.join(F.broadcast(page.select(F.col("source_id").alias("id"), "latest")), "id").orderBy(F.desc_nulls_last("latest"), F.desc("id")).drop("latest")
 
@@ -169,10 +175,9 @@ def company_options(feeds: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def error_digest(results: DataFrame, most: int = 3) -> DataFrame:
-    """Per job with errors: how many, and the first messages by feed (bounded by a top-n aggregate per job)."""
+    """Per job with errors: how many, and the first messages by feed. The window's limit is applied before rows are
+    shuffled, so a job sends `most` rows a task at most."""
     errors = results.filter("status = 'error'")
-
-
     n = F.row_number().over(Window.partitionBy("job_id").orderBy("feed_id"))
     first = errors.withColumn("n", n).filter(F.col("n") <= most).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("feed_id", "error_message"))).alias("e"))
     return errors.groupBy("job_id").agg(F.count("*").alias("errors")).join(first.select("job_id", F.transform("e", lambda x: x["error_message"]).alias("messages")), "job_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, text
-from tidemill.operators import catalog, delta, parse, partitions, planning, reads, results
+from tidemill.operators import catalog, delta, parse, partitions, planning, rank_index, reads, results
 from tidemill.operators.upsert import shared_dir
 from tidemill.plans.testbed import oracle, tables
 from tidemill.schemas import result_rules, violations
@@ -141,6 +141,17 @@ def q_articles_page(spark, d):
     return _page(spark, d)
 
 
+@query(_page_sql("", 50, 700))
+def q_articles_page_deep(spark, d):
+    """A page far behind, by the index of places, of which a third is added after the rest."""
+    article, link, feed, company = tables(spark, d, "article", "link", "feed", "company")
+    dates, folder = reads.latest_dates(article, link, feed), f"{shared_dir(spark)}/tidemill/ranks-{uuid.uuid4().hex}"
+    rank_index.build(dates.filter("source_id % 3 <> 0"), folder, parts=32)
+    rank_index.add(dates.filter("source_id % 3 = 0"), folder)
+    out = reads.page_details(rank_index.page(spark, folder, 50, 700), article, link, feed, company)
+    return out.select("id", "title", "url", "published_at", "image_url", joined("company_names").alias("company_names"))
+
+
 @query(_page_sql("where f.id=17", 100, 3))
 def q_articles_by_feed(spark, d):
     return _page(spark, d, feed_id=17, limit=100, offset=3)
