@@ -62,3 +62,11 @@ def test_groups_are_bounded_by_the_chunk():
     for b in _deal(space, chunks)([batch]):
         sizes.update(zip(*(b.column(c).to_pylist() for c in b.schema.names if c not in ("home", "node", "copies", "v")), strict=True))
     assert max(sizes.values()) < 3 * chunk
+
+
+def test_any_magnitude(spark):
+    """Finite vectors of cosine 1 link, whatever over- or underflows in their squares."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [1.0, 0.0]), (6, [1.7e308, 1.0]), (7, [5e-324, 0.0]), (8, [0.0, 3e307]), (9, [3e-320, 1e-320])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (7, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9)}, 8: (0, 8)}
+    assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []

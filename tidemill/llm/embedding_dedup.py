@@ -14,8 +14,9 @@ of 0.9 no exact partition of such vectors is selective, so the pairs compared st
 of distinct vectors; slabs and budgets only lower the factor. The rows shuffled grow with that square / `chunk`.
 
 Vectors that are null, zero or have null or non-finite components, and vectors of different lengths, link with
-nothing. Rows with equal vec_id are one node. A null vec_id gets no links and a null component. Extra columns are
-ignored.
+nothing. Vectors of any finite magnitude link: each is first scaled by the power of two that brings its largest component near
+one (which is exact; components 1e290 times smaller than it count as zero), so no square over- or underflows. Rows with equal vec_id are one node. A null vec_id gets no links and a
+null component. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,8 +174,10 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, slabs
     """Per row: vec_id, n_links (other vectors linked directly), component_id, kept."""
     ship(vectors.sparkSession)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    largest = F.array_max(F.transform("v", F.abs))
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double")))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = store(v.select("vec_id", F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0))).alias("v")), "vectors")
+    rows = store(v.select("vec_id", F.when(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull(), F.transform("v", lambda x: x * F.pow(F.lit(2.0), power) + F.lit(0.0))).alias("v")), "vectors")
     keyed = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.to_binary(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), F.lit("utf-8"))))))
     texts = keyed.filter("v is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = store(texts.select("key", "node", "copies", "v", F.size("v").alias("length")), "nodes")
