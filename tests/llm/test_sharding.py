@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemill.llm.sharding import grown, op4, read_map, rebalanced, shard
+from tidemill.llm.sharding import grown, next_map, op4, read_map, rebalanced, shard, shard_count
 
 
 def test_query(spark, small):
@@ -77,3 +77,14 @@ def test_one_id_on_most_rows_and_equal_rows(spark):
     for s in range(3):
         own = sorted(r.slot for r in out if r.shard == s)
         assert own == list(range(len(own)))
+
+
+def test_empty_growth_is_kept(spark, tmp_path):
+    """A shard that was added while there were no bytes is there in the next version."""
+    path, none = str(tmp_path / "map"), np.zeros(16, np.int64)
+    next_map(spark, path, none, 8)
+    version, _ = next_map(spark, path, none, 9)
+    assert shard_count(spark, path, version) == 9
+    with pytest.raises(ValueError):
+        next_map(spark, path, none, 8)
+    assert set(next_map(spark, path, np.arange(16) + 5, 9)[1]) == set(range(9))

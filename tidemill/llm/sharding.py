@@ -1,7 +1,7 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 A record's slot is a hash of its doc_id (of its text where that is null) modulo `slots`, and never changes. Only the
-map from slots to shards does. Version 0 deals slots out in turn; rebalancing reads the bytes per slot and writes the
+map from slots to shards does. Version 0 deals slots out in even ranges; rebalancing reads the bytes per slot and writes the
 next version, moving slots from shards over the mean to shards under it, as few bytes as it takes, until no move and
 no swap brings the largest and smallest shard closer. Growing by a shard moves slots only into the new one.
 
@@ -102,9 +102,10 @@ def grown(shards_of: np.ndarray, weights: np.ndarray, shards: int) -> np.ndarray
     return to
 
 
-def write_map(spark: SparkSession, path: str, version: int, shards_of: np.ndarray) -> None:
-    """Store one version (an error if it is there)."""
-    rows = spark.createDataFrame([(s, int(x)) for s, x in enumerate(shards_of)], "virtual_slot int, shard int")
+def write_map(spark: SparkSession, path: str, version: int, shards_of: np.ndarray, shards: int | None = None) -> None:
+    """Store one version (an error if it is there), with the number of shards, some of which may hold no slot."""
+    shards = shards or int(shards_of.max()) + 1
+    rows = spark.createDataFrame([(s, int(x), shards) for s, x in enumerate(shards_of)], "virtual_slot int, shard int, shards int")
     rows.coalesce(1).write.parquet(f"{path}/version={version}")
 
 
@@ -124,23 +125,29 @@ def latest_map(spark: SparkSession, path: str) -> tuple[int, np.ndarray] | None:
     return version, np.array([r.shard for r in rows], np.int64)
 
 
+def shard_count(spark: SparkSession, path: str, version: int) -> int:
+    """The number of shards of a version."""
+    rows = spark.read.schema("version int, shard int, shards int").parquet(path).filter(F.col("version") == version)
+    return rows.agg(F.coalesce(F.max("shards"), F.max("shard") + 1).alias("n")).first().n
+
+
 def next_map(spark: SparkSession, path: str, weights: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
     """The map at path edited for the bytes per slot and the number of shards; what it gives is stored as well."""
     slots = len(weights)
     found = latest_map(spark, path)
     if found is None:
         found = 0, np.arange(slots) * shards // slots
-        write_map(spark, path, *found)
+        write_map(spark, path, *found, shards)
     version, now = found
-    have = int(now.max()) + 1
+    have = shard_count(spark, path, version)
     if len(now) != slots or have > shards:
         raise ValueError(f"the map has {len(now)} slots on {have} shards")
     to = rebalanced(now, weights, shards) if have == shards else now
     for more in range(have, shards):
         to = grown(to, weights, more)
-    if version and (to == now).all():
+    if version and have == shards and (to == now).all():
         return version, now
-    write_map(spark, path, version + 1, to)
+    write_map(spark, path, version + 1, to, shards)
     return version + 1, to
 
 
