@@ -76,17 +76,17 @@ def test_planning_order_and_batches(spark):
 
 
 def test_request_headers(spark):
-    df = spark.createDataFrame([(2, "Example.COM", '"abc"', ts(2026, 2, 26, 12)), (1, "Example.COM", None, None)], "level int, host string, etag string, last_update timestamp_ntz")
+    df = spark.createDataFrame([(2, "Quay.Papers.TEST", 'W/"q7"', ts(2026, 4, 5, 6, 7, 8)), (1, "Quay.Papers.TEST", None, None)], "level int, host string, etag string, last_update timestamp_ntz")
     strong, weak = [r.h for r in df.select(planning.request_headers(*(F.col(c) for c in df.columns)).alias("h")).collect()]
-    assert weak is None and {"Host": "example.com", "If-None-Match": '"abc"', "If-Modified-Since": "Thu, 26 Feb 2026 12:00:00 GMT"}.items() <= strong.items() and {"Origin", "Referer", "User-Agent"} <= strong.keys()
+    assert weak is None and {"Host": "quay.papers.test", "If-None-Match": 'W/"q7"', "If-Modified-Since": "Sun, 05 Apr 2026 06:07:08 GMT"}.items() <= strong.items() and {"Origin", "Referer", "User-Agent"} <= strong.keys()
 
 
 def test_response_classification(spark):
-    r = [(1, 200, {"etag": "x"}, None), (2, 304, {"ETag": '"e"'}, None), (3, 200, {}, None), (4, 200, {"Last-Modified": "Thu, 26 Feb 2026 12:00:00 GMT"}, None), (5, 0, {}, "timeout")]
+    r = [(1, 200, {"etag": "x"}, None), (2, 304, {"ETag": '"e"'}, None), (3, 200, {}, None), (4, 200, {"Last-Modified": "Sun, 05 Apr 2026 06:07:08 GMT"}, None), (5, 0, {}, "timeout")]
     df = results.response_columns(spark.createDataFrame([(a, b, c, "", d) for a, b, c, d in r], schemas.RESPONSE)).withColumn("parsed_last_modified", F.lit("2026-01-01").cast("timestamp_ntz")).withColumn("parse_error", F.lit(None).cast("string"))
-    state = spark.createDataFrame([(1, 0, None, None), (4, 1, None, ts(2026, 2, 26, 12))], "feed_id long, fetchprotection int, etag string, last_update timestamp_ntz")
+    state = spark.createDataFrame([(1, 0, None, None), (4, 1, None, ts(2026, 4, 5, 6, 7, 8))], "feed_id long, fetchprotection int, etag string, last_update timestamp_ntz")
     got = {x.feed_id: (x.status, x.error_message, x.new_last_update) for x in results.classify(df, state).collect()}
-    assert got == {1: ("error", "Blocked by fetch protection", None), 2: ("not_modified", None, None), 3: ("success", None, ts(2026, 1, 1)), 4: ("not_modified", None, ts(2026, 2, 26, 12)), 5: ("error", "timeout", None)}
+    assert got == {1: ("error", "Blocked by fetch protection", None), 2: ("not_modified", None, None), 3: ("success", None, ts(2026, 1, 1)), 4: ("not_modified", None, ts(2026, 4, 5, 6, 7, 8)), 5: ("error", "timeout", None)}
 
 
 MESSAGE = "seq long, job_id string, feed_id long, stream_name string, status string, error_message string, new_etag string, new_last_update timestamp_ntz, fetchprotection int, processed_at timestamp_ntz, sources array<struct<title:string,url:string,summary:string,author:string,published_at:timestamp_ntz,image_url:string>>"
@@ -302,3 +302,20 @@ def test_deep_page_opens_one_part(spark, tmp_path):
         want = dates.orderBy(F.desc_nulls_last("latest"), F.desc("source_id")).offset(offset).limit(limit)
         assert [(r.source_id, r.latest, r.place) for r in got.orderBy("place").collect()] == [(r.source_id, r.latest, offset + k) for k, r in enumerate(want.collect())]
         assert len({f.split("_part=")[1].split("/")[0] for f in got.inputFiles()}) <= 1
+
+
+def test_toggles_lookups_and_orders(spark):
+    feeds = spark.createDataFrame([(i, f"https://f/{9 - i}", f"s{i % 3}", i % 2 == 0, i % 4 / 4, 1) for i in range(1, 8)], schemas.FEED)
+    companies = spark.createDataFrame([(1, "c", None, None, None, None, 1, True)], schemas.COMPANY)
+    wanted = spark.createDataFrame([(1, True), (2, True), (4, False), (99, True)], "feed_id long, enabled boolean")
+    after = catalog.apply_toggles(feeds, catalog.toggle_feeds(wanted, feeds, companies), "feed_id")
+    assert {r.id for r in after.filter("enabled").collect()} == {1, 2, 6} and after.columns == feeds.columns and after.count() == 7
+    assert reads.by_key(feeds, "id", 3).first().url == "https://f/6" and reads.by_key(feeds, "id", 77).count() == 0
+    rows = [(r.id, r.trust_score, r.url) for r in feeds.collect()]
+    for sort, key in (("trust_desc", lambda r: (-r[1], r[0])), ("trust_asc", lambda r: (r[1], r[0])), ("url_asc", lambda r: r[2]), ("url_desc", lambda r: [-ord(c) for c in r[2]])):
+        assert [r.id for r in reads.search_feeds(feeds, sort=sort).collect()] == [r[0] for r in sorted(rows, key=key)]
+    old = feeds.withColumn("fetchprotection", F.col("id").cast("int") - 3).withColumn("etag", F.lit("e"))
+    plain, state = partitions.split_scraping(old)
+    assert plain.columns == feeds.columns and {r.feed_id: (r.fetchprotection, r.etag) for r in state.collect()} == {i: (min(2, max(0, i - 3)), "e") for i in range(1, 8)}
+    split = one(spark, lambda c: dates.display_date(c, "split"), ts(2026, 2, 3, 4, 5), "timestamp_ntz")
+    assert (split.date, split.time) == ("03/02/2026", "04:05")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clamp
 from tidemill.operators.results import week_of
+from tidemill.operators.upsert import keep
 from tidemill.schemas import epoch
 
 
@@ -38,13 +39,28 @@ def repartition_report(articles: DataFrame, links: DataFrame, weeks: DataFrame)
     return out
 
 
+def repartition_counters(articles: DataFrame, links: DataFrame, article_weeks: DataFrame, link_weeks: DataFrame) -> DataFrame:
+    """The five counters of moving the default partition: rows of both tables in it, weekly partitions that each table
+    lacks (of those in article_weeks and link_weeks), and weeks of all articles."""
+    inside = lambda t, name: t.agg(F.count_if(F.col("week_start").isNull()).alias(name))
+    starts = keep(week_starts(articles), "weeks")
+    made = lambda weeks, name: starts.join(weeks.select("week_start"), "week_start", "left_anti").agg(F.count("*").alias(name))
+    counts = [inside(links, "links_in_default"), made(article_weeks, "article_weeks_made"), made(link_weeks, "link_weeks_made"), starts.agg(F.count("*").alias("weeks_covered"))]
+    out = inside(articles, "articles_in_default")
+    for c in counts:
+        out = out.crossJoin(c)  # one row each
+    return out
+
+
 def write_weeks(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """Add rows to a table partitioned by week_start; those whose key (default: id, published_at) is in their partition
     already are left out, so a second run adds nothing."""
     keys = [*(keys or ["id", "published_at"]), "week_start"]
     new = repartitioned(rows).dropDuplicates(keys)
     try:
-        there = rows.sparkSession.read.schema(new.schema).parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        weeks = [r.week_start for r in new.select("week_start").distinct().collect()]  # the partitions that the rows go to
+        of_week = F.col("week_start").isin([w for w in weeks if w is not None]) | (F.col("week_start").isNull() if None in weeks else F.lit(False))
+        there = rows.sparkSession.read.schema(new.schema).parquet(path).filter(of_week).select(*[F.col(k).alias(f"_{k}") for k in keys])
         new = new.join(there, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":

@@ -210,6 +210,19 @@ def q_repartition_report(spark, d):
     return partitions.repartition_report(a, l, ours)
 
 
+@query(f"""select (select count(*) from article where id%4=0 or published_at <= timestamp '1970-01-01 00:00:00') as articles_in_default, (select count(*) from link where source_id%4=0 or published_at <= timestamp '1970-01-01 00:00:00') as links_in_default,
+    (select count(distinct {_WEEK}) from article where {_WEEK} not in (select {_WEEK} from article where id%20=1 and published_at > timestamp '1970-01-01 00:00:00')) as article_weeks_made,
+    (select count(distinct {_WEEK}) from article where {_WEEK} not in (select {_WEEK} from article where id%30=1 and published_at > timestamp '1970-01-01 00:00:00')) as link_weeks_made, (select count(distinct {_WEEK}) from article) as weeks_covered""")
+def q_repartition_counters(spark, d):
+    """All five, where articles and links have different weeks already."""
+    article, link = tables(spark, d, "article", "link")
+    a, b = partitions.repartitioned(article), partitions.repartitioned(link)
+    weeks = lambda n: a.filter(F.col("id") % n == 1).select("week_start").distinct().filter("week_start is not null")
+    a = a.withColumn("week_start", F.when(F.col("id") % 4 != 0, F.col("week_start")))
+    b = b.withColumn("week_start", F.when(F.col("source_id") % 4 != 0, F.col("week_start")))
+    return partitions.repartition_counters(a, b, weeks(20), weeks(30))
+
+
 @query("select id, url, coalesce(published_at, timestamp '1970-01-01 00:00:00') as published_at from (select id, url, nullif(published_at, timestamp '1970-01-01 00:00:00') as published_at from article) x")
 def q_migrate_articles(spark, d):
     old = partitions.migrate_articles(tables(spark, d, "article")[0], to_epoch=False)
