@@ -1,4 +1,5 @@
 import datetime as dt
+import datetime as dt
 import hashlib
 import re
 
@@ -106,3 +107,21 @@ def test_dates_with_the_month_first_are_a_permutation_of_such_dates(spark):
         assert d.day > 12 and 1800 <= d.year <= 2199 and (a[:5] == "02/29") == (b[:5] == "02/29")
     y, m, d = permuted([2024 - 1800, 11, 25 - 13], [400, 12, 16], "month-first", "k")
     assert run(spark, "on 12/25/2024.", "13/25/2024", "02/30/2024", "02/29/2023") == [f"on {m + 1:02}/{d + 13}/{y + 1800}.", "13/25/2024", "02/30/2024", "02/29/2023"]
+
+
+def test_leap_days_are_permuted_by_rounds(spark):
+    """All 97 leap days with the month first are permuted among themselves, by no common shift, and another key moves them otherwise."""
+    leaps = [f"02/29/{y}" for y in range(1800, 2200) if _exists(y, 2, 29)]
+    maps = []
+    for key in ("k", "l"):
+        new = dict(zip(leaps, (r.text for r in sorted(pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(leaps)], "i int, text string"), key).collect(), key=lambda r: r.i)), strict=True))
+        assert sorted(new.values()) == leaps and len({int(v[6:]) - int(k[6:]) for k, v in new.items()}) > 60
+        maps.append(new)
+    assert sum(maps[0][k] == maps[1][k] for k in leaps) < 10
+
+
+def _exists(y, m, d):
+    try:
+        return bool(dt.date(y, m, d))
+    except ValueError:
+        return False

@@ -23,7 +23,9 @@ Not recognised: written months, two-digit years and one-digit days, IPv6, phone
 dashes. The numbers of a phone are counted, not looked up, and a card's issuer digits are permuted like the rest.
 
 Null texts stay null, empty ones empty. Every row is handled on its own: no shuffle, no groups, so very long texts,
-repeated rows and empty tables need nothing of their own. Other columns stay, whatever their names.
+repeated rows, ties and empty tables need nothing of their own. Other columns stay, whatever their names; n_chars, if there, becomes
+the new text's length. A date with the month first and one with the year first get pseudonyms of their own, though they
+name one day.
 """
 
 from __future__ import annotations
@@ -117,7 +119,10 @@ def _month_first(m: str, key: str) -> str:
     early = _let(_permuted(f"array({year} - 1800, {month} - 1, {day} - 13)", "array(400, 12, 16)", "month-first", key), "nw", shown("((nw[1] + 1) * 100 + nw[2] + 13)", "nw[0] + 1800"))
     at = f"cast(array_position(lt, {month} * 100 + {day}) as int) - 1"
     late = _let(later, "lt", f"if({at} >= 0, {_let(_permuted(f'array({year} - 1800, {at})', 'array(400, 29)', 'month-first-late', key), 'nw', shown('lt[nw[1]]', 'nw[0] + 1800'))}, {m})")
-    leaps = _let(leap, "lp", f"if(array_contains(lp, {year}), {_let(_permuted(f'array(cast(array_position(lp, {year}) as int) - 1)', 'array(97)', 'month-first-leap', key), 'nw', shown('229', 'lp[nw[0]]'))}, {m})")
+    # 97 leap days as two digits: what leaves them is permuted again until it is back, after four times at most
+    again = _let(_permuted("array(lv div 10, lv % 10)", "array(10, 10)", "month-first-leap", key), "nw", "cast(nw[0] * 10 + nw[1] as int)")
+    walked = f"aggregate(sequence(1, 4), cast(array_position(lp, {year}) as int) - 1, (lv, lk) -> if(lk = 1 or lv > 96, {again}, lv))"
+    leaps = _let(leap, "lp", f"if(array_contains(lp, {year}), {_let(walked, 'lw', shown('229', 'lp[lw]'))}, {m})")
     valid = f"{m} rlike '^(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/(?:1[89]|2[01])[0-9]{{2}}$'"
     return f"case when not ({valid}) then {m} when {day} <= 28 then {early} when {month} * 100 + {day} = 229 then {leaps} else {late} end"
 
