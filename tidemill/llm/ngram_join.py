@@ -16,7 +16,8 @@ At the threshold of 0.8 a pair misses all 25 bands with probability 5e-5; less s
 Words are maximal runs of characters other than the six ASCII white space characters. A text of one to four words has
 one shingle, all of it; a text without words (or null) has none and links with nothing but its equals, which count as
 copies. A doc_id that occurs more than once is one document: classes of its texts join. Rows with a null doc_id link
-with nothing (class null). Extra columns are ignored.
+with nothing (class null). A very long text is one row of its task. An empty table gives no rows. Shingles are compared by
+64-bit hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@
 Only the histogram (fine + window / grain counts) and the bin-part counts (times `parts`) reach the driver. The plan depends
 on counts alone, so a lost executor's rows come out the same again.
 
-A null text counts as empty: its only id is the closing one. Rows with equal doc_id are separate documents here.
-Extra columns are ignored.
+A null text counts as empty: its only id is the closing one. Rows with equal doc_id are separate documents here,
+as are repeated rows. A very long text is encoded by stretches, in the task of its row. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

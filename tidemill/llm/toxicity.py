@@ -19,7 +19,7 @@ held as the list of its words, so that a task needs some twenty times its longes
 without letters, get the share of toxic labels. Equal texts get equal scores; in the sample they count once per label.
 Labels other than 0 and 1, and labels of no document, are ignored; a document with several labels counts once for each.
 Without any toxic (or ordinary) labelled text every score is the share of toxic labels (0 without labels). Extra columns
-are ignored; a column named as one that is added raises ValueError.
+are ignored; a column named as one that is added raises ValueError. An empty table of documents gives no rows.
 """
 
 from __future__ import annotations
