@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,33 @@ def test_toggles_lookups_and_orders(spark):
     assert plain.columns == feeds.columns and {r.feed_id: (r.fetchprotection, r.etag) for r in state.collect()} == {i: (min(2, max(0, i - 3)), "e") for i in range(1, 8)}
     split = one(spark, lambda c: dates.display_date(c, "split"), ts(2026, 2, 3, 4, 5), "timestamp_ntz")
     assert (split.date, split.time) == ("03/02/2026", "04:05")
+
+
+def test_colocated_join_has_no_shuffle(spark, small, tmp_path):
+    """Links and articles join and are grouped without an exchange, also in a session that only registers them, and a span prunes both."""
+    from tidemill.operators import colocated
+    from tidemill.plans.testbed import tables
+
+    article, link, feed = tables(spark, small, "article", "link", "feed")
+    want = {(r.source_id, r.latest) for r in reads.latest_dates(article, link, feed).collect()}
+    colocated.write(article.select([c.strip().split()[0] for c in schemas.ARTICLE.split(",")]), link, f"file://{tmp_path}", buckets=4)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for again in (False, True):
+            if again:
+                colocated.register(spark, f"file://{tmp_path}", "other", buckets=4)
+            df = colocated.latest_dates(spark, "other" if again else "colocated")
+            assert {(r.source_id, r.latest) for r in df.collect()} == want
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        span = spark.table("colocated_links").filter("span <> 'none'").first().span
+        some = colocated.linked(spark, spans=[span])
+        plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+        assert len(re.findall(rf"PartitionFilters: \[.*{span}", plan)) == 2 and "Exchange" not in plan and some.count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for name in ("colocated_articles", "colocated_links", "other_articles", "other_links"):
+            spark.sql(f"drop table if exists {name}")
