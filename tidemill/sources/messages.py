@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.results import route
+from tidemill.operators.upsert import keep
 from tidemill.schemas import STREAM_CHECK, STREAM_ERROR, STREAM_INGEST, STREAM_REQUEST
 from tidemill.sources import payloads
 from tidemill.sources.log import append, read_log
@@ -31,23 +34,25 @@ def read_results(spark: SparkSession, folder: str, group: str, most: int | None
     return read_log(spark, folder, RESULT_STREAMS, group, most, start)
 
 
-def _checked(messages: DataFrame, violations) -> DataFrame:
-    return messages.withColumn("_v", payloads.parse(F.col("payload"))).withColumn("violations", violations(F.col("_v")))
+def _checked(messages: DataFrame, opened: Callable[[Column], Column], violations: Callable[[Column], Column]) -> DataFrame:
+    """messages with what is in them (o) and violations, as a table: both halves read it."""
+    rows = messages.withColumn("_v", payloads.parse(F.col("payload"))).withColumn("o", opened(F.col("_v"))).drop("_v")
+    return keep(rows.withColumn("violations", violations(F.col("o"))), "checked")
 
 
 def split_requests(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests as one row per feed, and those refused as payload and violations. A request that breaks a rule anywhere is
     refused as a whole; one without feeds is valid and has no row."""
-    checked = _checked(messages, payloads.request_violations)
-    valid = checked.filter(F.size("violations") == 0).select(*payloads.request_columns(F.col("_v")))
+    checked = _checked(messages, payloads.opened_request, payloads.request_violations)
+    valid = checked.filter(F.size("violations") == 0).select(*payloads.request_columns(F.col("o")))
     feeds = valid.select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*")
     return feeds, checked.filter(F.size("violations") > 0).select("payload", "violations")
 
 
 def split_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results as rows of schemas.RESULT with stream_name and seq, and those refused (payload, stream_name, seq, violations)."""
-    checked = _checked(messages, payloads.result_violations)
-    valid = checked.filter(F.size("violations") == 0).select("stream_name", "seq", *payloads.result_columns(F.col("_v")))
+    checked = _checked(messages, payloads.opened_result, payloads.result_violations)
+    valid = checked.filter(F.size("violations") == 0).select("stream_name", "seq", *payloads.result_columns(F.col("o")))
     return valid, checked.filter(F.size("violations") > 0).select("payload", "stream_name", "seq", "violations")
 
 

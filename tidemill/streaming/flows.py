@@ -74,7 +74,7 @@ def scrape(
     read only once its results are out."""
 
     def batch(df: DataFrame, number: int) -> None:
-        valid, refused = split_requests(keep(df, "requests"))
+        valid, refused = split_requests(df)
         refused.write.mode("overwrite").json(f"{quarantine}/batch={group_of(checkpoint)}-{number}")
         write_results(results_of(valid, responses(), scraping(), floor), out)
 
@@ -116,7 +116,7 @@ def persist_batch(spark: SparkSession, messages: DataFrame, tables: str, quarant
     and number; a batch that is committed is skipped, and messages in quarantine are those of the batch's last run."""
     if done(spark, tables, batch):
         return None
-    valid, refused = split_results(keep(messages, "messages"))
+    valid, refused = split_results(messages)
     return persist_checked(spark, valid, refused, tables, quarantine, batch)
 
 

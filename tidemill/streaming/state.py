@@ -67,13 +67,13 @@ class FeedState(StatefulProcessor):
 def first_results(messages: DataFrame, seen: DataFrame) -> DataFrame:
     """Stream of messages (payload, stream_name, seq) without results that are not the first of their (job, feed); seen: what is known
     before (feed_id, job_id, errors, either of these may be NULL)."""
-    v = payloads.parse(F.col("payload"))
-    checked = messages.withColumn("_v", v).withColumn("_ok", F.size(payloads.result_violations(F.col("_v"))) == 0)
+    opened = messages.withColumn("_v", payloads.parse(F.col("payload"))).withColumn("o", payloads.opened_result(F.col("_v")))
+    checked = opened.withColumn("_ok", F.size(payloads.result_violations(F.col("o"))) == 0)
     # refused messages are spread, and meet no feed's key
     aside = -1 - F.pmod(F.xxhash64("payload"), F.lit(1024))
     rows = checked.select(
-        F.when(F.col("_ok"), payloads.whole_number(payloads.field(F.col("_v"), "feed_id"))).otherwise(aside).alias("feed_id"), F.when(F.col("_ok"), F.try_variant_get("_v", "$.job_id", "string")).alias("job_id"),
-        F.coalesce(F.try_variant_get("_v", "$.status", "string") == "error", F.lit(False)).alias("is_error"), "seq", "stream_name", "payload",
+        F.when(F.col("_ok"), payloads.whole_number(F.col("o.feed_id"))).otherwise(aside).alias("feed_id"), F.when(F.col("_ok"), F.col("o.job_id.text")).alias("job_id"),
+        F.coalesce(F.col("o.status.text") == "error", F.lit(False)).alias("is_error"), "seq", "stream_name", "payload",
     )
     return rows.groupBy("feed_id").transformWithState(FeedState(), OUT, "Append", "None", initialState=seen.groupBy("feed_id"))
 
