@@ -1,25 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a labelled sample: one on the windows of toxic texts, one on the windows of
-ordinary texts, whole texts of both and no choice among their words. A window is compressed with both; the bytes that
-the toxic dictionary saves are its distance. For the calibration the sample is cut into FOLDS parts by a hash of the
-text, and each part is measured by dictionaries trained on the others: for each distance the logarithm of how much more
-often windows of toxic texts have it, and, for the sum of these over a text's windows by the root of their number, the
-share of toxic texts (isotonic regression, weighted to the shares of the labels). That share is the score.
-
-A window is one word (lower case, letters only) between spaces, each character spelled as two fixed bytes, since
-zstandard stores what is as short as a word uncompressed, and since a match costs it more than the few letters that it
-replaces. Compressed with an optimal parse and matches of three bytes or more, a spelled word's length follows the
-dictionary pieces that make it up, so that beginnings which toxic words share count as well as whole words. The ordinary
-dictionary is the larger one: ordinary words are then seldom shorter with the toxic one.
-
-Bounds: the sample has about `sample` texts per label (chosen by a hash of doc_id); a dictionary is trained on `most`
-windows of its label, taken from the texts in equal numbers at even steps over the whole text. Scores cover all windows of whole texts of all rows; a text is
-held as the list of its words, so that a task needs some twenty times its longest text. Null and empty texts, and texts
-without letters, get the share of toxic labels. Equal texts get equal scores; in the sample they count once per label.
-Labels other than 0 and 1, and labels of no document, are ignored; a document with several labels counts once for each.
-Without any toxic (or ordinary) labelled text every score is the share of toxic labels (0 without labels). Extra columns
-are ignored; a column named as one that is added raises ValueError. An empty table of documents gives no rows.
+zstandard dictionaries are trained on a labelled sample: one on the words of toxic texts, and ordinary ones of rising sizes
+on the words of ordinary texts, whole texts of both and no choice among their words. A window is compressed with each; the
+bytes that the toxic dictionary saves against an ordinary one are its distances. For the calibration the sample is cut into
+FOLDS parts by a hash of the text, and each part is measured by dictionaries trained on the others: for each distance the
+logarithm of how much more often windows of toxic texts have it, and, for the sum of these over a text's windows by the root
+of their number, the share of toxic texts (isotonic regression, weighted to the shares of the labels). That share is the score.
+
+A window is one word (lower case, letters only, at most LONGEST; longer ones are several). Letter by letter it is spelled
+as eight bytes, a hash of the word up to there, since zstandard stores what is as short as a word uncompressed, a match costs
+it more than the few letters that it replaces, and only pieces that begin alike are then matches. A training sample is a
+text's distinct words, so that the trainer ranks beginnings by the number of texts that have them. Dictionaries are small
+on purpose: what is frequent in toxic texts is in the toxic one, and in an ordinary one only if it is frequent there too.
+One size would decide this at one frequency; several let the calibration weigh them.
+
+Bounds: the sample has about `sample` texts per label (chosen by a hash of doc_id), and all their windows count. One task
+trains one of the FOLDS + 1 models and holds the sample's spelled words, some twenty times its texts. Scores cover all windows of whole
+texts of all rows; a text is held as the list of its words, so that a task needs some twenty times its longest text. Null and
+empty texts, and texts without letters, get the share of toxic labels. Equal texts get equal scores; in the sample they count
+once per label. Labels other than 0 and 1, and labels of no document, are ignored; a document with several labels counts once
+for each. Without any toxic (or ordinary) labelled text every score is the share of toxic labels (0 without labels). Extra
+columns are ignored; a column named as one that is added raises ValueError. An empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,55 +41,45 @@ from pyspark.sql import types as T
 
 from tidemill.llm.common import crc_long, ship, slices, store
 
-WINDOW = re.compile(r"[^\W\d_]+")
-LARGEST = 40  # distances beyond it count as it
+LONGEST = 64  # letters of a window
+WINDOW = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 FOLDS = 3
-TOXIC_SIZE, ORDINARY_SIZE = 131_072, 524_288
-
-
-class _Spelling(dict):
-    """Two fixed bytes for each character."""
-
-    def __missing__(self, code: int) -> str:
-        v = (code + 1) * 0x9E3779B97F4A7C15 % 2**64
-        v = (v ^ v >> 29) * 0xBF58476D1CE4E5B9 % 2**64
-        self[code] = out = chr(v >> 8 & 255) + chr(v >> 16 & 255)
-        return out
-
-
-_spelling = _Spelling()
+TOXIC_SIZE, ORDINARY_SIZES = 65_536, (65_536, 131_072)
+STEP = 4  # bytes that share a weight
+FARTHEST = 8 * (LONGEST + 2) // STEP  # steps; no distance of a window is larger
+LIKE_NONE = 8  # windows of both labels together that a distance must have to reach half its weight
 
 
 def spelled(window: str) -> bytes:
     """The bytes that are compressed for a window."""
-    return f" {window} ".translate(_spelling).encode("latin-1")
+    so_far, out = xxhash.xxh64(), []
+    for letter in f"{window} ":
+        so_far.update(letter.encode())
+        out.append(so_far.digest())
+    return b"".join(out)
 
 
 def windows(text: str | None) -> list[str]:
     return WINDOW.findall(text.lower()) if text else []
 
 
-def even_steps(found: list[str], most: int) -> list[str]:
-    """Distinct windows, at most `most` at even steps."""
-    distinct = list(dict.fromkeys(found))
-    return [distinct[i * len(distinct) // most] for i in range(most)] if len(distinct) > most else distinct
-
-
-def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; where there is too little to train on, the samples themselves."""
-    total = sum(map(len, samples))
-    try:
-        return zstandard.train_dictionary(min(size, max(256, total // 4)), samples, k=80, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(sorted(set(samples)))[-size:]
+def train_dictionary(texts: list[list[bytes]], size: int) -> bytes:
+    """A dictionary trained on the windows of texts; where there is too little to train on, the windows themselves."""
+    size = min(size, max(256, sum(len(w) for t in texts for w in t) // 4))
+    for samples in ([b"".join(t) for t in texts], [w for t in texts for w in t]):
+        try:
+            return zstandard.train_dictionary(size, samples, k=40, d=8).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b"".join(dict.fromkeys(w for t in texts for w in t))
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
-    ordinary: bytes
+    ordinary: tuple[bytes, ...]
     share: float
-    weights: tuple[float, ...] = ()  # of distances from -LARGEST to LARGEST
+    weights: tuple[float, ...] = ()  # for each ordinary dictionary, of distances from -FARTHEST to FARTHEST steps
     sums: tuple[float, ...] = ()  # rising; scores at them, and between them by interpolation
     scores: tuple[float, ...] = ()
 
@@ -96,72 +88,80 @@ class Distance:
     """Bytes saved by the toxic dictionary on a window; recent windows are remembered."""
 
     def __init__(self, model: Model, most: int = 400_000):
-        self.compress = [self._compressor(d) for d in (model.ordinary, model.toxic)]
+        self.compress = [self._compressor(d) for d in (model.toxic, *model.ordinary)]
         self.model, self.weights, self.most, self.known = model, list(model.weights), most, {}
 
     @staticmethod
     def _compressor(dictionary: bytes):
-        # btultra2 with chains over all of the dictionary; no header
+        # the longest match at each place, from trees over all of the dictionary; no header
         rule = zstandard.ZstdCompressionParameters(
-            window_log=20, hash_log=18, chain_log=21, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA2,
+            window_log=18, hash_log=15, chain_log=17, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0,
         )
         d = zstandard.ZstdCompressionDict(dictionary)
         d.precompute_compress(compression_params=rule)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=rule).compress
 
-    def of(self, window: str) -> int:
+    def of(self, window: str) -> list[int]:
+        """One for each ordinary dictionary."""
+        data = spelled(window)
+        toxic, *ordinary = [len(compress(data)) for compress in self.compress]
+        return [n - toxic for n in ordinary]
+
+    def _places(self, window: str) -> list[int]:
+        return [(2 * FARTHEST + 1) * k + FARTHEST + round(d / STEP) for k, d in enumerate(self.of(window))]
+
+    def _remembered(self, window: str, made):
         found = self.known.get(window)
         if found is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            data = spelled(window)
-            ordinary, toxic = self.compress
-            found = self.known[window] = max(-LARGEST, min(LARGEST, len(ordinary(data)) - len(toxic(data))))
+            found = self.known[window] = made(self._places(window))
         return found
 
     def counts(self, text: str | None) -> np.ndarray:
-        """How many windows of the text have each distance from -LARGEST to LARGEST."""
-        out = np.zeros(2 * LARGEST + 1, np.int64)
+        """How many windows of the text have each distance, in the order of Model.weights. Not to be mixed with `score`."""
+        out = np.zeros((2 * FARTHEST + 1) * len(self.model.ordinary), np.int64)
         for w, n in Counter(windows(text)).items():
-            out[self.of(w) + LARGEST] += n
+            out[self._remembered(w, list)] += n
         return out
 
     def score(self, text: str | None) -> float:
-        counts = self.counts(text) if self.weights else np.zeros(1)
-        if not counts.sum():
+        found = Counter(windows(text)) if self.weights else None
+        if not found:
             return self.model.share
-        x = evidence(counts[None], np.array(self.weights))[0]
+        of_places = lambda places: sum(self.weights[p] for p in places)
+        x = sum(n * self._remembered(w, of_places) for w, n in found.items()) / (found.total() + 1) ** 0.5
         # the last thousandth keeps the order where the calibration is flat
         return float(0.999 * np.interp(x, self.model.sums, self.model.scores) + 0.0005 * (1 + x / (1 + abs(x))))
 
 
-def evidence(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return counts @ weights / np.sqrt(counts.sum(1) + 1)
-
-
-def dictionaries(texts: list[tuple[int, int, list[bytes]]], share: float) -> Model:
-    """A model without calibration from (fold, label, windows) of texts; with no dictionaries if a label has no windows."""
-    train = {label: [w for _, y, found in texts if y == label for w in found] for label in (0, 1)}
+def dictionaries(texts: list[tuple[int, list[bytes]]], share: float) -> Model:
+    """A model without calibration from (label, distinct windows) of texts; with no dictionaries if a label has no windows."""
+    train = {label: [found for y, found in texts if y == label and found] for label in (0, 1)}
     if not train[0] or not train[1]:
-        return Model(b"", b"", share)
-    return Model(train_dictionary(train[1], TOXIC_SIZE), train_dictionary(train[0], ORDINARY_SIZE), share)
+        return Model(b"", (), share)
+    return Model(train_dictionary(train[1], TOXIC_SIZE), tuple(train_dictionary(train[0], size) for size in ORDINARY_SIZES), share)
 
 
-def of_folds(texts: list[tuple[int, int, list[bytes]]], share: float) -> list[Model]:
-    """For each fold a model of the others."""
-    return [dictionaries([t for t in texts if t[0] != k], share) for k in range(FOLDS)]
+def of_text(text: str) -> list[bytes]:
+    return [spelled(w) for w in dict.fromkeys(windows(text))]
 
 
 def calibrated(model: Model, counts: list[list[int]], labels: list[int]) -> Model:
     """counts: for each text what Distance.counts gives with dictionaries trained without it; labels: 0 or 1."""
-    counts, y = np.array(counts, float).reshape(-1, 2 * LARGEST + 1), np.array(labels, int)
+    y = np.array(labels, int)
     if not model.toxic or not y.any() or y.all():
-        return Model(b"", b"", model.share)
-    tails = {label: np.convolve(counts[y == label].sum(0) + 1, [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "same") for label in (0, 1)}
-    weights = np.log(tails[1] / tails[1].sum()) - np.log(tails[0] / tails[0].sum())
+        return Model(b"", (), model.share)
+    counts = np.array(counts, float)
+    tails = [counts[y == label].sum(0).reshape(len(model.ordinary), -1) for label in (0, 1)]
+    tails = [np.array([np.convolve(t, [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "same") for t in tail]) for tail in tails]
+    total = [t.sum() / len(t) for t in tails]
+    prior = [LIKE_NONE * n / sum(total) for n in total]
+    weights = (np.log((tails[1] + prior[1]) / (tails[0] + prior[0])) - np.log(total[1] / total[0])).ravel()
     w = np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean()))
-    sums, scores = isotonic(evidence(counts, weights), y, w)
+    windows_of = counts.sum(1) / len(model.ordinary)
+    sums, scores = isotonic(counts @ weights / np.sqrt(windows_of + 1), y, w)
     return Model(model.toxic, model.ordinary, model.share, tuple(weights.tolist()), tuple(sums.tolist()), tuple(scores.tolist()))
 
 
@@ -181,14 +181,16 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def fit(labelled: list[tuple[str, int]], per_text: int = 125) -> Model:
+def fit(labelled: list[tuple[str, int]]) -> Model:
     """From (text, 0 or 1) in memory; equal texts with equal labels count once."""
     labelled = sorted(set(labelled))
     share = float(np.mean([y for _, y in labelled])) if labelled else 0.0
-    texts = [(hash_of(t) % FOLDS, y, [spelled(w) for w in even_steps(windows(t), per_text)]) for t, y in labelled]
-    distances = [Distance(m) for m in of_folds(texts, share)]
-    counts = [distances[f].counts(t).tolist() for (t, _), (f, _, _) in zip(labelled, texts, strict=True)]
-    return calibrated(dictionaries(texts, share), counts, [y for _, y in labelled])
+    folds = [hash_of(t) % FOLDS for t, _ in labelled]
+    *of_folds, model = [dictionaries([(y, of_text(t)) for f, (t, y) in zip(folds, labelled, strict=True) if f != k], share) for k in range(FOLDS + 1)]
+    if not all(m.toxic for m in (*of_folds, model)):
+        return Model(b"", (), share)
+    distances = [Distance(m) for m in of_folds]
+    return calibrated(model, [distances[f].counts(t).tolist() for f, (t, _) in zip(folds, labelled, strict=True)], [y for _, y in labelled])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> tuple[DataFrame, dict[int, int]]:
@@ -203,43 +205,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 3_000) ->
     return texts, sizes
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 3_000, most: int = 250_000) -> Model:
-    """The model of the labelled rows of docs. What comes to the driver is bounded by `sample` and `most`: windows for the
-    dictionaries, and counts of distances for the calibration."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
+    """The model of the labelled rows of docs. What comes to the driver are dictionaries, and counts of distances of about `sample`
+    texts per label for the calibration."""
     ship(docs.sparkSession)
     texts, sizes = labelled_sample(docs, labels, sample)
-    texts = store(texts, "labelled")
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    per_text = {y: 1 + most // min(n, sample) for y, n in sizes.items()}
-
-    def of_rows(schema: pa.Schema, row):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make = row()
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    rows = [(hash_of(t), y, make(t, y)) for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-        return run
-
-    def windows_of():
-        return lambda t, y: [spelled(w) for w in even_steps(windows(t), per_text[y])]
-
-    made = of_rows(pa.schema([("text_hash", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.binary()))]), windows_of)
-    once = lambda df: df.dropDuplicates(["text_hash", "y"]).orderBy("text_hash", "y").toArrow()
-    t = once(texts.mapInArrow(made, "text_hash long, y int, windows array<binary>"))
-    known = list(zip((h % FOLDS for h in t.column("text_hash").to_pylist()), t.column("y").to_pylist(), t.column("windows").to_pylist(), strict=True))
-    model, folds = dictionaries(known, share), of_folds(known, share)
-    if not model.toxic:
-        return model
-
-    def counts_of():
-        distances = [Distance(m) for m in folds]
-        return lambda t, y: distances[hash_of(t) % FOLDS].counts(t).tolist()
-
-    made = of_rows(pa.schema([("text_hash", pa.int64()), ("y", pa.int32()), ("counts", pa.list_(pa.int64()))]), counts_of)
-    t = once(texts.mapInArrow(made, "text_hash long, y int, counts array<long>"))
-    return calibrated(model, t.column("counts").to_pylist(), t.column("y").to_pylist())
+    texts = store(texts.dropDuplicates(["text", "y"]).select("text", "y", crc_long(F.col("text")).alias("text_hash")), "labelled")
+
+    def train(key, table):
+        rows = sorted(zip(table.column("text_hash").to_pylist(), table.column("text").to_pylist(), table.column("y").to_pylist(), strict=True))
+        m = dictionaries([(y, of_text(t)) for _, t, y in rows], share)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "toxic": pa.array([m.toxic], pa.binary()), "ordinary": pa.array([m.ordinary], pa.list_(pa.binary()))})
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("text_hash") % FOLDS)
+    made = texts.select("text", "y", "text_hash", F.explode(others).alias("model")).groupBy("model").applyInArrow(train, "model int, toxic binary, ordinary array<binary>")
+    known = {r.model: Model(bytes(r.toxic), tuple(map(bytes, r.ordinary)), share) for r in made.collect()}
+    if len(known) <= FOLDS or not all(m.toxic for m in known.values()):
+        return Model(b"", (), share)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = [Distance(known[k]) for k in range(FOLDS)]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes = part.column("text_hash")
+                found = [distances[h % FOLDS].counts(t).tolist() for t, h in zip(part.column("text").to_pylist(), hashes.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([hashes, part.column("y"), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "y", "counts"])
+
+    spread = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism)  # a small table is one file
+    t = spread.mapInArrow(count, "text_hash long, y int, counts array<long>").orderBy("text_hash", "y").toArrow()
+    return calibrated(known[FOLDS], t.column("counts").to_pylist(), t.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
