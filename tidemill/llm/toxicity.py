@@ -2,9 +2,10 @@
 
 zstandard dictionaries are trained on a labelled sample: one on the words of toxic texts, and ordinary ones of rising sizes
 on the words of ordinary texts, whole texts of both and no choice among their words. A window is compressed with each; the
-bytes that the toxic dictionary saves against an ordinary one are its distances. For the calibration the sample is cut into
+whole letters (of eight bytes) that the toxic dictionary saves against an ordinary one are its distances (none: 0, as ordinary
+words do not make up for toxic ones). For the calibration the sample is cut into
 FOLDS parts by a hash of the text, and each part is measured by dictionaries trained on the others: for each distance the
-logarithm of how much more often windows of toxic texts have it, and, for the sum of these over a text's windows by the root
+logarithm of how much more often windows of toxic texts have it, made to rise with the distance, and, for the sum of these over a text's windows by the root
 of their number, the share of toxic texts (isotonic regression, weighted to the shares of the labels). That share is the score.
 
 A window is one word (lower case, letters only, at most LONGEST; longer ones are several). Letter by letter it is spelled
@@ -45,9 +46,9 @@ LONGEST = 64  # letters of a window
 WINDOW = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 FOLDS = 3
 TOXIC_SIZE, ORDINARY_SIZES = 65_536, (65_536, 131_072)
-STEP = 4  # bytes that share a weight
-FARTHEST = 8 * (LONGEST + 2) // STEP  # steps; no distance of a window is larger
-LIKE_NONE = 8  # windows of both labels together that a distance must have to reach half its weight
+LETTER = 8  # bytes
+FARTHEST = LONGEST + 2  # letters; no distance of a window is larger
+LIKE_NONE = 1  # windows, half of each label, that are added to those of each distance
 
 
 def spelled(window: str) -> bytes:
@@ -68,7 +69,7 @@ def train_dictionary(texts: list[list[bytes]], size: int) -> bytes:
     size = min(size, max(256, sum(len(w) for t in texts for w in t) // 4))
     for samples in ([b"".join(t) for t in texts], [w for t in texts for w in t]):
         try:
-            return zstandard.train_dictionary(size, samples, k=40, d=8).as_bytes()
+            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
         except zstandard.ZstdError:
             continue
     return b"".join(dict.fromkeys(w for t in texts for w in t))
@@ -79,59 +80,64 @@ class Model:
     toxic: bytes
     ordinary: tuple[bytes, ...]
     share: float
-    weights: tuple[float, ...] = ()  # for each ordinary dictionary, of distances from -FARTHEST to FARTHEST steps
+    weights: tuple[float, ...] = ()  # for each ordinary dictionary, of distances from 0 to FARTHEST
     sums: tuple[float, ...] = ()  # rising; scores at them, and between them by interpolation
     scores: tuple[float, ...] = ()
 
 
 class Distance:
-    """Bytes saved by the toxic dictionary on a window; recent windows are remembered."""
+    """Letters saved by the toxic dictionary on a window; recent windows are remembered."""
 
     def __init__(self, model: Model, most: int = 400_000):
         self.compress = [self._compressor(d) for d in (model.toxic, *model.ordinary)]
-        self.model, self.weights, self.most, self.known = model, list(model.weights), most, {}
+        self.model, self.weights, self.most, self.known = model, np.array(model.weights), most, {}
 
     @staticmethod
     def _compressor(dictionary: bytes):
         # the longest match at each place, from trees over all of the dictionary; no header
         rule = zstandard.ZstdCompressionParameters(
-            window_log=18, hash_log=15, chain_log=17, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
+            window_log=18, hash_log=14, chain_log=16, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0,
         )
         d = zstandard.ZstdCompressionDict(dictionary)
         d.precompute_compress(compression_params=rule)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=rule).compress
 
-    def of(self, window: str) -> list[int]:
-        """One for each ordinary dictionary."""
-        data = spelled(window)
-        toxic, *ordinary = [len(compress(data)) for compress in self.compress]
-        return [n - toxic for n in ordinary]
-
-    def _places(self, window: str) -> list[int]:
-        return [(2 * FARTHEST + 1) * k + FARTHEST + round(d / STEP) for k, d in enumerate(self.of(window))]
-
-    def _remembered(self, window: str, made):
-        found = self.known.get(window)
-        if found is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            found = self.known[window] = made(self._places(window))
-        return found
+    def of_all(self, found: list[str]) -> np.ndarray:
+        """Whole letters saved on windows (rows) for each ordinary dictionary; one dictionary after the other, as each fills a core's cache."""
+        data = [spelled(w) for w in found]
+        toxic, *ordinary = np.array([[len(compress(d)) for d in data] for compress in self.compress])
+        return np.trunc((np.stack(ordinary, 1) - toxic[:, None]) / LETTER).astype(int)
+
+    def of(self, window: str) -> int:
+        """Against the best ordinary dictionary."""
+        return int(self.of_all([window]).min())
+
+    def _remembered(self, found: Counter, made) -> dict:
+        """`made` of the places of distances in Model.weights, for windows that are not remembered."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = [w for w in found if w not in self.known]
+        if new:
+            places = np.maximum(self.of_all(new), 0) + (FARTHEST + 1) * np.arange(len(self.model.ordinary))
+            self.known.update(zip(new, made(places), strict=True))
+        return self.known
 
     def counts(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each distance, in the order of Model.weights. Not to be mixed with `score`."""
-        out = np.zeros((2 * FARTHEST + 1) * len(self.model.ordinary), np.int64)
-        for w, n in Counter(windows(text)).items():
-            out[self._remembered(w, list)] += n
+        out = np.zeros((FARTHEST + 1) * len(self.model.ordinary), np.int64)
+        found = Counter(windows(text))
+        known = self._remembered(found, lambda places: places.tolist())
+        for w, n in found.items():
+            out[known[w]] += n
         return out
 
     def score(self, text: str | None) -> float:
-        found = Counter(windows(text)) if self.weights else None
+        found = Counter(windows(text)) if self.model.weights else None
         if not found:
             return self.model.share
-        of_places = lambda places: sum(self.weights[p] for p in places)
-        x = sum(n * self._remembered(w, of_places) for w, n in found.items()) / (found.total() + 1) ** 0.5
+        known = self._remembered(found, lambda places: self.weights[places].sum(1).tolist())
+        x = sum(n * known[w] for w, n in found.items()) / (found.total() + 1) ** 0.5
         # the last thousandth keeps the order where the calibration is flat
         return float(0.999 * np.interp(x, self.model.sums, self.model.scores) + 0.0005 * (1 + x / (1 + abs(x))))
 
@@ -155,16 +161,21 @@ def calibrated(model: Model, counts: list[list[int]], labels: list[int]) -> Mode
         return Model(b"", (), model.share)
     counts = np.array(counts, float)
     tails = [counts[y == label].sum(0).reshape(len(model.ordinary), -1) for label in (0, 1)]
-    tails = [np.array([np.convolve(t, [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "same") for t in tail]) for tail in tails]
-    total = [t.sum() / len(t) for t in tails]
-    prior = [LIKE_NONE * n / sum(total) for n in total]
-    weights = (np.log((tails[1] + prior[1]) / (tails[0] + prior[0])) - np.log(total[1] / total[0])).ravel()
+    weights = np.concatenate([rising(t0, t1) for t0, t1 in zip(*tails, strict=True)])
     w = np.where(y == 1, model.share / y.mean(), (1 - model.share) / (1 - y.mean()))
     windows_of = counts.sum(1) / len(model.ordinary)
     sums, scores = isotonic(counts @ weights / np.sqrt(windows_of + 1), y, w)
     return Model(model.toxic, model.ordinary, model.share, tuple(weights.tolist()), tuple(sums.tolist()), tuple(scores.tolist()))
 
 
+def rising(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """From the windows that have each distance: how much more often those of toxic texts have it (logarithm), never falling with it."""
+    places, seen = np.arange(len(toxic)), np.flatnonzero(ordinary + toxic)
+    shares = [(n[seen] + LIKE_NONE / 2) / n.sum() if n.sum() else np.ones(len(seen)) for n in (toxic, ordinary)]
+    x, share = isotonic(np.tile(seen, 2), np.repeat([1, 0], len(seen)), np.concatenate(shares))
+    return np.interp(places, x, np.log(share) - np.log1p(-share))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising shares of y by x: both ends of each block of pooled neighbours, and the share of its ones at both."""
     blocks: list[list[float]] = []  # weight of ones, weight, first x, last x
