@@ -350,3 +350,11 @@ def test_colocated_join_has_no_shuffle(spark, small, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         for name in ("colocated_articles", "colocated_links", "other_articles", "other_links"):
             spark.sql(f"drop table if exists {name}")
+
+
+def test_refused_requests_of_equal_payloads_stay_apart(spark):
+    from tidemill.sources.messages import split_requests
+
+    m = spark.createDataFrame([(1, "s", "{}"), (2, "s", "{}"), (3, "s", "no")], "seq long, stream_name string, payload string")
+    _, refused = split_requests(m)
+    assert sorted((r.seq, r.stream_name, r.payload) for r in refused.collect()) == [(1, "s", "{}"), (2, "s", "{}"), (3, "s", "no")]

@@ -41,12 +41,13 @@ def _checked(messages: DataFrame, opened: Callable[[Column], Column], violations
 
 
 def split_requests(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests as one row per feed, and those refused as payload and violations. A request that breaks a rule anywhere is
-    refused as a whole; one without feeds is valid and has no row."""
+    """Requests as one row per feed, and those refused as payload, stream_name and seq (where messages have them) and violations.
+    A request that breaks a rule anywhere is refused as a whole; one without feeds is valid and has no row."""
     checked = _checked(messages, payloads.opened_request, payloads.request_violations)
     valid = checked.filter(F.size("violations") == 0).select(*payloads.request_columns(F.col("o")))
     feeds = valid.select("job_id", "requested_at", "ingest", "requested_by", F.explode("feeds").alias("f")).select("job_id", "requested_at", "ingest", "requested_by", "f.*")
-    return feeds, checked.filter(F.size("violations") > 0).select("payload", "violations")
+    told = [c for c in ("stream_name", "seq") if c in messages.columns]
+    return feeds, checked.filter(F.size("violations") > 0).select("payload", *told, "violations")
 
 
 def split_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
