@@ -4,9 +4,12 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import DATA
+from tidemill.operators import results
+from tidemill.plans import queries
 from tidemill.plans.testbed import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,3 +59,18 @@ def test_upsert_takes_all_lines(spark, small):
     last = spark.read.parquet(f"{small}/lineitem.parquet").filter("l_linenumber > 2 and l_orderkey % 7 <> 0").selectExpr("concat('t', l_partkey) as title", "concat('https://n.example.com/', l_orderkey % 7001) as url")
     out = __spark_entry__.queries()["q_article_upsert_all"](spark, small)
     assert out.join(last, ["title", "url"], "left_semi").count() > __spark_entry__.queries()["q_article_upsert"](spark, small).join(last, ["title", "url"], "left_semi").count()
+
+
+def test_upsert_takes_the_last_of_equal_numbers(spark, small, tmp_path):
+    """By the order of the table's files, not by that in which Spark reads them (large ones first)."""
+    rows = spark.read.parquet(f"{small}/lineitem.parquet")
+    one = rows.filter("l_orderkey = 1").limit(1).withColumn("l_linenumber", F.lit(2)).withColumn("l_suppkey", F.lit(2).cast("long"))
+    numbered = lambda n: one.withColumn("l_partkey", F.lit(n).cast("long"))
+    for t in ("orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").mkdir()
+    (tmp_path / "orders.parquet" / "a.parquet").symlink_to(f"{small}/orders.parquet")
+    numbered(5).toPandas().to_parquet(tmp_path / "lineitem.parquet" / "a.parquet", coerce_timestamps="us")
+    rows.filter("l_orderkey > 1").unionByName(numbered(7)).toPandas().to_parquet(tmp_path / "lineitem.parquet" / "b.parquet", coerce_timestamps="us")
+    for lines in ("l_linenumber <= 2", "true"):
+        got = results.fold_articles(queries._article_messages(spark, str(tmp_path), lines)).filter("url like '%/1'")
+        assert [(r.title, r.summary) for r in got.collect()] == [("t7", "s7")]
