@@ -226,3 +226,14 @@ def test_keyed_state_against_tables(spark, tmp_path, monkeypatch):
     assert {n: rows_of(spark, at("state"), n) for n in NAMES} == {n: rows_of(spark, at("tables"), n) for n in NAMES}
     assert {r.feed_id: r.error_nbr for r in delta.read(spark, at("state"), "scraping").collect()} == {1: 0, 2: 6}
     assert spark.read.json(at("bad2")).count() == 1
+
+
+def test_articles_of_one_url_and_date_stay_apart(spark, tmp_path):
+    """As those without a date may be in a table from before; a batch changes both."""
+    folder, tables = str(tmp_path / "tables"), empty_tables(spark)
+    tables["articles"] = spark.createDataFrame([(i, "old", None, None, "https://a", None, None) for i in (1, 2)], schemas.ARTICLE).withColumn("published_at", schemas.epoch())
+    flows.create_tables(tables, folder)
+    part = [(result("j1", 1, sources=[{"title": "new", "url": "https://a"}]), 1, schemas.STREAM_INGEST)]
+    flows.persist_batch(spark, spark.createDataFrame(part, "payload string, seq long, stream_name string"), folder, str(tmp_path / "bad"), ("ck", 0))
+    told = lambda name, *columns: sorted(tuple(r) for r in delta.read(spark, folder, name).select(*columns).collect())
+    assert told("articles", "id", "title") == [(1, "new"), (2, "new")] and told("links", "source_id", "feed_id") == [(1, 1), (2, 1)]

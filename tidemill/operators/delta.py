@@ -52,7 +52,8 @@ LAYOUTS = {
     "job_counts": Layout(COUNTS, ("job_id",), "job_id"),
     "job_results": Layout(schemas.JOB_RESULT, ("job_id", "feed_id"), "job_id", grows_only=True),
     "scraping": Layout(schemas.SCRAPING, ("feed_id",), "feed_id"),
-    "articles": Layout(schemas.ARTICLE, ("url", "published_at"), "published_at", buckets=None),
+    # the id tells apart articles of one url and date, which a table may have from before
+    "articles": Layout(schemas.ARTICLE, ("url", "published_at", "id"), "published_at", buckets=None),
     "links": Layout(schemas.LINK, ("source_id", "feed_id", "published_at"), "published_at", buckets=None, grows_only=True),
 }
 
