@@ -84,3 +84,13 @@ def test_sample_is_broadcast(spark, small):
 def test_stage_keeps_columns(spark, messy, empty, small):
     assert stage(spark, messy, small).columns == messy.columns
     assert stage(spark, empty, small).count() == 0
+
+
+def test_windows_are_looked_up_and_not_compressed(model, monkeypatch):
+    """Scoring needs no compressor, whatever its words; what no dictionary holds weighs as nothing."""
+    from tidemill.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "zstandard", None)
+    d = Distance(model)
+    assert d.score(text(999)) < 0.5 <= d.score(text(999, True)) and d.beginning("scumbagged") == "scumbag" and d.of("0") == 0
+    assert len(model.distances) < 40_000 and all(len(b) <= 65 for b in model.distances)
