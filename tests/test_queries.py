@@ -74,3 +74,21 @@ def test_upsert_takes_the_last_of_equal_numbers(spark, small, tmp_path):
     for lines in ("l_linenumber <= 2", "true"):
         got = results.fold_articles(queries._article_messages(spark, str(tmp_path), lines)).filter("url like '%/1'")
         assert [(r.title, r.summary) for r in got.collect()] == [("t7", "s7")]
+
+
+def test_parts_of_shuffles_follow_the_tables(spark, small, monkeypatch):
+    """More parts for more bytes, never fewer than set; a task's share is bounded, and smaller ones stay."""
+    from tidemill.plans import testbed
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        tables(spark, small, "article")
+        assert spark.conf.get(names[0]) == before[names[0]] and int(spark.conf.get(names[1])) == testbed.TASK_BYTES
+        spark.conf.set(names[1], "1m")
+        monkeypatch.setattr(testbed, "PART_BYTES", 1 << 15)
+        tables(spark, small, "article")
+        assert int(spark.conf.get(names[0])) > 10 and spark.conf.get(names[1]) == "1m"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
