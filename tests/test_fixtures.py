@@ -358,3 +358,18 @@ def test_refused_requests_of_equal_payloads_stay_apart(spark):
     m = spark.createDataFrame([(1, "s", "{}"), (2, "s", "{}"), (3, "s", "no")], "seq long, stream_name string, payload string")
     _, refused = split_requests(m)
     assert sorted((r.seq, r.stream_name, r.payload) for r in refused.collect()) == [(1, "s", "{}"), (2, "s", "{}"), (3, "s", "no")]
+
+
+def test_bodies_come_in_small_batches(spark):
+    """Whatever the session has set: long bodies do not fill a Python worker, and no node is lost where a batch of nodes is cut."""
+    from tidemill.operators.xml_nodes import node_table
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(1 << 30))
+    try:
+        items = "".join(f"<item><title>{i}</title><description>{'x' * 3000}</description></item>" for i in range(900))
+        nodes = node_table(spark.createDataFrame([(1, f"<rss><channel>{items}</channel></rss>")], "feed_id int, body string"))
+        assert int(spark.conf.get(key)) <= 4 << 20
+        assert nodes.filter("entry >= 0").count() == 2700 and nodes.filter("tag = 'description' and length(text) = 3000").count() == 900
+    finally:
+        spark.conf.unset(key)

@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows, and letters of text, of a batch of nodes; bytes of a batch of bodies (a longer body travels alone).
+_ROWS, _LETTERS, _BYTES = 5000, 1 << 20, 4 << 20
+
 _ATTRIBUTES = ["href", "rel", "src", "url", "width", "height", "srcset"]
 NODES = f"entry int, pre int, post int, parent int, depth int, tag string, text string, attributes struct<{', '.join(f'{a}: string' for a in _ATTRIBUTES)}>"
 _TYPE = pa.schema([("entry", pa.int32()), ("pre", pa.int32()), ("post", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("attributes", pa.struct([(a, pa.string()) for a in _ATTRIBUTES]))])
@@ -67,7 +70,9 @@ def nodes_of(root: ElementTree.Element) -> Iterator[tuple]:
 
 
 def node_table(bodies: DataFrame, key: str = "feed_id") -> DataFrame:
-    """bodies(key, body) as key, error and NODES; a body that is no XML is one row with an error."""
+    """bodies(key, body) as key, error and NODES; a body that is no XML is one row with an error. A Python worker holds a batch of
+    bodies, the tree of one and a batch of nodes."""
+    bodies.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BYTES))
     key_type = bodies.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +82,8 @@ def node_table(bodies: DataFrame, key: str = "feed_id") -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field(key).type
-            for k, body in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for k, body in zip(batch.column(key).to_pylist(), batch.column("body"), strict=True):
+                body = body.as_py()
                 try:
                     if not body or not body.strip():
                         raise ValueError("empty")
@@ -86,11 +92,13 @@ def node_table(bodies: DataFrame, key: str = "feed_id") -> DataFrame:
                     yield table([k], ["invalid XML"], [(None,) * len(_TYPE)])
                     continue
                 rows: list[tuple] = []
+                letters = 0
                 for row in nodes_of(root):
                     rows.append(row)
-                    if len(rows) == 5000:
+                    letters += len(row[6] or "")
+                    if len(rows) == _ROWS or letters > _LETTERS:
                         yield table([k] * len(rows), [None] * len(rows), rows)
-                        rows = []
+                        rows, letters = [], 0
                 if rows:
                     yield table([k] * len(rows), [None] * len(rows), rows)
 
