@@ -91,3 +91,24 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(80)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_stars_end_in_one_round(spark, monkeypatch):
+    """Hubs are the smallest nodes of their bands; a round costs the driver three plans and a dozen stages."""
+    from tidemill.llm import components as module
+
+    stored = []
+    monkeypatch.setattr(module, "store", lambda df, name, keep=module.store: stored.append(name) or keep(df, name))
+    edges = [(hub, hub + k) for hub in (0, 10_000, 20_000) for k in range(1, 1_000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: n // 10_000 * 10_000 for e in edges for n in e}
+    assert stored == ["edges", "pointers", "edges", "labels"]
+
+
+def test_pointers_of_many_rounds_are_followed(spark, monkeypatch):
+    from tidemill.llm import components as module
+
+    monkeypatch.setattr(module, "AT_ONCE", 2)
+    edges = [(k, k + 1) for k in range(1, 700)] + [(k, 5_000 - k) for k in range(1_000, 1_050)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 701)} | {n: k for k in range(1_000, 1_050) for n in (k, 5_000 - k)}

@@ -270,8 +270,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Model:
     others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda k: k != F.col("text_hash") % FOLDS)
     made = texts.select("text", "y", "text_hash", F.explode(others).alias("model")).groupBy("model").applyInArrow(train, "model int, beginning string, distances array<int>")
     of_models: dict[int, dict[str, tuple[int, ...]]] = {}
-    for r in made.toArrow().to_pylist():  # some 30,000 short rows for each model
-        of_models.setdefault(r["model"], {})[r["beginning"]] = tuple(r["distances"])
+    for batch in made.toArrow().to_batches(max_chunksize=2_000):  # some 30,000 short rows for each model
+        for k, beginning, found in zip(*(batch.column(c).to_pylist() for c in ("model", "beginning", "distances")), strict=True):
+            of_models.setdefault(k, {})[beginning] = tuple(found)
     if len(of_models) <= FOLDS:
         return Model(share, {})
     known = {k: Model(share, found) for k, found in of_models.items()}
