@@ -83,3 +83,14 @@ def test_short_texts_fill_their_windows(spark):
     out = pack(spark.createDataFrame(rows, "doc_id long, text string"), default_tokenizer(), window=512).collect()
     n = check([(d, ids_of(t)) for d, t in rows], out, 512)
     assert n <= 1.05 * sum(len(ids_of(t)) for _, t in rows) / 512 + 1
+
+
+def test_what_a_worker_remembers_is_bounded():
+    enc = WordEncoder(default_tokenizer())
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for lo in range(0, 560_000, 20_000):
+        text = " ".join(f"w{k}".translate(letters) for k in range(lo, lo + 20_000))
+        (ids,) = enc.encode([text])
+        assert len(enc.known) <= 200_000 and len(enc.stretches) <= 500_000
+    e = enc.tokenizer.encode(text, add_special_tokens=False)
+    assert np.frombuffer(ids, "<u4").tolist() == e.ids

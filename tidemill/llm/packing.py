@@ -47,7 +47,7 @@ class WordEncoder:
     """Ids of texts, word by word where that gives the same, with the ids of recent words and of recent stretches
     between white space kept."""
 
-    def __init__(self, path: str, most: int = 500_000, most_stretches: int | None = None):
+    def __init__(self, path: str, most: int = 200_000, most_stretches: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
