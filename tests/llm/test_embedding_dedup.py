@@ -70,3 +70,22 @@ def test_any_magnitude(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {**{i: (7, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9)}, 8: (0, 8)}
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+
+
+def test_rows_dealt_do_not_grow_with_the_chunks():
+    rng = np.random.default_rng(5)
+    n, space = 2_000, {16: Space(16, 0.9, 4, 8)}
+    v = pa.array(rng.normal(size=(n, 16)).tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n, pa.int64()), pa.array([1] * n, pa.int64()), v, pa.array([16] * n, pa.int32())], ["node", "copies", "v", "length"])
+    counts = pa.Table.from_batches(_deal(space, None)([batch])).to_pylist()
+    for chunk in (1_000, 20):
+        chunks = {tuple(r[k] for k in r if k != "n"): -(-r["n"] // chunk) for r in counts}
+        assert sum(b.num_rows for b in _deal(space, chunks)([batch])) == n
+
+
+def test_copies_that_all_link(spark):
+    """Every pair of a large group, over several chunks and with candidates in several blocks, counts once."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in np.ones(8) + 0.01 * rng.normal(size=8)]) for i in range(700)] + [(700 + i, [float(v) for v in rng.normal(size=8) * [1, -1, 1, -1, 1, -1, 1, -1]]) for i in range(50)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), chunk=150).collect()}
+    assert got == brute(rows) and got[0][0] >= 699
