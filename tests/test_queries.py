@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import DATA
+from tidemill.functions import text
 from tidemill.operators import results
 from tidemill.plans import queries
 from tidemill.plans.testbed import tables
@@ -92,3 +93,15 @@ def test_parts_of_shuffles_follow_the_tables(spark, small, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_references_cut_short(spark, tmp_path):
+    """q_strip_html leaves those that its SQL leaves, and resolves any that is closed; strip_html resolves both kinds."""
+    pages = ["<p>token = &quot</p> p{}", "a &lt b &gt", "&copy 2024 &copy;", "x&amp y&amp;quot; &ampquot; &ampz", "&quotx; &#39 it&#39;s", "&quo &", "&quot;said&quot; &middot;,", None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.stripped for r in __spark_entry__.queries()["q_strip_html"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(queries.SQL_BASE["q_strip_html"]).fetchall())
+    both = spark.createDataFrame([("caf&eacute; &quot",)], "h string").select(text.strip_html(F.col("h"), closed=True), text.strip_html(F.col("h")))
+    assert tuple(both.first()) == ("café &quot", 'café "')

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,9 +80,20 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """HTML character references as characters. Only texts with & go through Python."""
-    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+_CLOSED = re.compile(r"&(amp;?|[A-Za-z][A-Za-z0-9]*;|#[0-9]+;|#[xX][0-9a-fA-F]+;)")
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    one = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+    return s.map(lambda x: _CLOSED.sub(one, x), na_action="ignore")
+
+
+def unescape(c: Column, closed: bool = False) -> Column:
+    """HTML character references as characters. Only texts with & go through Python. closed: those without a semicolon, as at the end of
+    a cut text, stay as they are, but for &amp."""
+    some = F.when(F.contains(c, F.lit("&")), c)
+    return F.when(some.isNotNull(), _unescape_closed(some) if closed else _unescape(some)).otherwise(c)
 
 
 def drop_markup(c: Column) -> Column:
@@ -88,8 +101,8 @@ def drop_markup(c: Column) -> Column:
     return F.nullif(F.regexp_replace(collapse(F.regexp_replace(c, r"<[^>]+>", " ")), r"(?U)\s+([,.;:!?])", "$1"), F.lit(""))
 
 
-def strip_html(c: Column) -> Column:
-    return drop_markup(unescape(c))
+def strip_html(c: Column, closed: bool = False) -> Column:
+    return drop_markup(unescape(c, closed))
 
 
 def plain_references(c: Column) -> Column:
