@@ -7,7 +7,7 @@ cut into slabs along the block's first coordinate, and meet the vectors that the
 In a slab the distances within the block pick the candidates, of which the first block that accepts a pair keeps it, and
 the cosine of the vectors themselves is verified in double precision.
 
-Vectors are dealt, once, into chunks of about `chunk` vectors, and each chunk is stored as one row. Every two chunks (and every
+Vectors are dealt, once, into chunks of about `chunk` vectors (and 16 MB at most, on average), and each chunk is stored as one row. Every two chunks (and every
 chunk with itself) are a row of a Cartesian product of that table, in which tasks read the chunks they need from the shared folder:
 nothing is shuffled for a pair of chunks, so the disk grows with the table only, and a task holds two chunks at a time. Equal
 vectors are joined once. Tasks return link counts and the edges of a spanning forest, not pairs. At a cosine of 0.9 no exact
@@ -33,6 +33,7 @@ from tidemill.llm.common import group_bounds, lean_memory, ship, store, whole_gr
 from tidemill.llm.components import components
 
 PACK = "length int, kind string, nodes binary, copies binary, v binary"
+CHUNK_BYTES = 16 << 20  # of a chunk's components as doubles
 PAIR = ["number", "kind", "nodes", "copies", "v"]  # of each of two packs
 
 
@@ -217,7 +218,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, blocks: int = 4, slabs
     plain = nodes.select("node", "copies", scaled.alias("v"), "length")
     counts = plain.mapInArrow(_deal(spaces, None), "length int, n long").groupBy("length").agg(F.sum("n").alias("n")).collect()
     cores = spark.sparkContext.defaultParallelism
-    chunks = {(r.length,): -(-r.n // min(chunk, max(1024, -(-r.n // cores)))) for r in counts}  # smaller ones where not every core had one
+    most = {r.length: min(chunk, max(1, CHUNK_BYTES // (8 * r.length)), max(1024, -(-r.n // cores))) for r in counts}  # smaller ones where not every core had one
+    chunks = {(r.length,): -(-r.n // most[r.length]) for r in counts}
     dealt = plain.mapInArrow(_deal(spaces, chunks), "length int, chunk int, node long, copies long, v array<double>")
     whole = dealt.repartition(max(1, sum(chunks.values())), "length", "chunk").sortWithinPartitions("length", "chunk").mapInArrow(_pack, PACK)
     packs = store(whole.withColumn("number", F.monotonically_increasing_id()), "packs")
